@@ -1,13 +1,393 @@
-"""Every registered query with its SQL."""
+"""Every registered query of the engine's own operators, with its SQL.
+
+The driver's tables stand in for the engine's records: assistant turns of
+`conversations` for predictions, the next user turn for gold, `documents` and
+`benchmark` for corpus and questions, `events` for trajectories.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from rillstone.functions import text as T
+from rillstone.operators import relational as R
+from rillstone.streaming import limits
+
+FLAGSHIP = "answer_quality"
+_FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
 
-def queries() -> dict:
-    return {}
+def _query(sql: str | None = None):
+    def add(f):
+        _FOUND[f.__name__] = lambda spark, sf_dir: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_FOUND)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# SQL forms of the text functions.
+_P = r"[!-/:-@\[-`{-~]"
+_SQUEEZE = lambda x: rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+# RE2 knows ASCII word borders only, so articles go by token there.
+_ANSWER = lambda x: f"array_to_string(list_filter(string_split({_SQUEEZE(f"regexp_replace(lower(coalesce({x}, '')), '{_P}', '', 'g')")}, ' '), lambda t: t NOT IN ('a', 'an', 'the')), ' ')"
+_WORD_SET = lambda x: rf"list_distinct(list_filter(regexp_extract_all(lower(coalesce({x}, '')), '[\p{{L}}\p{{N}}_]+'), lambda t: regexp_full_match(t, '[a-z]{{3,}}')))"
+_TOKENS = lambda form: f"list_filter(string_split({form}, ' '), lambda t: t <> '')"
+
+_TURNS = "SELECT conv_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations"
+
+
+def _turns(read) -> DataFrame:
+    return read("conversations").withColumn("nxt", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+
+
+@_query(f"""
+WITH t AS ({_TURNS}),
+ f AS (SELECT conv_id, turn, role, {_ANSWER('text')} AS p, {_ANSWER('nxt')} AS g FROM t WHERE nxt IS NOT NULL),
+ k AS (SELECT conv_id, turn, role, p, g, {_TOKENS('p')} AS pt, {_TOKENS('g')} AS gt FROM f),
+ c AS (SELECT *, list_sum(list_transform(list_distinct(pt), lambda x: least(len(list_filter(pt, lambda y: y = x)), len(list_filter(gt, lambda y: y = x))))) AS o FROM k)
+SELECT role, count(*) AS n, round(avg(CASE WHEN p = g THEN 1.0 ELSE 0.0 END), 6) AS em,
+ round(avg(CASE WHEN len(pt) = 0 AND len(gt) = 0 THEN 1.0 WHEN coalesce(o, 0) = 0 THEN 0.0 ELSE 2.0 * o / (len(pt) + len(gt)) END), 6) AS f1,
+ round(avg(CASE WHEN len(gt) > 0 AND contains(' ' || array_to_string(pt, ' ') || ' ', ' ' || array_to_string(gt, ' ') || ' ') THEN 1.0 ELSE 0.0 END), 6) AS cover
+FROM c GROUP BY role""")
+def answer_quality(read):
+    t = _turns(read).where("nxt is not null")
+    golds = F.array("nxt")
+    mean = lambda c: F.round(F.avg(c.cast("double")), 6)
+    return t.groupBy("role").agg(F.count("*").alias("n"), mean(T.exact_match(F.col("text"), golds)).alias("em"), mean(T.token_f1(F.col("text"), golds)).alias("f1"), mean(T.cover_match(F.col("text"), golds)).alias("cover"))
+
+
+@_query(f"""SELECT conv_id, turn, {_ANSWER('text')} AS answer, {_SQUEEZE(f"regexp_replace(lower(coalesce(text, '')), '{_P}', '', 'g')")} AS plain,
+ {_SQUEEZE("lower(coalesce(text, ''))")} AS loose, {_SQUEEZE(r"regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\s]', '', 'g')")} AS strict,
+ trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) AS words, trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS query FROM conversations""".replace("\\\\p", "\\p"))
+def normal_forms(read):
+    c = F.col("text")
+    return read("conversations").select("conv_id", "turn", T.answer_form(c).alias("answer"), T.plain_form(c).alias("plain"), T.loose_title(c).alias("loose"), T.strict_title(c).alias("strict"), T.ascii_words(c).alias("words"), T.query_form(c).alias("query"))
+
+
+@_query("""SELECT event_type, avg(value) AS mean, quantile_cont(value, 0.5) AS median,
+ list_sort(list(value))[round_even((count(value) - 1) * 0.95, 0)::INT + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type""")
+def latency_percentiles(read):
+    return read("events").where("value is not null").groupBy("event_type").agg(F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"), R.nearest_rank(F.col("value"), 0.95).alias("p95"))
+
+
+_PAIR = """WITH a AS (SELECT o_custkey AS k, sum(o_totalprice)::DOUBLE AS x FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
+ b AS (SELECT o_custkey AS k, sum(o_totalprice)::DOUBLE AS y FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1) """
+
+
+def _pairs(read) -> DataFrame:
+    half = lambda n, name: read("orders").where(F.col("o_orderkey") % 2 == n).groupBy(F.col("o_custkey").alias("k")).agg(F.sum("o_totalprice").cast("double").alias(name))
+    a, b = half(0, "x"), half(1, "y")
+    return R.validated_join(a.join(b, "k", "left_semi"), b.join(a, "k", "left_semi"), "k")
+
+
+@_query(_PAIR + "SELECT k, round(x - y, 4) AS delta, x > y AS better FROM a JOIN b USING (k)")
+def validated_pair_delta(read):
+    return _pairs(read).select("k", F.round(F.col("x") - F.col("y"), 4).alias("delta"), (F.col("x") > F.col("y")).alias("better"))
+
+
+@_query()
+def paired_bootstrap(read):
+    return R.paired_bootstrap(_pairs(read).select("k", (F.col("x") - F.col("y")).alias("d")), "d", rounds=200)
+
+
+_JOINED = """WITH j AS (SELECT d.doc_id, d.source, d.n_chars, l.quality, l.doc_id IS NOT NULL AS seen FROM documents d LEFT JOIN labels l USING (doc_id)) """
+
+
+def _joined(read) -> DataFrame:
+    return R.reason_join(read("documents").select("doc_id", "source", "n_chars"), read("labels"), ["doc_id"], F.col("quality") == 1)
+
+
+@_query(_JOINED + "SELECT source, CASE WHEN NOT seen THEN 'missing_label' WHEN coalesce(quality = 1, false) THEN 'kept' ELSE 'failed_label' END AS reason, count(*) AS n FROM j GROUP BY 1, 2")
+def reason_join_assembly(read):
+    return _joined(read).groupBy("source", "reason").agg(F.count("*").alias("n"))
+
+
+@_query(_JOINED + """, k AS (SELECT * FROM j WHERE seen),
+ g AS (SELECT *, CASE WHEN max(n_chars) OVER w - min(n_chars) OVER w < 1e-9 THEN 0.5 ELSE (n_chars - min(n_chars) OVER w)::DOUBLE / (max(n_chars) OVER w - min(n_chars) OVER w) END AS norm,
+   CASE WHEN stddev_pop(n_chars) OVER w < 1e-9 THEN 0.0 ELSE (n_chars - avg(n_chars) OVER w) / stddev_pop(n_chars) OVER w END AS z FROM k WINDOW w AS (PARTITION BY source)),
+ s AS (SELECT *, 2.0 * quality + norm AS logit FROM g), e AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY source)) AS x FROM s)
+ SELECT doc_id, source, round(norm, 6) AS norm, round(z, 6) AS z, round(x / sum(x) OVER (PARTITION BY source), 6) AS target FROM e""")
+def group_minmax_softmax(read):
+    k = _joined(read).where("reason <> 'missing_label'")
+    g = k.withColumn("norm", R.min_max(F.col("n_chars"), ["source"])).withColumn("z", R.z_score(F.col("n_chars"), ["source"]))
+    return g.withColumn("target", R.softmax(2.0 * F.col("quality") + F.col("norm"), ["source"])).select("doc_id", "source", F.round("norm", 6).alias("norm"), F.round("z", 6).alias("z"), F.round("target", 6).alias("target"))
+
+
+_SPLIT = "CASE WHEN ('0x' || substr(md5('7:' || doc_id), 1, 8))::UBIGINT / 4294967295.0 < 0.1 THEN 'dev' ELSE 'train' END"
+
+
+@_query(f"SELECT source, {_SPLIT} AS split, count(*) AS n, min(doc_id) AS least FROM documents GROUP BY 1, 2")
+def hash_split(read):
+    return read("documents").groupBy("source", R.split_of("7", F.col("doc_id"), 0.1).alias("split")).agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+
+
+@_query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('s1:' || doc_id), doc_id) AS r FROM documents) WHERE r <= 5")
+def stratified_sample(read):
+    return R.hash_ranked(read("documents").select("doc_id", "source"), "s1", "doc_id", 5, ["source"])
+
+
+_UNIT = "list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])))"
+
+
+@_query(f"""WITH v AS (SELECT vec_id, {_UNIT} AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS qv FROM v WHERE vec_id % 50 = 0),
+ s AS (SELECT query_id, vec_id AS id, round(list_inner_product(qv, v), 9) AS score FROM q, v),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+ SELECT query_id, rank, id FROM r WHERE rank <= 10""")
+def vector_topk(read):
+    e = read("embeddings")
+    return R.vector_topk(e.where("vec_id % 50 = 0"), e, 10).select("query_id", "rank", "id")
+
+
+@_query(f"""WITH v AS (SELECT vec_id, label, {_UNIT} AS v FROM embeddings), q AS (SELECT vec_id AS query_id, label AS ql, v AS qv FROM v WHERE vec_id % 50 = 0),
+ s AS (SELECT query_id, ql, vec_id AS id, label, round(list_inner_product(qv, v), 9) AS score FROM q, v),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s),
+ h AS (SELECT query_id, ql, max((label = ql)::INT) AS hit, sum((label = ql)::INT)::DOUBLE AS found FROM r WHERE rank BETWEEN 2 AND 4 GROUP BY 1, 2),
+ g AS (SELECT label, count(*) - 1 AS gold FROM embeddings GROUP BY 1)
+ SELECT count(*) AS n, round(avg(hit), 6) AS hit3, round(avg(CASE WHEN gold > 0 THEN found / gold END), 6) AS recall3, round(avg(1 - found / 3), 6) AS noise3 FROM h JOIN g ON ql = g.label""")
+def topk_hit_recall_noise(read):
+    e = read("embeddings")
+    top = R.vector_topk(e.where("vec_id % 50 = 0"), e, 4).where("rank between 2 and 4")
+    label = e.select("vec_id", "label")
+    hits = top.join(label.withColumnRenamed("vec_id", "id"), "id").join(label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id")
+    found = hits.groupBy("query_id", "ql").agg(F.max((F.col("label") == F.col("ql")).cast("int")).alias("hit"), F.sum((F.col("label") == F.col("ql")).cast("double")).alias("found"))
+    gold = e.groupBy(F.col("label").alias("ql")).agg((F.count("*") - 1).alias("gold"))
+    return found.join(gold, "ql").agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("hit3"), F.round(F.avg(F.when(F.col("gold") > 0, F.col("found") / F.col("gold"))), 6).alias("recall3"), F.round(F.avg(1 - F.col("found") / 3), 6).alias("noise3"))
+
+
+@_query("""WITH u AS (SELECT 0 AS part, doc_id AS pos, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark), k AS (SELECT * FROM u WHERE trim(text) <> ''),
+ d AS (SELECT *, sha1(lower(text)) AS h, row_number() OVER (PARTITION BY sha1(lower(text)) ORDER BY part, pos) AS r, count(*) OVER (PARTITION BY sha1(lower(text))) AS n FROM k)
+ SELECT CASE WHEN part = 1 THEN 'extend_' || pos ELSE pos::VARCHAR END AS id, h AS digest, n - 1 AS n_dropped FROM d WHERE r = 1""")
+def content_dedup(read):
+    u = read("documents").select(F.lit(0).alias("part"), F.col("doc_id").cast("long").alias("pos"), "text").unionByName(read("benchmark").select(F.lit(1).alias("part"), F.col("item_id").cast("long").alias("pos"), "text"))
+    k = u.where(F.trim("text") != "").select("part", "pos", F.sha1(F.lower("text").cast("binary")).alias("digest"))
+    first = R.first_wins(k, "digest", ["part", "pos"])
+    return first.select(F.when(F.col("part") == 1, F.concat(F.lit("extend_"), F.col("pos").cast("string"))).otherwise(F.col("pos").cast("string")).alias("id"), "digest", "n_dropped")
+
+
+@_query("""WITH t AS (SELECT source, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '\\s+', ' ', 'g')) AS title FROM documents)
+ SELECT title, count(DISTINCT source) AS n_sources, count(*) - 1 AS surplus FROM t GROUP BY title HAVING count(*) > 1""")
+def title_overlap(read):
+    t = read("documents").select("source", T.loose_title(F.substring_index("text", "\n", 1)).alias("title"))
+    return t.groupBy("title").agg(F.count_distinct("source").alias("n_sources"), (F.count("*") - 1).alias("surplus")).where("surplus > 0")
+
+
+@_query("SELECT d.doc_id, d.lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def resume_antijoin(read):
+    return R.pending(read("documents"), read("labels"), ["doc_id"]).select("doc_id", "lang")
+
+
+@_query("SELECT p_brand, arg_min(p_partkey, {'a': p_size, 'b': p_partkey}) AS p_partkey, count(*) - 1 AS n_dropped FROM part GROUP BY p_brand")
+def first_wins_lookup(read):
+    return R.first_wins(read("part").select("p_brand", "p_size", "p_partkey"), "p_brand", ["p_size", "p_partkey"]).select("p_brand", "p_partkey", "n_dropped")
+
+
+@_query("""SELECT source, count(*) AS n, count(DISTINCT doc_id) AS ids, count_if(trim(coalesce(text, '')) = '') AS blank, min(n_chars) AS least, max(n_chars) AS most,
+ count(*) = count(DISTINCT doc_id) AS ok FROM documents GROUP BY source""")
+def source_audit(read):
+    return read("documents").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"), F.count_if(F.trim(F.coalesce("text", F.lit(""))) == "").alias("blank"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), (F.count("*") == F.count_distinct("doc_id")).alias("ok"))
+
+
+_STEPS = "WITH s AS (SELECT user_id, event_id, ts, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events) "
+
+
+def _steps(read) -> DataFrame:
+    return read("events").select("user_id", "event_id", "ts", "event_type", "value").withColumn("turn", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+
+
+@_query(_STEPS + "SELECT event_id, coalesce(list(event_type) OVER (PARTITION BY user_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS prior FROM s WHERE turn <= 6")
+def prior_steps(read):
+    return _steps(read).where("turn <= 6").select("event_id", R.prior_values(F.col("event_type"), ["user_id"], [F.col("turn")]).alias("prior"))
+
+
+@_query(_STEPS + """, n AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY turn) = 1 AS fresh FROM s)
+ SELECT event_id, fresh, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY turn)::BIGINT AS covered, round(CASE WHEN fresh THEN power(0.9, turn - 1) ELSE 0 END, 9) AS gain FROM n""")
+def running_coverage(read):
+    n = _steps(read).withColumn("fresh", ~R.seen_before(F.col("event_type"), ["user_id"], [F.col("turn")]))
+    covered = F.sum(F.col("fresh").cast("int")).over(Window.partitionBy("user_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
+    return n.select("event_id", "fresh", covered.alias("covered"), F.round(F.when(F.col("fresh"), F.pow(F.lit(0.9), F.col("turn") - 1)).otherwise(0.0), 9).alias("gain"))
+
+
+@_query(_STEPS + "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 4) AS rtg FROM s")
+def return_to_go(read):
+    return _steps(read).select("event_id", F.round(R.return_to_go(F.col("value"), ["user_id"], [F.col("turn")]), 4).alias("rtg"))
+
+
+@_query(_STEPS + """SELECT event_id, round(CASE WHEN count(value) OVER w <= 1 THEN 0.0 ELSE (value - avg(value) OVER w) / (stddev_samp(value) OVER w + 1e-4) END, 6) AS credit
+ FROM s WINDOW w AS (PARTITION BY event_type, turn)""")
+def group_turn_norm(read):
+    return _steps(read).select("event_id", F.round(R.slot_norm(F.col("value"), ["event_type", "turn"]), 6).alias("credit"))
+
+
+@_query("SELECT user_id, greatest(-3, count(DISTINCT event_type) - count(*)) AS repeat_cost, -greatest(count(*) - 1, 0) AS turn_cost FROM events GROUP BY user_id")
+def repeat_cost(read):
+    return read("events").groupBy("user_id").agg(F.greatest(F.lit(-3).cast("long"), F.count_distinct("event_type") - F.count("*")).alias("repeat_cost"), (-F.greatest(F.count("*") - 1, F.lit(0).cast("long"))).alias("turn_cost"))
+
+
+@_query("""WITH a AS (SELECT conv_id // 2 AS pair, turn, role AS x FROM conversations WHERE conv_id % 2 = 0), b AS (SELECT conv_id // 2 AS pair, turn, role AS y FROM conversations WHERE conv_id % 2 = 1)
+ SELECT pair, turn, coalesce(x, '') AS x, coalesce(y, '') AS y, CASE WHEN x IS NULL THEN 'added' WHEN y IS NULL THEN 'removed' WHEN x = y THEN 'same' ELSE 'changed' END AS what FROM a FULL JOIN b USING (pair, turn)""")
+def positional_step_diff(read):
+    c = read("conversations").withColumn("pair", F.floor(F.col("conv_id") / 2))
+    a, b = c.where("conv_id % 2 = 0").select("pair", "turn", F.col("role").alias("x")), c.where("conv_id % 2 = 1").select("pair", "turn", F.col("role").alias("y"))
+    what = F.when(F.col("x").isNull(), "added").when(F.col("y").isNull(), "removed").when(F.col("x") == F.col("y"), "same").otherwise("changed")
+    return R.positional_join(a, b, "pair", "turn").select("pair", "turn", F.coalesce("x", F.lit("")).alias("x"), F.coalesce("y", F.lit("")).alias("y"), what.alias("what"))
+
+
+@_query("""SELECT o_orderpriority, count_if(o_orderstatus = 'F' AND o_totalprice > 100000) AS yes_yes, count_if(o_orderstatus = 'F' AND NOT o_totalprice > 100000) AS yes_no,
+ count_if(o_orderstatus <> 'F' AND o_totalprice > 100000) AS no_yes, count_if(o_orderstatus <> 'F' AND NOT o_totalprice > 100000) AS no_no FROM orders GROUP BY 1""")
+def contingency(read):
+    a, b = F.col("o_orderstatus") == "F", F.col("o_totalprice") > 100000
+    return read("orders").groupBy("o_orderpriority").agg(F.count_if(a & b).alias("yes_yes"), F.count_if(a & ~b).alias("yes_no"), F.count_if(~a & b).alias("no_yes"), F.count_if(~a & ~b).alias("no_no"))
+
+
+@_query("""WITH b AS (SELECT n_name, l_discount::DOUBLE AS d, l_returnflag = 'R' AS r FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+ p AS (SELECT n_name AS scope, count(*) AS n, avg(d) AS discount, avg(r::INT) AS returned FROM b GROUP BY 1)
+ SELECT scope, n, round(discount, 4) AS discount, round(returned, 4) AS returned FROM p
+ UNION ALL SELECT 'macro', sum(n)::BIGINT, round(avg(discount), 4), round(avg(returned), 4) FROM p UNION ALL SELECT 'micro', count(*), round(avg(d), 4), round(avg(r::INT), 4) FROM b""")
+def macro_micro(read):
+    nation = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    b = read("lineitem").join(nation, F.col("l_suppkey") == F.col("s_suppkey")).select("n_name", F.col("l_discount").cast("double").alias("d"), (F.col("l_returnflag") == "R").cast("int").alias("r"))
+    # Sums by nation give both averages: the rows are read and combined once.
+    p = b.groupBy("n_name").agg(F.count("*").alias("n"), F.sum("d").alias("sd"), F.sum("r").alias("sr"))
+    four = lambda c: F.round(c, 4)
+    own = p.select(F.col("n_name").alias("scope"), "n", four(F.col("sd") / F.col("n")).alias("discount"), four(F.col("sr") / F.col("n")).alias("returned"))
+    macro = p.agg(F.lit("macro").alias("scope"), F.sum("n").alias("n"), four(F.avg(F.col("sd") / F.col("n"))).alias("discount"), four(F.avg(F.col("sr") / F.col("n"))).alias("returned"))
+    micro = p.agg(F.lit("micro").alias("scope"), F.sum("n").alias("n"), four(F.sum("sd") / F.sum("n")).alias("discount"), four(F.sum("sr") / F.sum("n")).alias("returned"))
+    return own.unionByName(macro).unionByName(micro)
+
+
+@_query("""WITH c AS (SELECT conv_id, turn, list_filter([CASE WHEN length(text) < 80 THEN 'short' END, CASE WHEN contains(text, '?') THEN 'question' END, CASE WHEN role = 'system' THEN 'system' END], lambda x: x IS NOT NULL) AS marks FROM conversations)
+ SELECT conv_id, turn, array_to_string(marks, '|') AS marks, CASE WHEN list_contains(marks, 'system') THEN 'system' WHEN list_contains(marks, 'question') THEN 'question' WHEN list_contains(marks, 'short') THEN 'short' ELSE 'other' END AS main FROM c""")
+def categorize_primary(read):
+    marks = F.array_compact(F.array(F.when(F.length("text") < 80, "short"), F.when(F.contains("text", F.lit("?")), "question"), F.when(F.col("role") == "system", "system")))
+    main = F.coalesce(*[F.when(F.array_contains("marks", m), m) for m in ("system", "question", "short")], F.lit("other"))
+    return read("conversations").select("conv_id", "turn", marks.alias("marks")).select("conv_id", "turn", F.array_join("marks", "|").alias("marks"), main.alias("main"))
+
+
+_TAGGED = "WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '<query>' || left(text, 40) || '</query>' WHEN turn % 3 = 1 THEN '<query>q</query> x <answer>' || left(text, 30) || '</answer>' ELSE text END AS s FROM conversations) "
+
+
+def _tagged(read) -> DataFrame:
+    t = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("<query>"), F.left("text", F.lit(40)), F.lit("</query>"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("<query>q</query> x <answer>"), F.left("text", F.lit(30)), F.lit("</answer>"))).otherwise(F.col("text"))
+    return read("conversations").select("conv_id", "turn", t.alias("s"))
+
+
+@_query(_TAGGED + """SELECT conv_id, turn, trim(regexp_extract_all(s, '(?s)<query>(.*?)</query>', 1)[1]) AS first_query, trim(regexp_extract_all(s, '(?s)<answer>(.*?)</answer>', 1)[-1]) AS answer,
+ CASE WHEN contains(s, '<answer>') AND contains(s, '<query>') THEN 'query_then_answer' WHEN contains(s, '<answer>') THEN 'answer_only' WHEN contains(s, '<query>') THEN 'query_only' ELSE 'neither' END AS shape FROM t""")
+def tag_extract(read):
+    s = F.col("s")
+    has = lambda tag: F.contains(s, F.lit(f"<{tag}>"))
+    order = F.instr(s, "<query>") < F.instr(s, "<answer>")
+    shape = F.when(has("answer") & has("query"), F.when(order, "query_then_answer").otherwise("answer_then_query")).when(has("answer"), "answer_only").when(has("query"), "query_only").otherwise("neither")
+    return _tagged(read).select("conv_id", "turn", T.first_tag(s, "query").alias("first_query"), T.last_tag(s, "answer").alias("answer"), shape.alias("shape"))
+
+
+@_query("""SELECT doc_id, source, used FROM (SELECT doc_id, source, sum(octet_length(encode(coalesce(text, '')))) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS used FROM documents) WHERE used <= 20000""")
+def token_budget_pack(read):
+    d = read("documents").select("doc_id", "source", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
+    return R.budget_pack(d, ["source"], [F.col("doc_id")], F.col("size"), 20000).select("doc_id", "source", "used")
+
+
+_TREE = "n AS (SELECT o_orderkey AS node, o_orderkey // 2 AS parent, o_totalprice::DOUBLE AS q FROM orders WHERE o_orderkey <= 2000) "
+
+
+def _nodes(read) -> DataFrame:
+    return read("orders").where("o_orderkey <= 2000").select(F.col("o_orderkey").alias("node"), F.floor(F.col("o_orderkey") / 2).alias("parent"), F.col("o_totalprice").cast("double").alias("q"))
+
+
+@_query("WITH " + _TREE + "SELECT p.node, count(*) AS children, count(DISTINCT c.q) = 1 AS same_q, max(c.q) AS best FROM n p JOIN n c ON c.parent = p.node AND c.node <> c.parent GROUP BY 1 HAVING count(*) >= 2")
+def branch_points(read):
+    n = _nodes(read)
+    kids = n.where("node <> parent").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("children"), (F.count_distinct("q") == 1).alias("same_q"), F.max("q").alias("best")).where("children >= 2")
+    return n.select("node").join(kids, "node")
+
+
+@_query("WITH RECURSIVE " + _TREE + """, p(node, root, depth) AS (SELECT node, node, 0 FROM n WHERE node = parent OR parent NOT IN (SELECT node FROM n)
+ UNION ALL SELECT c.node, p.root, p.depth + 1 FROM n c JOIN p ON c.parent = p.node WHERE c.node <> c.parent) SELECT node, root, depth::BIGINT AS depth FROM p""")
+def tree_paths(read):
+    # Ancestors double their reach each round, so a path of length n takes log2(n) joins; a cycle stops at the bound.
+    n = _nodes(read)
+    known = n.select(F.col("node").alias("parent"))
+    rooted = n.join(known.withColumn("known", F.lit(True)), "parent", "left").withColumn("has", F.col("known").isNotNull() & (F.col("node") != F.col("parent")))
+    up = rooted.select("node", F.when(F.col("has"), F.col("parent")).alias("top"), F.when(F.col("has"), 1).otherwise(0).cast("long").alias("depth"))
+    for _ in range(4):
+        above = up.select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"))
+        up = up.join(above, "top", "left").select("node", F.when(F.col("next").isNotNull(), F.col("next")).otherwise(F.col("top")).alias("top"), (F.col("depth") + F.when(F.col("next").isNotNull(), F.col("more")).otherwise(0)).alias("depth"))
+    return up.select("node", F.coalesce("top", "node").alias("root"), "depth")
+
+
+@_query("WITH " + _TREE + "SELECT node % 10 AS tree, arg_max(node, {'a': q, 'b': -node}) AS node, max(q) AS q FROM n WHERE node > 1000 GROUP BY 1")
+def best_terminal(read):
+    return _nodes(read).where("node > 1000").groupBy((F.col("node") % 10).alias("tree")).agg(F.max_by("node", F.struct("q", -F.col("node"))).alias("node"), F.max("q").alias("q"))
+
+
+@_query(f"""WITH t AS ({_TURNS}), w AS (SELECT conv_id, turn, {_WORD_SET('text')} AS a, {_WORD_SET('nxt')} AS b FROM t),
+ o AS (SELECT conv_id, turn, len(list_intersect(a, b)) AS i, len(list_distinct(list_concat(a, b))) AS u FROM w)
+ SELECT conv_id, turn, round(CASE WHEN u = 0 THEN 1.0 ELSE i::DOUBLE / u END, 6) AS jaccard, round(0.55 + 0.45 * CASE WHEN u = 0 THEN 1.0 ELSE i::DOUBLE / u END, 6) AS claim FROM o""")
+def transition_scores(read):
+    j = T.set_jaccard(T.word_set(F.col("text")), T.word_set(F.col("nxt")))
+    return _turns(read).select("conv_id", "turn", F.round(j, 6).alias("jaccard"), F.round(0.55 + 0.45 * j, 6).alias("claim"))
+
+
+@_query("""WITH w AS (SELECT item_id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS t FROM benchmark),
+ d AS (SELECT doc_id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS t FROM documents),
+ q AS (SELECT item_id, unnest(t) AS k, len(t) AS n FROM w WHERE item_id % 5 = 0), x AS (SELECT doc_id, unnest(t) AS k FROM d),
+ s AS (SELECT item_id, doc_id, round(count(*)::DOUBLE / n, 6) AS score FROM q JOIN x USING (k) GROUP BY item_id, doc_id, n),
+ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 3""")
+def lexical_topk(read):
+    words = lambda c: F.array_distinct(T.tokens(T.ascii_words(F.col(c))))
+    q = read("benchmark").where("item_id % 5 = 0").select("item_id", words("text").alias("t")).select("item_id", F.size("t").alias("n"), F.explode("t").alias("k"))
+    x = read("documents").select("doc_id", F.explode(words("text")).alias("k")).join(q.select("k").distinct(), "k", "left_semi")
+    s = x.join(q, "k").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("c")).select("item_id", "doc_id", F.round(F.col("c") / F.col("n"), 6).alias("score"))
+    return R.top_n(s, ["item_id"], [F.desc("score"), F.col("doc_id")], 3).select("item_id", "rank", "doc_id", "score")
+
+
+@_query("SELECT event_type, count(*) AS n, count(try_cast(json_extract_string(props, '$.k') AS BIGINT)) AS with_k FROM events GROUP BY 1")
+def json_props(read):
+    return read("events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.expr("try_cast(get_json_object(props, '$.k') as bigint)")).alias("with_k"))
+
+
+@_query("SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS pos, round(unnest(embedding)::DOUBLE, 6) AS x FROM embeddings")
+def unnest_array(read):
+    return read("embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x")).select("vec_id", "pos", F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+@_query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM events")
+def rate_window(read):
+    return limits.window_load(read("events"))
+
+
+@_query("""SELECT CASE WHEN grouping(o_orderstatus) = 1 THEN 'all' ELSE o_orderstatus END AS bucket, count(*) AS n, round(avg(o_totalprice::DOUBLE), 4) AS mean FROM orders GROUP BY GROUPING SETS ((), (o_orderstatus))""")
+def strata_buckets(read):
+    return read("orders").cube("o_orderstatus").agg(F.when(F.grouping("o_orderstatus") == 1, "all").otherwise(F.col("o_orderstatus")).alias("bucket"), F.count("*").alias("n"), F.round(F.avg(F.col("o_totalprice").cast("double")), 4).alias("mean")).select("bucket", "n", "mean")
+
+
+@_query("SELECT c_mktsegment, c_custkey, c_acctbal, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE r <= 3")
+def top_per_group(read):
+    return R.top_n(read("customer"), ["c_mktsegment"], [F.desc("c_acctbal"), F.col("c_custkey")], 3).select("c_mktsegment", "c_custkey", "c_acctbal", "rank")
+
+
+@_query("""WITH m AS (SELECT year(o_orderdate) AS y, sum(o_totalprice)::DOUBLE AS s FROM orders GROUP BY 1)
+ SELECT y, round(s - lag(s) OVER (ORDER BY y), 2) AS step, round(s - first_value(s) OVER (ORDER BY y), 2) AS from_first FROM m""")
+def adjacent_delta(read):
+    m = read("orders").groupBy(F.year("o_orderdate").alias("y")).agg(F.sum("o_totalprice").cast("double").alias("s"))
+    w = Window.orderBy("y")  # one row a year
+    return m.select("y", F.round(F.col("s") - F.lag("s").over(w), 2).alias("step"), F.round(F.col("s") - F.first("s").over(w), 2).alias("from_first"))
+
+
+@_query("SELECT doc_id % 4 AS shard, lang, count(*) AS n, count(DISTINCT source) AS sources FROM documents GROUP BY 1, 2")
+def modulo_shards(read):
+    return read("documents").groupBy((F.col("doc_id") % 4).alias("shard"), "lang").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
