@@ -42,20 +42,22 @@ class Forest:
         return [self.find(x) for x in range(len(self.up))]
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the same nodes, one fewer than nodes a component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    f = Forest(len(nodes))
+    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
+        f.join(x, y)
+    root = np.array(f.roots(), np.int64)
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[own], nodes[root[own]]
+
+
 def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest of a task's edges (of a million at a time)."""
     a = np.zeros(0, np.int64)
     b = np.zeros(0, np.int64)
 
-    def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        f = Forest(len(nodes))
-        for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
-            f.join(x, y)
-        root = np.array(f.roots(), np.int64)
-        own = np.flatnonzero(root != np.arange(len(nodes)))
-        return nodes[own], nodes[root[own]]
-
     for batch in batches:
         a, b = np.concatenate([a, batch.column(0).to_numpy()]), np.concatenate([b, batch.column(1).to_numpy()])
         if len(a) > 1_000_000:

@@ -5,8 +5,10 @@ shingle of their prefixes: in a global order of shingles two sets of Jaccard sim
 t or more share one of the first n - ceil(t n) + 1 of each. Frequent shingles (of
 passages that many documents hold) come last in that order, so they seldom meet. A pair
 that met in small groups alone has all its common prefix shingles counted, which bounds
-its overlap and drops most pairs; larger groups are linked in chains of size-compatible
-classes without a count. The components of what is left hold every true link.
+its overlap and drops most pairs: by their sum over the buckets of shingles, or, where a
+link must have more than one a bucket, by the bucket that holds its share of them. Larger
+groups hang on one of their size-compatible classes without a count. The components of
+what is left hold every true link.
 
 Within a component the sets are sorted by size and compared tile by tile within the
 size band that t allows: hashed bitmaps of both tiles give, by bit counts, an upper
@@ -28,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .groups import Forest, components, verified
+from .groups import Forest, components, forest, verified
 from .storage import keep
 from .textkit import SPACED, blocks, mix, ragged, shingles, tune, words
 
-SMALL = 32  # classes in a shingle's group up to which all its pairs are counted
+SMALL = 16  # classes in a shingle's group up to which all its pairs are counted
 TILE = 256
 
 
@@ -103,7 +105,7 @@ def linker(num: int, den: int):
     return link
 
 
-def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 75, den: int = 100, hot: int = 48, max_hot: int = 200_000, bucket_entries: int = 3_000_000, cap: int = 4096) -> DataFrame:
+def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 75, den: int = 100, hot: int = 12, max_hot: int = 1_000_000, bucket_entries: int = 3_000_000, cap: int = 4096) -> DataFrame:
     """(doc_id, n_shingles, component_id) of `docs` (doc_id, text): groups linked by Jaccard >= num/den.
 
     `hot` and `max_hot` only order the shingles (see the module): results do not depend on them.
@@ -114,21 +116,26 @@ def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 75, den: int =
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting = [], 0
+        known: set[int] = set()
 
         def often() -> pa.RecordBatch:
             value, n = np.unique(np.concatenate(held), return_counts=True)
-            good = n >= 4
+            good = n >= 2
             value, n = value[good], n[good]
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(value), 1, np.int32)), pa.array(value.view(np.int64)), pa.array(n), pa.array(np.zeros(len(value), np.int64))], ["kind", "key", "n", "class"])
 
         for b in batches:
             for i, j, value, ptr in sets_of(b.column(1), width):
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int32)), b.column(0).slice(i, j - i), pa.array(np.diff(ptr)), pa.array(classes(value, ptr).view(np.int64))], ["kind", "key", "n", "class"])
-                held.append(value)
-                waiting += len(value)
-                if waiting > 6_000_000:
+                cls = classes(value, ptr)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int32)), b.column(0).slice(i, j - i), pa.array(np.diff(ptr)), pa.array(cls.view(np.int64))], ["kind", "key", "n", "class"])
+                # Copies count once, and only shingles that can stand in a prefix count at all.
+                fresh = np.array([x not in known and not known.add(x) for x in cls.tolist()], bool)
+                held.append(value[np.repeat(fresh, np.diff(ptr)) & (value < np.uint64(0.3 * 2**64))])
+                waiting += len(held[-1])
+                if waiting > 3_000_000:
                     yield often()
                     held, waiting = [], 0
+                    known.clear()
         if waiting:
             yield often()
 
@@ -209,21 +216,35 @@ def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 75, den: int =
             left.append(head[~run])
             right.append(large[~run])
             chained.append(np.ones(int((~run).sum()), bool))
-        if not left:
-            return pa.table({k: pa.array([], pa.bool_() if k == "chained" else pa.int64()) for k in ("a", "b", "na", "nb", "n", "chained")})
-        i, j, chain = np.concatenate(left), np.concatenate(right), np.concatenate(chained)
+        none = np.zeros(0, np.int64)
+        i, j, chain = np.concatenate([none, *left]), np.concatenate([none, *right]), np.concatenate([none.astype(bool), *chained])
         swap = owner[i] > owner[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        order = np.lexsort((chain, owner[j], owner[i]))
+        order = np.lexsort((owner[j], owner[i]))
         i, j, chain = i[order], j[order], chain[order]
         new = np.ones(len(i), bool)
         new[1:] = (owner[i][1:] != owner[i][:-1]) | (owner[j][1:] != owner[j][:-1])
         at = np.flatnonzero(new)
-        return pa.table({"a": owner[i][at].view(np.int64), "b": owner[j][at].view(np.int64), "na": size[i][at], "nb": size[j][at], "n": np.add.reduceat((~chain).astype(np.int64), at) if len(at) else at, "chained": np.logical_or.reduceat(chain, at) if len(at) else at.astype(bool)})
+        count = np.diff(np.append(np.concatenate([[0], np.cumsum(~chain)])[at], (~chain).sum())) if len(at) else at
+        chain = np.logical_or.reduceat(chain, at) if len(at) else at.astype(bool)
+        i, j = i[at], j[at]
+        # A link's common prefix shingles number `need`, so some bucket holds its share of them.
+        na, nb = size[i], size[j]
+        need = (num * (na + nb) + num + den - 1) // (num + den) - np.maximum(na - prefix(na), nb - prefix(nb))
+        share = -(-need // n_buckets)
+        sure = chain | ((share > 1) & (count >= share))
+        open_ = ~sure & (share <= 1)
+        # Of the pairs that need no more counting, only what connects them goes on.
+        a, b = forest(owner[i[sure]].view(np.int64), owner[j[sure]].view(np.int64))
+        zero = np.zeros(len(a), np.int64)
+        return pa.table({
+            "a": np.concatenate([a, owner[i[open_]].view(np.int64)]), "b": np.concatenate([b, owner[j[open_]].view(np.int64)]), "na": np.concatenate([zero, na[open_]]), "nb": np.concatenate([zero, nb[open_]]),
+            "n": np.concatenate([zero, count[open_]]), "chained": np.concatenate([zero == 0, np.zeros(int(open_.sum()), bool)]),
+        })
 
     pairs = docs.where("doc_id is not null").select("text").mapInArrow(deal, "bucket int, body binary").groupBy("bucket").applyInArrow(meet, "a long, b long, na long, nb long, n long, chained boolean")
     rest = lambda c: F.floor(F.col(c) * num / den + (den - 1) / den) - 1  # noqa: E731  what stands after the prefix
-    met = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("n").alias("n"), F.max("chained").alias("chained"))
+    met = pairs.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("n").alias("n"), F.max("chained").alias("chained"))
     could = (F.col("n") + F.greatest(rest("na"), rest("nb"))) * (num + den) >= (F.col("na") + F.col("nb")) * num
     roots = components(met.where(F.col("chained") | could))
     # One document stands for each class; its set is built again where it is needed.
