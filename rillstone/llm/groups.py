@@ -73,6 +73,8 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of `edges` (a long, b long); root is some node of its component, one for all."""
     live = keep(edges.select("a", "b").where("a <> b").mapInArrow(_thin, "a long, b long").distinct(), "edges")
+    if live.isEmpty():
+        return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
     labels = None
     while True:
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -104,7 +106,7 @@ def _decide(frame: DataFrame, keys: list[str], link: Linker, *, start: bool = Fa
 
         def finish() -> pa.RecordBatch:
             nodes: dict[int, tuple] = {}
-            for row in sorted(held, key=lambda r: r["node"]):
+            for row in sorted(held, key=lambda r: (r["node"], start and not r["loose"])):
                 nodes.setdefault(row["node"], row)
             rows = list(nodes.values())
             f = Forest(len(rows))
@@ -131,31 +133,37 @@ def _decide(frame: DataFrame, keys: list[str], link: Linker, *, start: bool = Fa
     return frame.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "root long, node long, label long")
 
 
-def verified(members: DataFrame, link: Linker, *, cap: int = 4096) -> DataFrame:
-    """(node, label): exact groups of `members` (root, node, size, body)."""
-    sizes = members.groupBy("root").agg(F.count("*").alias("m"))
-    members = keep(members.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / cap)).cast("int")), "members")
-    first = keep(_decide(members.select("root", "chunk", "node", "size", "body"), ["root", "chunk"], link), "decided")
-    large = members.where(F.col("m") > cap)
+def verified(ids: DataFrame, fetch: Callable[[DataFrame], DataFrame], link: Linker, *, cap: int = 4096) -> DataFrame:
+    """(node, label): exact groups of `ids` (root, node and what fetch needs).
+
+    fetch gives (root, chunk, node, size, body) of such rows once they have a chunk; it is
+    called once, and bodies are shuffled once unless their component is large.
+    """
+    sizes = ids.groupBy("root").agg(F.count("*").alias("m"))
+    ids = keep(ids.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / cap)).cast("int")), "members")
+    bodies = keep(fetch(ids).select("root", "chunk", "node", "size", "body"), "bodies")
+    first = keep(_decide(bodies, ["root", "chunk"], link), "decided")
+    large = ids.where(F.col("m") > cap).select("root", "node", "m", "chunk")
     if large.isEmpty():
         return first.select("node", "label")
+    text = bodies.select("node", "size", "body")
     clustered = keep(large.join(first.select("node", "label"), "node"), "clusters")
     # One node of each cluster meets the others of its component, again in chunks of at most about cap.
-    heads = clustered.where("node = label").select("root", "node", "size", "body")
+    heads = clustered.where("node = label").select("root", "node")
     n_heads = heads.groupBy("root").agg(F.count("*").alias("h"))
     heads = heads.join(n_heads, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("h") / cap)).cast("int"))
-    second = keep(_decide(heads.select("root", "chunk", "node", "size", "body"), ["root", "chunk"], link), "decided")
-    clustered = clustered.join(second.select(F.col("node").alias("label"), F.col("label").alias("label2")), "label").select("root", "node", "size", "body", "m", "chunk", F.col("label2").alias("label"))
+    second = _decide(text.join(heads, "node").select("root", "chunk", "node", "size", "body"), ["root", "chunk"], link)
+    clustered = clustered.join(second.select(F.col("node").alias("label"), F.col("label").alias("label2")), "label").select("root", "node", "m", "chunk", F.col("label2").alias("label"))
+    clustered = keep(clustered, "clusters")
     most = clustered.groupBy("root", "label").agg(F.count("*").alias("c")).groupBy("root").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    clustered = keep(clustered.join(most, "root").withColumn("loose", F.col("label") != F.col("main")), "clusters")
+    clustered = clustered.join(most, "root").withColumn("loose", F.col("label") != F.col("main"))
     loose = clustered.where("loose")
-    blocks_ = loose.groupBy("root").agg(F.ceil(F.count("*") / cap).cast("int").alias("blocks"))
+    counted = loose.groupBy("root").agg(F.ceil(F.count("*") / cap).cast("int").alias("blocks"))
     # Every loose node meets every chunk: blocks of loose nodes by chunks of all.
-    there = clustered.join(blocks_, "root").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("loose", F.lit(False))
-    here = loose.join(blocks_, "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / cap).cast("int") - 1)))
-    columns = ["root", "chunk", "block", "node", "size", "body", "label", "loose"]
-    # A loose node also stands in its own chunk: the one marked loose is kept, for it sorts first.
-    met = here.select(*columns).unionByName(there.select(*columns)).groupBy("root", "chunk", "block", "node").agg(F.first("size").alias("size"), F.first("body").alias("body"), F.first("label").alias("label"), F.max("loose").alias("loose"))
+    there = clustered.join(counted, "root").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("loose", F.lit(False))
+    here = loose.join(counted, "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / cap).cast("int") - 1)))
+    columns = ["root", "chunk", "block", "node", "label", "loose"]
+    met = text.join(here.select(*columns).unionByName(there.select(*columns)), "node").select("root", "chunk", "block", "node", "size", "body", "label", "loose")
     third = _decide(met, ["root", "chunk", "block"], link, start=True)
     merged = components(third.select(F.col("node").alias("a"), F.col("label").alias("b"))).select(F.col("node").alias("label"), F.col("root").alias("final"))
     final = clustered.select("node", "label").join(merged, "label", "left").select("node", F.coalesce("final", "label").alias("label"))

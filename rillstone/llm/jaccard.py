@@ -249,18 +249,20 @@ def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 75, den: int =
     roots = components(met.where(F.col("chained") | could))
     # One document stands for each class; its set is built again where it is needed.
     stand = keep(roots.join(rows.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id")).withColumnRenamed("class", "node"), "node"), "representatives")
-    few = stand.count() <= 1_000_000
-    texts = docs.join(F.broadcast(stand) if few else stand, "doc_id").select("node", "root", "text")
-
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nodes = b.column(0).to_numpy()
-            for i, j, value, ptr in sets_of(b.column(2), width):
+            for i, j, value, ptr in sets_of(b.column(3), width):
                 good = np.flatnonzero(classes(value, ptr).view(np.int64) == nodes[i:j])
                 bodies = [value[ptr[x] : ptr[x + 1]].tobytes() for x in good]
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i).take(pa.array(good)), pa.array(nodes[i:j][good]), pa.array(np.diff(ptr)[good]), pa.array(bodies, pa.binary())], ["root", "node", "size", "body"])
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i).take(pa.array(good)), b.column(2).slice(i, j - i).take(pa.array(good)), pa.array(nodes[i:j][good]), pa.array(np.diff(ptr)[good]), pa.array(bodies, pa.binary())], ["root", "chunk", "node", "size", "body"])
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        few = ids.count() <= 1_000_000
+        texts = docs.join(F.broadcast(ids) if few else ids, "doc_id").select("node", "root", "chunk", "text")
+        return texts.mapInArrow(build, "root long, chunk int, node long, size long, body binary")
 
-    groups = verified(texts.mapInArrow(build, "root long, node long, size long, body binary").dropDuplicates(["node"]), linker(num, den), cap=cap)
+    groups = verified(stand, fetch, linker(num, den), cap=cap)
     named = rows.join(groups.select(F.col("node").alias("class"), F.col("label")), "class", "left").withColumn("grp", F.coalesce("label", "class"))
     named = keep(named.select("doc_id", "n_shingles", "grp"), "grouped")
     least = named.where("grp is not null").groupBy("grp").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")).where("m > 1").drop("m")
