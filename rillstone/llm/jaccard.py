@@ -105,52 +105,32 @@ def linker(num: int, den: int):
     return link
 
 
-def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 75, den: int = 100, hot: int = 12, max_hot: int = 1_000_000, bucket_entries: int = 3_000_000, cap: int = 4096) -> DataFrame:
+def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 75, den: int = 100, max_hot: int = 1_000_000, bucket_entries: int = 2_000_000, cap: int = 4096) -> DataFrame:
     """(doc_id, n_shingles, component_id) of `docs` (doc_id, text): groups linked by Jaccard >= num/den.
 
-    `hot` and `max_hot` only order the shingles (see the module): results do not depend on them.
+    A first round over somewhat longer prefixes finds the shingles of more than SMALL
+    classes; the `max_hot` most frequent come last in the order of the second. Results do
+    not depend on that order.
     """
     spark = docs.sparkSession
     tune(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, waiting = [], 0
-        known: set[int] = set()
-
-        def often() -> pa.RecordBatch:
-            value, n = np.unique(np.concatenate(held), return_counts=True)
-            good = n >= 2
-            value, n = value[good], n[good]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(value), 1, np.int32)), pa.array(value.view(np.int64)), pa.array(n), pa.array(np.zeros(len(value), np.int64))], ["kind", "key", "n", "class"])
-
         for b in batches:
             for i, j, value, ptr in sets_of(b.column(1), width):
-                cls = classes(value, ptr)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int32)), b.column(0).slice(i, j - i), pa.array(np.diff(ptr)), pa.array(cls.view(np.int64))], ["kind", "key", "n", "class"])
-                # Copies count once, and only shingles that can stand in a prefix count at all.
-                fresh = np.array([x not in known and not known.add(x) for x in cls.tolist()], bool)
-                held.append(value[np.repeat(fresh, np.diff(ptr)) & (value < np.uint64(0.3 * 2**64))])
-                waiting += len(held[-1])
-                if waiting > 3_000_000:
-                    yield often()
-                    held, waiting = [], 0
-                    known.clear()
-        if waiting:
-            yield often()
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(ptr)), pa.array(classes(value, ptr).view(np.int64))], ["doc_id", "n_shingles", "class"])
 
-    described = keep(docs.mapInArrow(describe, "kind int, key long, n long, class long"), "shingle-classes")
-    rows = described.where("kind = 0").select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class"))
-    frequent = described.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= hot).orderBy(F.desc("n"), "key").limit(max_hot).select("key").toArrow()
-    late = spark.sparkContext.broadcast(np.sort(frequent["key"].to_numpy().view(np.uint64)))
+    described = keep(docs.mapInArrow(describe, "doc_id long, n_shingles long, class long"), "shingle-classes")
+    rows = described.withColumn("class", F.when(F.col("n_shingles") > 0, F.col("class")))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     n_buckets = max(8, -(-(total * (den - num) // den) // bucket_entries))
 
     def prefix(n: np.ndarray) -> np.ndarray:
         return n - (n * num + den - 1) // den + 1
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = late.value
+    def deal(batches: Iterator[pa.RecordBatch], late=None) -> Iterator[pa.RecordBatch]:
+        last = late.value if late else np.zeros(0, np.uint64)
         for b in batches:
             for _, _, value, ptr in sets_of(b.column(0), width):
                 cls, n = classes(value, ptr), np.diff(ptr)
@@ -158,13 +138,14 @@ def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 75, den: int =
                 once = np.zeros(len(n), bool)
                 once[first] = True
                 use = np.flatnonzero(once & (n > 0))
-                at = np.searchsorted(last, value)
+                at = np.searchsorted(last, value) if len(last) else np.zeros(len(value), np.int64)
                 at[at == len(last)] = 0
                 is_late = last[at] == value if len(last) else np.zeros(len(value), bool)
                 doc = np.repeat(np.arange(len(n)), n)
                 # Sorted within documents already: a stable sort by (document, late) puts late ones last.
                 order = np.argsort(doc * 2 + is_late, kind="stable") if is_late.any() else np.arange(len(value))
-                take = order[ragged(ptr[:-1][use], prefix(n[use]))]
+                # The first round looks a tenth further, as far as late shingles will lengthen most prefixes.
+                take = order[ragged(ptr[:-1][use], prefix(n[use]) if late else np.minimum(prefix(n[use]) + n[use] // 10, n[use]))]
                 value, doc = value[take], doc[take]
                 bucket = (value % np.uint64(n_buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
@@ -174,7 +155,7 @@ def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 75, den: int =
                 bodies = [np.int64(cut[k + 1] - cut[k]).tobytes() + value[cut[k] : cut[k + 1]].tobytes() + owner[cut[k] : cut[k + 1]].tobytes() + size[cut[k] : cut[k + 1]].tobytes() for k in full]
                 yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(bodies, pa.binary())], ["bucket", "body"])
 
-    def meet(group: pa.Table) -> pa.Table:
+    def entries(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         values, owners, sizes = [], [], []
         for chunk in group["body"].chunks:
             for body in chunk:
@@ -184,7 +165,7 @@ def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 75, den: int =
                 owners.append(np.frombuffer(raw, "<u8", m, 8 + 8 * m))
                 sizes.append(np.frombuffer(raw, "<u4", m, 8 + 16 * m))
         value, owner, size = np.concatenate(values), np.concatenate(owners), np.concatenate(sizes).astype(np.int64)
-        order = np.argsort(value, kind="stable")
+        order = np.argsort(value)
         value, owner, size = value[order], owner[order], size[order]
         same = np.concatenate([[False], value[1:] == value[:-1]])
         many = same | np.concatenate([same[1:], [False]])
@@ -193,7 +174,14 @@ def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 75, den: int =
         value, owner, size = value[order], owner[order], size[order]
         fresh = np.ones(len(value), bool)
         fresh[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-        value, owner, size = value[fresh], owner[fresh], size[fresh]
+        return value[fresh], owner[fresh], size[fresh]
+
+    def frequent(group: pa.Table) -> pa.Table:
+        value, n = np.unique(entries(group)[0], return_counts=True)
+        return pa.table({"key": value[n > SMALL].view(np.int64), "n": n[n > SMALL]})
+
+    def meet(group: pa.Table) -> pa.Table:
+        value, owner, size = entries(group)
         begin = np.concatenate([[True], value[1:] != value[:-1]]) if len(value) else np.zeros(0, bool)
         number = np.cumsum(begin) - 1
         count = np.bincount(number, minlength=1)
@@ -242,7 +230,11 @@ def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 75, den: int =
             "n": np.concatenate([zero, count[open_]]), "chained": np.concatenate([zero == 0, np.zeros(int(open_.sum()), bool)]),
         })
 
-    pairs = docs.where("doc_id is not null").select("text").mapInArrow(deal, "bucket int, body binary").groupBy("bucket").applyInArrow(meet, "a long, b long, na long, nb long, n long, chained boolean")
+    texts = docs.where("doc_id is not null").select("text")
+    crowded = texts.mapInArrow(deal, "bucket int, body binary").groupBy("bucket").applyInArrow(frequent, "key long, n long")
+    crowded = crowded.orderBy(F.desc("n"), "key").limit(max_hot).select("key").toArrow()  # 8 bytes each at most
+    late = spark.sparkContext.broadcast(np.sort(crowded["key"].to_numpy().view(np.uint64)))
+    pairs = texts.mapInArrow(lambda batches: deal(batches, late), "bucket int, body binary").groupBy("bucket").applyInArrow(meet, "a long, b long, na long, nb long, n long, chained boolean")
     rest = lambda c: F.floor(F.col(c) * num / den + (den - 1) / den) - 1  # noqa: E731  what stands after the prefix
     met = pairs.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("n").alias("n"), F.max("chained").alias("chained"))
     could = (F.col("n") + F.greatest(rest("na"), rest("nb"))) * (num + den) >= (F.col("na") + F.col("nb")) * num

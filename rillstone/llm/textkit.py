@@ -173,8 +173,8 @@ def shingles(w: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
 def tune(spark) -> None:
     """Small Arrow batches, so that a Python worker's memory is bounded by bytes rather than by rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def extended(schema, ddl: str):
