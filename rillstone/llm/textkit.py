@@ -1,7 +1,7 @@
 """Vectorised text primitives shared by the operators of this subpackage.
 
 Texts arrive in Arrow batches; everything here works on their UTF-8 bytes with
-numpy, one block of about a megabyte at a time, so the cost is a few array passes
+numpy, one block of about half a megabyte at a time, so the cost is a few array passes
 per byte and the memory is bounded by the block (or by the longest single text).
 Null texts are empty texts.
 """
@@ -14,7 +14,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+
+# What a batch frees goes back to the system: several workers share an executor's memory.
+pa.set_memory_pool(pa.system_memory_pool())
 
 _BYTES = np.arange(256)
 _SPACE = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
