@@ -93,7 +93,7 @@ def prior_values(value: Column, group: Sequence[str], order: Sequence[Column]) -
 def nearest_rank(value: Column, q: float) -> Column:
     """The value at index round((n - 1) q), halves to even, of the sorted values.
 
-    By frequency of distinct values, so that a group's rows are combined before they meet.
+    Gathers a group's values in one task: for groups that fit there.
     """
     a = F.sort_array(F.collect_list(value))
     return F.element_at(a, F.bround((F.size(a) - 1) * q).cast("int") + 1)
