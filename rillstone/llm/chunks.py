@@ -8,7 +8,7 @@ costs one dictionary look-up a word and one ragged gather.
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -44,7 +44,7 @@ class ChunkCache:
             part = new[i : i + 20_000]
             ids = self.encode(part)
             n = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for y in ids for x in y), np.int32, int(n.sum()))
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))
             while self.used + len(flat) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             while len(self.index) + len(part) > len(self.start):
@@ -53,6 +53,7 @@ class ChunkCache:
             self.flat[self.used : self.used + len(flat)] = flat
             self.start[k : k + len(part)] = self.used + np.concatenate([[0], np.cumsum(n)[:-1]])
             self.count[k : k + len(part)] = n
+            self.met[k : k + len(part)] = 1
             self.used += len(flat)
             self.index.update(zip(part, range(k, k + len(part)), strict=True))
 
@@ -62,10 +63,10 @@ class ChunkCache:
             self._shrink()
         at = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
         missing = np.flatnonzero(at < 0)
+        self.met[at[at >= 0]] = 2
         if len(missing):
             gone = [chunks[i] for i in missing.tolist()]
             self._add(list(dict.fromkeys(gone)))
             at[missing] = np.fromiter(map(self.index.__getitem__, gone), np.int64, len(gone))
-        self.met[: len(self.index)] += np.bincount(at, minlength=len(self.index))
         count = self.count[at]
         return self.flat[ragged(self.start[at], count)], count

@@ -17,6 +17,7 @@ are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import gc
 import re
 import struct
 import zlib
@@ -167,29 +168,53 @@ class Shard:
 #: A space after white space and before more of it, or before the end: there a chunk could begin inside one pre-token.
 _ODD = re.compile(r"\s \s|\s \Z")
 _ODD_ASCII = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ", "\x1c ", "\x1d ", "\x1e ", "\x1f ")
+#: Characters whose classes are the same in every version of Unicode, so that pre-tokens can be cut here.
+_SETTLED = re.compile(r"[\t\n\r -~\u00A1-\u024F]*")
+_L, _N = r"A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F", r"0-9\u00B2\u00B3\u00B9\u00BC-\u00BE"
+#: The public byte-level pattern of pre-tokens for such characters, with chunks parted by NUL.
+_PRE_TOKEN = re.compile(rf"\0|'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s\0{_L}{_N}]+|\s+(?![^\s\0])|\s+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for letters from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b != 173]
+    return {b: b for b in own} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(own)))}
 
 
 @functools.lru_cache(2)
-def byte_bpe(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """Encoder of texts by the tokenizers library: all ids, and how many each text has."""
+def byte_bpe(path: str, limit: int = 200_000) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """Encoder of texts by the tokenizers library: all ids, and how many each text has.
+
+    A chunk is a word and what follows it up to the next space. New chunks are cut into
+    pre-tokens here and each distinct one (of the last `limit`) is merged by the library's model;
+    chunks with other characters, and texts with added tokens, are encoded by the library whole.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    # Tokens that begin with a space: in a string of plain chunks they mark where each begins.
-    opens = np.zeros(tokenizer.get_vocab_size(), bool)
-    opens[[i for token, i in tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
-
-    def encode_chunks(chunks: list[str]) -> list[list[int]]:
-        out: list = [None] * len(chunks)
-        plain = [i for i, c in enumerate(chunks) if len(c) > 1 and c[0] == " " and not c[-1].isspace() and " " not in c[1:]]
-        for a in range(0, len(plain), 2000):
-            at = plain[a : a + 2000]
-            ids = tokenizer.encode("".join([chunks[i] for i in at]), add_special_tokens=False).ids
-            cut = np.flatnonzero(opens[ids]).tolist()
-            if len(cut) == len(at):
-                for i, b, e in zip(at, cut, [*cut[1:], len(ids)], strict=True):
-                    out[i] = ids[b:e]
-        rest = [i for i, x in enumerate(out) if x is None]
+    added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+    letters, merge = _byte_letters(), tokenizer.model.tokenize
+    known: dict[str, tuple[int, ...]] = {}
+
+    def merged(pre_token: str) -> tuple[int, ...]:
+        if len(known) >= limit:
+            known.clear()
+        form = pre_token if pre_token.isascii() else pre_token.encode().decode("latin-1")
+        known[pre_token] = ids = tuple([x.id for x in merge(form.translate(letters))])
+        return ids
+
+    def encode_chunks(keys: list[str]) -> list[list[int]]:
+        chunks = [key[1:] if key[:1] == " " else " " + key for key in keys]
+        whole = [not _SETTLED.fullmatch(c) or any(x in c for x in added) for c in chunks]
+        out: list[list[int]] = []
+        ids: list[int] = []
+        for x in _PRE_TOKEN.findall("\0".join([*("" if w else c for c, w in zip(chunks, whole, strict=True)), ""])):
+            if x == "\0":
+                out.append(ids)
+                ids = []
+            else:
+                ids += known.get(x) or merged(x)
+        rest = [i for i, w in enumerate(whole) if w]
         for i, e in zip(rest, tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = e.ids
         return out
@@ -197,21 +222,23 @@ def byte_bpe(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     cache = ChunkCache(encode_chunks)
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        chunks: list[str] = []
+        # The key of a chunk is what follows its space; a space and the chunk where it has none.
+        keys: list[str] = []
         sizes = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if (any(x in t for x in _ODD_ASCII) if t.isascii() else True) and _ODD.search(t):
-                part = [t]
+            if any(x in t for x in added) or ((any(x in t for x in _ODD_ASCII) if t.isascii() else True) and _ODD.search(t)):
+                part = [" " + t]
             else:
                 part = t.split(" ")
-                part[1:] = [" " + x for x in part[1:]]
-                if not part[0]:
+                if part[0]:
+                    part[0] = " " + part[0]
+                else:
                     del part[0]
-            chunks += part
+            keys += part
             sizes[i] = len(part)
-        ids, count = cache.ids(chunks)
+        ids, count = cache.ids(keys)
         ends = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(sizes)])]
         return ids, np.diff(ends)
 
@@ -236,6 +263,13 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str, *, end_i
     tune(docs.sparkSession)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # lists of ids by the hundred thousand, without cycles: walking them is all a collection would do
+        try:
+            yield from shards(batches)
+        finally:
+            gc.enable()
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_bpe(tokenizer_path)
         part, number = TaskContext.get().partitionId(), 0
         ids: list[int] = []
