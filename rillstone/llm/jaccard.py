@@ -105,7 +105,7 @@ def linker(num: int, den: int):
     return link
 
 
-def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 75, den: int = 100, max_hot: int = 1_000_000, bucket_entries: int = 2_000_000, cap: int = 4096) -> DataFrame:
+def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 75, den: int = 100, max_hot: int = 1_000_000, bucket_entries: int = 500_000, cap: int = 4096) -> DataFrame:
     """(doc_id, n_shingles, component_id) of `docs` (doc_id, text): groups linked by Jaccard >= num/den.
 
     A first round over somewhat longer prefixes finds the shingles of more than SMALL
