@@ -89,7 +89,7 @@ class Pieces:
         self.unknown = next((i for i, m in enumerate(model) if m[2] == UNKNOWN), 0)
         self.silent = {i for i, m in enumerate(model) if m[2] in (CONTROL, UNKNOWN)}
         self.parts = all(SPACE not in p.lstrip(SPACE) for _, p, _ in usable)
-        self.cache = ChunkCache(lambda chunks: [self.viterbi(c) for c in chunks])
+        self.cache = ChunkCache(lambda chunks: [self.viterbi(c) for c in chunks], 200_000)
 
     def viterbi(self, text: str) -> list[int]:
         """Ids of the best segmentation of `text`, in which spaces are already U+2581."""

@@ -8,6 +8,7 @@ Null texts are empty texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,6 +19,9 @@ BLOCK_BYTES = 1 << 19
 
 # What a batch frees goes back to the system: several workers share an executor's memory.
 pa.set_memory_pool(pa.system_memory_pool())
+if hasattr(_LIBC := ctypes.CDLL(None), "mallopt"):  # glibc: keep at most 16 MB of free heap, map arrays over 8 MB
+    _LIBC.mallopt(-3, 8 << 20)
+    _LIBC.mallopt(-1, 16 << 20)
 
 _BYTES = np.arange(256)
 _SPACE = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
