@@ -232,7 +232,7 @@ def _merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, shard_words: int = 2_000_000, block_bytes: int = 16 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, shard_words: int = 500_000, block_bytes: int = 16 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """`docs` and n_words, spans (array of [start, end) in words, merged) and items (sorted, whose windows occur).
 
     Map-only: each document is read once a benchmark block and nothing is shuffled.
