@@ -10,7 +10,9 @@ no bound reaches its k-th best cosine, so its neighbours are exact.
 
 A score is the neighbours' vote, weighted by cosine, smoothed towards the rate among
 examples that share no term with anything, then mapped to the rate observed for such
-votes on a held part of the examples by a monotone step function.
+votes on a held part of the examples by a monotone step function. Each example stands for
+as many training rows as its label has for one example, in votes, rates and calibration, so
+that scores follow the training rows' label rates whatever the sample's are.
 
 Defined results: null, empty and unknown-word texts have no terms and get the smoothed
 rate of examples without terms; null or missing labels don't count; a row that repeats
@@ -67,6 +69,7 @@ class Index(NamedTuple):
     idf: np.ndarray
     ids: np.ndarray  # examples with terms, ascending
     label: np.ndarray
+    stands: np.ndarray  # relative weight of each example: its label's share of training rows over that of examples
     ptr: np.ndarray  # postings of a term
     example: np.ndarray
     weight: np.ndarray
@@ -108,7 +111,7 @@ class Index(NamedTuple):
         found, cosine = self.nearest(t, w)
         if skip >= 0:
             cosine, found = cosine[found != skip], found[found != skip]
-        power = cosine**2
+        power = cosine**2 * self.stands[found]
         return float((power @ self.label[found] + 0.3 * self.bare) / (power.sum() + 0.3)), found, cosine
 
     def calibrated(self, vote: float) -> float:
@@ -125,17 +128,17 @@ def unit_vectors(data: np.ndarray, off: np.ndarray, vocabulary: np.ndarray, idf:
     return np.searchsorted(doc, np.arange(n + 1)), term, w / np.where(norm[doc] > 0, norm[doc], 1)
 
 
-def build(vocabulary: np.ndarray, df: np.ndarray, total: int, ids: list[int], label: list[int], texts: list[str], k: int) -> Index:
-    """The index of at most `max_examples` examples."""
+def build(vocabulary: np.ndarray, df: np.ndarray, total: int, ids: list[int], label: list[int], texts: list[str], k: int, stands: tuple[float, float] = (1.0, 1.0)) -> Index:
+    """The index of at most `max_examples` examples; one of label x stands for stands[x] rows."""
     order = np.argsort(np.array(ids), kind="stable")
     idf = np.log((1 + total) / (1 + df)) + 1
-    who, term, weight, names, marks, bare = [], [], [], [], [], [0, 0]
+    who, term, weight, names, marks, bare = [], [], [], [], [], [0.0, 0.0]
     for i, j, data, off in blocks(pa.array([texts[x] for x in order], pa.string())):
         ptr, t, w = unit_vectors(data, off, vocabulary, idf)
         for x in range(j - i):
             mark = label[order[i + x]]
             if ptr[x + 1] == ptr[x]:
-                bare[mark] += 1
+                bare[mark] += stands[mark]
                 continue
             who.append(np.full(ptr[x + 1] - ptr[x], len(names)))
             term.append(t[ptr[x] : ptr[x + 1]])
@@ -151,14 +154,14 @@ def build(vocabulary: np.ndarray, df: np.ndarray, total: int, ids: list[int], la
     at = np.arange(len(vocabulary) + 1)
     most = np.maximum.reduceat(weight, first) if len(first) else weight
     rate = (bare[1] + 0.5) / (sum(bare) + 10)
-    index = Index(vocabulary, idf, np.array(names, np.int64), np.array(marks, float), np.searchsorted(term, at), who, weight, np.searchsorted(term[first], at), who[first] // BLOCK, most, rate, k, np.zeros(0), np.zeros(0))
+    index = Index(vocabulary, idf, np.array(names, np.int64), np.array(marks, float), np.array(stands)[np.array(marks, np.int64)], np.searchsorted(term, at), who, weight, np.searchsorted(term[first], at), who[first] // BLOCK, most, rate, k, np.zeros(0), np.zeros(0))
     # Calibration: votes of every eighth example without itself, pooled to a monotone function.
     by = np.argsort(who, kind="stable")
     ptr = np.searchsorted(who[by], np.arange(len(names) + 1))
     held = list(range(0, len(names), max(1, len(names) // 2000)))
     votes = np.array([index.vote(term[by[ptr[x] : ptr[x + 1]]], weight[by[ptr[x] : ptr[x + 1]]], x)[0] for x in held] + [rate])
     truth = np.array([marks[x] for x in held] + [rate])
-    mass = np.array([1.0] * len(held) + [10.0])
+    mass = np.array([stands[marks[x]] for x in held] + [10.0])
     pools: list[list[float]] = []  # sum, mass, least vote
     for x in np.argsort(votes, kind="stable").tolist():
         pools.append([truth[x] * mass[x], mass[x], votes[x]])
@@ -180,6 +183,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, train_mod: int = 5, max_exam
     tune(spark)
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % train_mod != 0)
+    rows_of = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     picked = []
     for mark in (0, 1):
         picked += known.where(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples // 2).collect()
@@ -198,6 +202,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, train_mod: int = 5, max_exam
 
     n_bad = sum(mark_of.values())
     n_good = len(mark_of) - n_bad
+    # A label's share of the training rows over its share of the examples: 1 while all rows are examples.
+    stands = tuple(rows_of.get(mark, 0) / max(n, 1) * len(mark_of) / max(sum(rows_of.values()), 1) for mark, n in ((0, n_good), (1, n_bad)))
     rate = lambda c, n: (F.col(c) + 0.5) / (n + 1)
     lean = F.log(rate("bad", n_bad) / rate("good", n_good))
     spoken = sample.mapInArrow(tell, "term long, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
@@ -217,7 +223,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, train_mod: int = 5, max_exam
     if len(vocabulary):
         found = {r["term"]: r["n"] for r in docs.select(F.col(text_col).cast("string")).mapInArrow(frequency, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
         rows = sample.collect()  # at most max_examples documents
-        index = build(vocabulary, np.array([found.get(i, 0) for i in range(len(vocabulary))]), found.get(-1, 0), [r["doc_id"] for r in rows], [mark_of[r["doc_id"]] for r in rows], [r["text"] or "" for r in rows], k)
+        index = build(vocabulary, np.array([found.get(i, 0) for i in range(len(vocabulary))]), found.get(-1, 0), [r["doc_id"] for r in rows], [mark_of[r["doc_id"]] for r in rows], [r["text"] or "" for r in rows], k, stands)
     else:
         index = None
     shared = spark.sparkContext.broadcast(index)

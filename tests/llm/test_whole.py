@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("rillstone.llm")
-from rillstone.llm import lines
+from rillstone.llm import lines, toxicity
 
 
 @pytest.mark.parametrize("cap", [4096, 8])
@@ -32,3 +32,13 @@ def test_near_lines_by_brute_force(spark, cap):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     got = {r["doc_id"] for r in lines.dedup_lines(docs, cap=cap).where("size(dropped_lines) > 0").collect()}
     assert len(expect) > 80 and got == expect
+
+
+def test_label_rates_do_not_depend_on_the_sample(spark):
+    # One text for both labels, an eighth of it toxic: its score is that rate whether or not the sample is one to one.
+    rows = [(i, "same words here" if i % 2 else f"vile scum {i}" if i % 16 == 0 else f"fine day {i}", int(i % 16 in (0, 1))) for i in range(2000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    for most in (8000, 400):
+        got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels, max_examples=most, k=60).where("doc_id < 20").collect()}
+        assert got[1]["score"] < 0.35 and got[3]["predicted"] == 0 and got[16]["predicted"] == 1
