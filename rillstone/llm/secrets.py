@@ -1,9 +1,11 @@
 """Secret scans with character Markov models (operator 9), in built-in functions only.
 
-Three fixed patterns give the base spans. Beside them, every maximal run of 20 to 512
+Three fixed patterns give the base spans. Beside them, every maximal run of 20 or more
 token characters outside them is scored by two first-order character Markov models,
 one of random strings and one of ordinary identifiers; a run whose log-likelihood
-ratio a character reaches `threshold` is a span of kind ``markov``. The models are two
+ratio a character reaches `threshold` is a span of kind ``markov``. A run of over 512
+is scored in pieces of 512, each half over the one before; its pieces that reach the
+threshold outside the base spans are merged where they overlap. The models are two
 tables of character pairs counted from labelled samples: random strings of several
 encodings made from hashes, and as ordinary ones fixed identifiers and the words of at
 most `sample_docs` documents (those of the least hashes of their ids) outside the base
@@ -31,16 +33,17 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ASSIGN_VALUE = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,512}+(?![A-Za-z0-9+/_=-])"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+(?![A-Za-z0-9+/_=-])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+PIECE = 512
 IDENTIFIERS = "user name index value list item count total error message request response handler config option buffer stream reader writer table column query result session thread worker manager factory service client server path file line token parser node tree graph edge cache key map set hash list page image event state action update delete insert create default test case data model view controller main init start stop time date number string array object class method field type version license the of and to in".split()
 
 SPAN = "array<struct<start:int,end:int,rank:int>>"
 _N = len(ALPHABET) + 1
 
 
-def _found(text: Column, pattern: str, rank: int, good) -> Column:
-    """Spans of the matches of `pattern` for which good(whole match, second group) holds."""
+def _found(text: Column, pattern: str, rank: int, good, piece: int | None = None) -> Column:
+    """Spans of the matches of `pattern`, or of half-overlapping pieces of longer ones, for which good(whole match, second group) holds."""
     p = F.lit(pattern)
     whole = F.regexp_extract_all(text, p, F.lit(0))
     value = F.regexp_extract_all(text, p, F.lit(2)) if rank == 0 else whole
@@ -51,11 +54,27 @@ def _found(text: Column, pattern: str, rank: int, good) -> Column:
         begin = acc["at"] + F.length(x["piece"])
         end = begin + F.coalesce(F.length(x["whole"]), F.lit(0))
         span = F.array(F.struct(begin.alias("start"), end.alias("end"), F.lit(rank).alias("rank")))
-        return F.struct(end.alias("at"), F.when(x["whole"].isNotNull() & good(x["whole"], x["value"]), F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        out = F.when(x["whole"].isNotNull() & good(x["whole"], x["value"]), F.concat(acc["out"], span)).otherwise(acc["out"])
+        if piece:
+            at = F.filter(F.sequence(F.lit(0), F.length(x["whole"]) - piece // 2 - 1, F.lit(piece // 2)), lambda i: good(part := F.substring(x["whole"], i + 1, F.lit(piece)), part))
+            parts = F.transform(at, lambda i: F.struct((begin + i).alias("start"), F.least(begin + i + piece, end).alias("end"), F.lit(rank).alias("rank")))
+            out = F.when(F.length(x["whole"]) > piece, F.concat(acc["out"], parts)).otherwise(out)
+        return F.struct(end.alias("at"), out.alias("out"))
 
     return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
 
 
+def _merged(spans: Column) -> Column:
+    """Spans in order of their starts, overlapping ones made one."""
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        both = F.array(F.struct(last["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank")))
+        return F.when(last["end"] >= s["start"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), both)).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast(SPAN), step)
+
+
 def base_spans(text: Column) -> Column:
     """The base spans of all kinds."""
     yes = lambda whole, value: F.lit(True)
@@ -109,8 +128,8 @@ def scan(docs: DataFrame, samples: DataFrame | None = None, *, threshold: float
         ratio = F.aggregate(_pairs(token), F.lit(0.0), lambda acc, p: acc + F.element_at(table, p + 1))
         return ratio >= F.length(token) * threshold
 
-    based = docs.withColumn("base", base_spans(F.col("text"))).withColumn("runs", _found(F.col("text"), TOKEN, 3, lambda whole, value: random(whole)))
-    apart = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    based = docs.withColumn("base", base_spans(F.col("text"))).withColumn("runs", _found(F.col("text"), TOKEN, 3, lambda whole, value: random(whole), PIECE))
+    apart = _merged(F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))))
     # Structs order by their fields: start, then end; ties of the start go by kind, so the kind stands second here.
     order = lambda spans: F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))), lambda s: s)
     return based.select("doc_id", order(F.col("base")).alias("base"), order(F.concat("base", apart)).alias("found"))
