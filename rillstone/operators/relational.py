@@ -180,3 +180,23 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *, id_col: str =
         one = vectors.mapInArrow(run, "query_id long, id long, score double")
         out = one if out is None else out.unionByName(one)
     return top_n(out, ["query_id"], [F.desc("score"), F.col("id")], k)
+
+
+def tree_paths(nodes: DataFrame) -> DataFrame:
+    """(node, root, depth) of every node of (node, parent) below a root, which is its own parent or has an unknown one.
+
+    Ancestors double their reach each round until no path grows, so the deepest path of
+    length n takes log2(n) joins. Nodes in a cycle, and those below one, have no root and no row.
+    """
+    known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
+    has = F.col("known").isNotNull() & (F.col("node") != F.col("parent"))
+    up = nodes.join(known, "parent", "left").select("node", F.when(has, F.col("parent")).alias("top"), F.when(has, 1).otherwise(0).cast("long").alias("depth")).localCheckpoint()
+    reach, total = 1, up.count()
+    while True:
+        above = up.select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"))
+        grown = up.join(above, "top", "left")
+        open_ = F.col("next").isNotNull()
+        if reach > total or grown.where(open_).isEmpty():  # a path longer than all nodes goes round a cycle
+            return grown.where(~open_).select("node", F.coalesce("top", "node").alias("root"), "depth")
+        up = grown.select("node", F.coalesce("next", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")).localCheckpoint()
+        reach *= 2

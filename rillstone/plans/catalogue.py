@@ -318,15 +318,7 @@ def branch_points(read):
 @_query("WITH RECURSIVE " + _TREE + """, p(node, root, depth) AS (SELECT node, node, 0 FROM n WHERE node = parent OR parent NOT IN (SELECT node FROM n)
  UNION ALL SELECT c.node, p.root, p.depth + 1 FROM n c JOIN p ON c.parent = p.node WHERE c.node <> c.parent) SELECT node, root, depth::BIGINT AS depth FROM p""")
 def tree_paths(read):
-    # Ancestors double their reach each round, so a path of length n takes log2(n) joins; a cycle stops at the bound.
-    n = _nodes(read)
-    known = n.select(F.col("node").alias("parent"))
-    rooted = n.join(known.withColumn("known", F.lit(True)), "parent", "left").withColumn("has", F.col("known").isNotNull() & (F.col("node") != F.col("parent")))
-    up = rooted.select("node", F.when(F.col("has"), F.col("parent")).alias("top"), F.when(F.col("has"), 1).otherwise(0).cast("long").alias("depth"))
-    for _ in range(4):
-        above = up.select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"))
-        up = up.join(above, "top", "left").select("node", F.when(F.col("next").isNotNull(), F.col("next")).otherwise(F.col("top")).alias("top"), (F.col("depth") + F.when(F.col("next").isNotNull(), F.col("more")).otherwise(0)).alias("depth"))
-    return up.select("node", F.coalesce("top", "node").alias("root"), "depth")
+    return R.tree_paths(_nodes(read))
 
 
 @_query("WITH " + _TREE + "SELECT node % 10 AS tree, arg_max(node, {'a': q, 'b': -node}) AS node, max(q) AS q FROM n WHERE node > 1000 GROUP BY 1")
