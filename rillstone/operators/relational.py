@@ -21,13 +21,13 @@ def reason_join(candidates: DataFrame, labels: DataFrame, keys: Sequence[str], o
 
 
 def validated_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """One-to-one join; raises where either side lacks an id or repeats one."""
-    for name, df in (("left", left), ("right", right)):
-        if again := df.groupBy(key).count().where(f"count > 1 or {key} is null").limit(10).collect():
-            raise ValueError(f"{name}: missing or repeated ids {[r[key] for r in again]}")
-    for name, a, b in (("right", left, right), ("left", right, left)):
-        if gone := a.join(b, key, "left_anti").select(key).limit(10).collect():
-            raise ValueError(f"{name} lacks ids {[r[key] for r in gone]}")
+    """One-to-one join; raises where either side lacks an id or repeats one. Both sides' ids are counted in one aggregate."""
+    both = left.select(key, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(right.select(key, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    counts = both.groupBy(key).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    for what, bad in {"missing or repeated on the left": "_l <> 1", "missing or repeated on the right": "_r <> 1"}.items():
+        counts = counts.withColumn(what, F.expr(f"{key} is null or {bad}"))
+    if found := counts.where("`missing or repeated on the left` or `missing or repeated on the right`").limit(10).collect():
+        raise ValueError("; ".join(f"{w}: {[r[key] for r in found if r[w]]}" for w in ("missing or repeated on the left", "missing or repeated on the right") if any(r[w] for r in found)))
     return left.join(right, key)
 
 
@@ -51,34 +51,42 @@ def top_n(rows: DataFrame, group: Sequence[str], order: Sequence[Column], n: int
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def min_max(value: Column, group: Sequence[str], least: float = 1e-9) -> Column:
-    """Scaled into 0..1 within the group; a group without spread gets 0.5."""
-    w = Window.partitionBy(*group)
-    lo, hi = F.min(value).over(w), F.max(value).over(w)
-    return F.when(hi - lo < least, 0.5).otherwise((value - lo) / (hi - lo))
+def group_scaled(rows: DataFrame, value: str, group: Sequence[str], least: float = 1e-9) -> DataFrame:
+    """`rows` with norm (scaled into 0..1 in the group, 0.5 without spread) and z (by the population's deviation, 0 without).
 
+    Groups are aggregated map-side and joined back, so no task sorts or holds a whole group.
+    """
+    stats = rows.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
+    v, span = F.col(value), F.col("_hi") - F.col("_lo")
+    out = rows.join(stats, list(group)).withColumn("norm", F.when(span < least, 0.5).otherwise((v - F.col("_lo")) / span))
+    return out.withColumn("z", F.when(F.col("_sd") < least, 0.0).otherwise((v - F.col("_mean")) / F.col("_sd"))).drop("_lo", "_hi", "_mean", "_sd")
 
-def z_score(value: Column, group: Sequence[str], least: float = 1e-9) -> Column:
-    """By the population's deviation; 0 for a group without spread."""
-    w = Window.partitionBy(*group)
-    sd = F.stddev_pop(value).over(w)
-    return F.when(sd < least, 0.0).otherwise((value - F.avg(value).over(w)) / sd)
 
+def group_softmax(rows: DataFrame, logit: str, group: Sequence[str], to: str) -> DataFrame:
+    """`rows` with the softmax of `logit` in the group, from sums of each group scaled by its own greatest value."""
+    top = rows.groupBy(*group).agg(F.max(logit).alias("_top"))
+    shifted = rows.join(top, list(group)).withColumn("_e", F.exp(F.col(logit) - F.col("_top")))
+    total = shifted.groupBy(*group).agg(F.sum("_e").alias("_sum"))
+    return shifted.join(total, list(group)).withColumn(to, F.col("_e") / F.col("_sum")).drop("_top", "_e", "_sum")
 
-def softmax(logit: Column, group: Sequence[str]) -> Column:
-    w = Window.partitionBy(*group)
-    e = F.exp(logit - F.max(logit).over(w))
-    return e / F.sum(e).over(w)
 
+def running_sum(rows: DataFrame, group: Sequence[str], order: Sequence[str], size: str, to: str) -> DataFrame:
+    """`rows` with the sum of `size` over the group's rows up to each one.
 
-def return_to_go(value: Column, group: Sequence[str], order: Sequence[Column]) -> Column:
-    return F.sum(value).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(0, Window.unboundedFollowing))
+    Rows are dealt by ranges of (group, order); each range adds up by itself and starts at the sum of the group's
+    ranges before it, so a group of any size is spread over many tasks.
+    """
+    from rillstone.sources.store import kept
+
+    dealt = kept(rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*group, "_part").agg(F.sum(size).alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
+    own = F.sum(size).over(Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("_own", own).join(sums, [*group, "_part"]).withColumn(to, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
 
 
-def slot_norm(value: Column, slot: Sequence[str], eps: float = 1e-4) -> Column:
-    """Centred and scaled by the sample deviation of the slot; a slot of one is 0."""
-    w = Window.partitionBy(*slot)
-    return F.when(F.count(value).over(w) <= 1, 0.0).otherwise((value - F.avg(value).over(w)) / (F.stddev_samp(value).over(w) + eps))
+def return_to_go(value: Column, group: Sequence[str], order: Sequence[Column]) -> Column:
+    return F.sum(value).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(0, Window.unboundedFollowing))
 
 
 def seen_before(form: Column, group: Sequence[str], order: Sequence[Column]) -> Column:
@@ -86,31 +94,14 @@ def seen_before(form: Column, group: Sequence[str], order: Sequence[Column]) ->
 
 
 def prior_values(value: Column, group: Sequence[str], order: Sequence[Column]) -> Column:
+    """The values before each row: lists that grow with the group, for groups that are short. See prior_counts for others."""
     return F.collect_list(value).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
 
 
-# Aggregates ----------------------------------------------------------------------------
-def nearest_rank(value: Column, q: float) -> Column:
-    """The value at index round((n - 1) q), halves to even, of the sorted values.
-
-    Gathers a group's values in one task: for groups that fit there.
-    """
-    a = F.sort_array(F.collect_list(value))
-    return F.element_at(a, F.bround((F.size(a) - 1) * q).cast("int") + 1)
-
-
-def paired_bootstrap(delta: DataFrame, column: str, rounds: int = 1000, seed: int = 7) -> DataFrame:
-    """Mean, 95 % interval and one-sided add-one p of the mean of paired differences.
-
-    Poisson bootstrap: each row draws its own multiplicity for each round from a hash, so
-    rows never meet and partial sums combine map-side: `rounds` rows leave each task.
-    """
-    u = F.pmod(F.xxhash64("_k", "round", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    edges = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712]
-    draw = sum((F.when(u > e, 1).otherwise(0) for e in edges), F.lit(0))
-    rows = delta.select(F.col(column).alias("d"), F.xxhash64(*delta.columns).alias("_k")).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    means = rows.withColumn("m", draw).groupBy("round").agg((F.sum(F.col("m") * F.col("d")) / F.sum("m")).alias("mean"))
-    return means.agg(F.avg("mean").alias("mean"), F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"), ((F.count_if(F.col("mean") <= 0) + 1) / (F.count("*") + 1)).alias("p"))
+def prior_counts(value: Column, kinds: Sequence[str], group: Sequence[str], order: Sequence[Column]) -> Column:
+    """How often each kind came before each row, as kind:count joined by bars: of one size whatever the group's."""
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.concat_ws("|", *[F.concat(F.lit(f"{k}:"), F.coalesce(F.sum((value == k).cast("long")).over(w), F.lit(0)).cast("string")) for k in kinds])
 
 
 # Curation ------------------------------------------------------------------------------
@@ -131,9 +122,9 @@ def hash_ranked(rows: DataFrame, seed: str, key: str, n: int, group: Sequence[st
     return rows.withColumn("_h", digest).orderBy("_h", key).limit(n).drop("_h")
 
 
-def budget_pack(rows: DataFrame, group: Sequence[str], order: Sequence[Column], size: Column, budget: int) -> DataFrame:
-    """The leading rows of each group whose sizes together keep to `budget`."""
-    return rows.withColumn("used", F.sum(size).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("used") <= budget)
+def budget_pack(rows: DataFrame, group: Sequence[str], order: Sequence[str], size: str, budget: int) -> DataFrame:
+    """The leading rows of each group whose sizes together keep to `budget`, with `used`."""
+    return running_sum(rows, group, order, size, "used").where(F.col("used") <= budget)
 
 
 # Vectors -------------------------------------------------------------------------------
@@ -145,58 +136,105 @@ def unit(v: Column) -> Column:
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", block_bytes: int = 16 << 20) -> DataFrame:
     """(query_id, rank, id, score): exact top-k by inner product of unit vectors.
 
-    Queries go in blocks of at most `block_bytes`; each block is broadcast and meets every
-    Arrow batch in one matrix product, and a task keeps only its own k best of a query.
+    Queries go in blocks of at most `block_bytes`, one after the other where there are several: a block is broadcast,
+    meets every Arrow batch in one matrix product, and is released when its best are written. A task keeps only
+    its own k best of a query.
     """
     import numpy as np
     import pyarrow as pa
 
+    from rillstone.sources.store import kept
+
     spark = corpus.sparkSession
     q = queries.select(F.col(id_col).cast("long").alias("id"), unit(F.col(vec_col)).alias("v"))
     stats = q.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    passes = max(1, -(-(stats["n"] or 0) * (stats["d"] or 1) * 8 // block_bytes))
-    vectors = corpus.select(F.col(id_col).cast("long").alias("id"), unit(F.col(vec_col)).alias("v"))
+    width = stats["d"] or 1
+    passes = max(1, -(-(stats["n"] or 0) * width * 8 // block_bytes))
+    vectors = corpus.select(F.col(id_col).cast("long").alias("id"), unit(F.col(vec_col)).alias("v")).where(F.size("v") == width)
     out = None
     for number in range(passes):
-        table = q.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == number).orderBy("id").toArrow()
-        shared = spark.sparkContext.broadcast((table["id"].to_numpy(), np.array(table["v"].to_pylist(), float)))
+        table = q.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == number).orderBy("id").toArrow().combine_chunks()
+        matrix = table["v"].combine_chunks().flatten().to_numpy().reshape(-1, width) if table.num_rows else np.zeros((0, width))
+        shared = spark.sparkContext.broadcast((table["id"].to_numpy(), matrix))
 
         def run(batches, shared=shared):
             ids, m = shared.value
-            best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+            if not len(ids):
+                return
+            score, found = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
             for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
-                own = b.column(0).to_numpy()
-                scores = np.round(m @ np.array(b.column(1).to_pylist(), float).T, 9)
-                for i in range(len(ids)):
-                    s, d = np.concatenate([best[i][0], scores[i]]), np.concatenate([best[i][1], own])
-                    keep = np.lexsort((d, -s))[:k]
-                    best[i] = (s[keep], d[keep])
-            n = [len(s) for s, _ in best]
-            if sum(n):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([d for _, d in best])), pa.array(np.concatenate([s for s, _ in best]))], ["query_id", "id", "score"])
+                for a in range(0, b.num_rows, 1024):
+                    part = b.slice(a, 1024)
+                    new = np.round(m @ part.column(1).flatten().to_numpy().reshape(part.num_rows, -1).T, 9)
+                    score, found = np.concatenate([score, new], 1), np.concatenate([found, np.broadcast_to(part.column(0).to_numpy(), new.shape)], 1)
+                    best = np.lexsort((found, -score), axis=1)[:, :k]
+                    score, found = np.take_along_axis(score, best, 1), np.take_along_axis(found, best, 1)
+            good = np.isfinite(score)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, good.sum(1))), pa.array(found[good]), pa.array(score[good])], ["query_id", "id", "score"])
 
         one = vectors.mapInArrow(run, "query_id long, id long, score double")
+        if passes > 1:
+            one = kept(one, "topk")
+            shared.unpersist()
         out = one if out is None else out.unionByName(one)
     return top_n(out, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
-def tree_paths(nodes: DataFrame) -> DataFrame:
-    """(node, root, depth) of every node of (node, parent) below a root, which is its own parent or has an unknown one.
+def lexical_topk(queries: DataFrame, docs: DataFrame, k: int, *, block_terms: int = 2_000_000) -> DataFrame:
+    """(query_id, rank, doc_id, score): exact top-k by 3 * shared title tokens + shared text tokens.
 
-    Ancestors double their reach each round until no path grows, so the deepest path of
-    length n takes log2(n) joins. Nodes in a cycle, and those below one, have no root and no row.
+    `queries` is (query_id, tokens) and `docs` (doc_id, title, text), all distinct token arrays. Queries go in blocks of at
+    most `block_terms` tokens, one after the other where there are several; a block is broadcast as lists of
+    queries by token, and a task keeps its k best of each. Every document competes, those without a shared token last.
     """
-    known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
-    has = F.col("known").isNotNull() & (F.col("node") != F.col("parent"))
-    up = nodes.join(known, "parent", "left").select("node", F.when(has, F.col("parent")).alias("top"), F.when(has, 1).otherwise(0).cast("long").alias("depth")).localCheckpoint()
-    reach, total = 1, up.count()
-    while True:
-        above = up.select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"))
-        grown = up.join(above, "top", "left")
-        open_ = F.col("next").isNotNull()
-        if reach > total or grown.where(open_).isEmpty():  # a path longer than all nodes goes round a cycle
-            return grown.where(~open_).select("node", F.coalesce("top", "node").alias("root"), "depth")
-        up = grown.select("node", F.coalesce("next", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")).localCheckpoint()
-        reach *= 2
+    import numpy as np
+    import pyarrow as pa
+
+    from rillstone.sources.store import kept
+
+    spark = docs.sparkSession
+    hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x))
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), hashed("tokens").alias("t"))
+    passes = max(1, -(-(q.agg(F.sum(F.size("t"))).first()[0] or 0) // block_terms))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashed("title").alias("title"), hashed("text").alias("text"))
+    out = None
+    for number in range(passes):
+        table = q.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == number).orderBy("query_id").toArrow().combine_chunks()
+        ids = table["query_id"].to_numpy()
+        sizes = np.array([len(x) for x in table["t"]], np.int64)
+        terms, place = np.unique(table["t"].combine_chunks().flatten().to_numpy() if len(ids) else np.zeros(0, np.int64), return_inverse=True)
+        by = np.argsort(place, kind="stable")
+        shared = spark.sparkContext.broadcast((ids, terms, np.searchsorted(place[by], np.arange(len(terms) + 1)), np.repeat(np.arange(len(ids)), sizes)[by]))
+
+        def run(batches, shared=shared):
+            ids, terms, ptr, who = shared.value
+            if not len(ids):
+                return
+            score, found = np.full((len(ids), k), -1, np.int64), np.full((len(ids), k), np.iinfo(np.int64).max)
+            for b in batches:
+                for a in range(0, b.num_rows, 256):
+                    part = b.slice(a, 256)
+                    new = np.zeros((len(ids), part.num_rows), np.int64)
+                    for column, worth in ((1, 3), (2, 1)):
+                        lists = part.column(column)
+                        doc = np.repeat(np.arange(part.num_rows), np.array([0 if x is None or not x.is_valid else len(x) for x in lists], np.int64))
+                        value = lists.flatten().to_numpy()
+                        at = np.minimum(np.searchsorted(terms, value), max(len(terms) - 1, 0))
+                        good = terms[at] == value if len(terms) else np.zeros(len(value), bool)
+                        at, doc = at[good], doc[good]
+                        n = ptr[at + 1] - ptr[at]
+                        start = np.repeat(ptr[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(n) else np.zeros(0, np.int64)
+                        pair = who[start + np.arange(int(n.sum()))] * part.num_rows + np.repeat(doc, n)
+                        new += worth * np.bincount(pair, minlength=new.size).reshape(new.shape)
+                    score, found = np.concatenate([score, new], 1), np.concatenate([found, np.broadcast_to(part.column(0).to_numpy(), new.shape)], 1)
+                    best = np.lexsort((found, -score), axis=1)[:, :k]
+                    score, found = np.take_along_axis(score, best, 1), np.take_along_axis(found, best, 1)
+            good = score >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, good.sum(1))), pa.array(found[good]), pa.array(score[good])], ["query_id", "doc_id", "score"])
+
+        one = d.mapInArrow(run, "query_id long, doc_id long, score long")
+        if passes > 1:
+            one = kept(one, "lexical")
+            shared.unpersist()
+        out = one if out is None else out.unionByName(one)
+    return top_n(out, ["query_id"], [F.desc("score"), F.col("doc_id")], k)

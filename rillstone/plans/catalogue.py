@@ -7,36 +7,18 @@ The driver's tables stand in for the engine's records: assistant turns of
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillstone.functions import text as T
+from rillstone.operators import credit as C
 from rillstone.operators import relational as R
+from rillstone.plans import answers, credit, curation, formats, machines, reports, steps, trees  # noqa: F401  they register their queries
+from rillstone.plans.registry import oracle_sql, queries  # noqa: F401
+from rillstone.plans.registry import query as _query
 from rillstone.streaming import limits
 
 FLAGSHIP = "answer_quality"
-_FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        _FOUND[f.__name__] = lambda spark, sf_dir: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_FOUND)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
 
 
 # SQL forms of the text functions.
@@ -54,21 +36,6 @@ def _turns(read) -> DataFrame:
     return read("conversations").withColumn("nxt", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
 
 
-@_query(f"""
-WITH t AS ({_TURNS}),
- f AS (SELECT conv_id, turn, role, {_ANSWER('text')} AS p, {_ANSWER('nxt')} AS g FROM t WHERE nxt IS NOT NULL),
- k AS (SELECT conv_id, turn, role, p, g, {_TOKENS('p')} AS pt, {_TOKENS('g')} AS gt FROM f),
- c AS (SELECT *, list_sum(list_transform(list_distinct(pt), lambda x: least(len(list_filter(pt, lambda y: y = x)), len(list_filter(gt, lambda y: y = x))))) AS o FROM k)
-SELECT role, count(*) AS n, round(avg(CASE WHEN p = g THEN 1.0 ELSE 0.0 END), 6) AS em,
- round(avg(CASE WHEN len(pt) = 0 AND len(gt) = 0 THEN 1.0 WHEN coalesce(o, 0) = 0 THEN 0.0 ELSE 2.0 * o / (len(pt) + len(gt)) END), 6) AS f1,
- round(avg(CASE WHEN len(gt) > 0 AND contains(' ' || array_to_string(pt, ' ') || ' ', ' ' || array_to_string(gt, ' ') || ' ') THEN 1.0 ELSE 0.0 END), 6) AS cover
-FROM c GROUP BY role""")
-def answer_quality(read):
-    t = _turns(read).where("nxt is not null")
-    golds = F.array("nxt")
-    mean = lambda c: F.round(F.avg(c.cast("double")), 6)
-    return t.groupBy("role").agg(F.count("*").alias("n"), mean(T.exact_match(F.col("text"), golds)).alias("em"), mean(T.token_f1(F.col("text"), golds)).alias("f1"), mean(T.cover_match(F.col("text"), golds)).alias("cover"))
-
 
 @_query(f"""SELECT conv_id, turn, {_ANSWER('text')} AS answer, {_SQUEEZE(f"regexp_replace(lower(coalesce(text, '')), '{_P}', '', 'g')")} AS plain,
  {_SQUEEZE("lower(coalesce(text, ''))")} AS loose, {_SQUEEZE(r"regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\s]', '', 'g')")} AS strict,
@@ -78,30 +45,11 @@ def normal_forms(read):
     return read("conversations").select("conv_id", "turn", T.answer_form(c).alias("answer"), T.plain_form(c).alias("plain"), T.loose_title(c).alias("loose"), T.strict_title(c).alias("strict"), T.ascii_words(c).alias("words"), T.query_form(c).alias("query"))
 
 
-@_query("""SELECT event_type, avg(value) AS mean, quantile_cont(value, 0.5) AS median,
- list_sort(list(value))[round_even((count(value) - 1) * 0.95, 0)::INT + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type""")
-def latency_percentiles(read):
-    return read("events").where("value is not null").groupBy("event_type").agg(F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"), R.nearest_rank(F.col("value"), 0.95).alias("p95"))
 
-
-_PAIR = """WITH a AS (SELECT o_custkey AS k, sum(o_totalprice)::DOUBLE AS x FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
- b AS (SELECT o_custkey AS k, sum(o_totalprice)::DOUBLE AS y FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1) """
-
-
-def _pairs(read) -> DataFrame:
-    half = lambda n, name: read("orders").where(F.col("o_orderkey") % 2 == n).groupBy(F.col("o_custkey").alias("k")).agg(F.sum("o_totalprice").cast("double").alias(name))
-    a, b = half(0, "x"), half(1, "y")
-    return R.validated_join(a.join(b, "k", "left_semi"), b.join(a, "k", "left_semi"), "k")
-
-
-@_query(_PAIR + "SELECT k, round(x - y, 4) AS delta, x > y AS better FROM a JOIN b USING (k)")
+@_query("""SELECT p_partkey AS k, round(p_retailprice - c, 4) AS delta, p_retailprice > c AS better FROM part JOIN (SELECT p_partkey AS k2, p_size * 100.0 AS c FROM part) ON p_partkey = k2""")
 def validated_pair_delta(read):
-    return _pairs(read).select("k", F.round(F.col("x") - F.col("y"), 4).alias("delta"), (F.col("x") > F.col("y")).alias("better"))
-
-
-@_query()
-def paired_bootstrap(read):
-    return R.paired_bootstrap(_pairs(read).select("k", (F.col("x") - F.col("y")).alias("d")), "d", rounds=200)
+    a, b = read("part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").cast("double").alias("x")), read("part").select(F.col("p_partkey").alias("k"), (F.col("p_size") * 100.0).alias("y"))
+    return R.validated_join(a, b, "k").select("k", F.round(F.col("x") - F.col("y"), 4).alias("delta"), (F.col("x") > F.col("y")).alias("better"))
 
 
 _JOINED = """WITH j AS (SELECT d.doc_id, d.source, d.n_chars, l.quality, l.doc_id IS NOT NULL AS seen FROM documents d LEFT JOIN labels l USING (doc_id)) """
@@ -123,8 +71,8 @@ def reason_join_assembly(read):
  SELECT doc_id, source, round(norm, 6) AS norm, round(z, 6) AS z, round(x / sum(x) OVER (PARTITION BY source), 6) AS target FROM e""")
 def group_minmax_softmax(read):
     k = _joined(read).where("reason <> 'missing_label'")
-    g = k.withColumn("norm", R.min_max(F.col("n_chars"), ["source"])).withColumn("z", R.z_score(F.col("n_chars"), ["source"]))
-    return g.withColumn("target", R.softmax(2.0 * F.col("quality") + F.col("norm"), ["source"])).select("doc_id", "source", F.round("norm", 6).alias("norm"), F.round("z", 6).alias("z"), F.round("target", 6).alias("target"))
+    g = R.group_scaled(k, "n_chars", ["source"]).withColumn("logit", 2.0 * F.col("quality") + F.col("norm"))
+    return R.group_softmax(g, "logit", ["source"], "target").select("doc_id", "source", F.round("norm", 6).alias("norm"), F.round("z", 6).alias("z"), F.round("target", 6).alias("target"))
 
 
 _SPLIT = "CASE WHEN ('0x' || substr(md5('7:' || doc_id), 1, 8))::UBIGINT / 4294967295.0 < 0.1 THEN 'dev' ELSE 'train' END"
@@ -168,15 +116,6 @@ def topk_hit_recall_noise(read):
     return found.join(gold, "ql").agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("hit3"), F.round(F.avg(F.when(F.col("gold") > 0, F.col("found") / F.col("gold"))), 6).alias("recall3"), F.round(F.avg(1 - F.col("found") / 3), 6).alias("noise3"))
 
 
-@_query("""WITH u AS (SELECT 0 AS part, doc_id AS pos, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark), k AS (SELECT * FROM u WHERE trim(text) <> ''),
- d AS (SELECT *, sha1(lower(text)) AS h, row_number() OVER (PARTITION BY sha1(lower(text)) ORDER BY part, pos) AS r, count(*) OVER (PARTITION BY sha1(lower(text))) AS n FROM k)
- SELECT CASE WHEN part = 1 THEN 'extend_' || pos ELSE pos::VARCHAR END AS id, h AS digest, n - 1 AS n_dropped FROM d WHERE r = 1""")
-def content_dedup(read):
-    u = read("documents").select(F.lit(0).alias("part"), F.col("doc_id").cast("long").alias("pos"), "text").unionByName(read("benchmark").select(F.lit(1).alias("part"), F.col("item_id").cast("long").alias("pos"), "text"))
-    k = u.where(F.trim("text") != "").select("part", "pos", F.sha1(F.lower("text").cast("binary")).alias("digest"))
-    first = R.first_wins(k, "digest", ["part", "pos"])
-    return first.select(F.when(F.col("part") == 1, F.concat(F.lit("extend_"), F.col("pos").cast("string"))).otherwise(F.col("pos").cast("string")).alias("id"), "digest", "n_dropped")
-
 
 @_query("""WITH t AS (SELECT source, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '\\s+', ' ', 'g')) AS title FROM documents)
  SELECT title, count(DISTINCT source) AS n_sources, count(*) - 1 AS surplus FROM t GROUP BY title HAVING count(*) > 1""")
@@ -190,10 +129,6 @@ def resume_antijoin(read):
     return R.pending(read("documents"), read("labels"), ["doc_id"]).select("doc_id", "lang")
 
 
-@_query("SELECT p_brand, arg_min(p_partkey, {'a': p_size, 'b': p_partkey}) AS p_partkey, count(*) - 1 AS n_dropped FROM part GROUP BY p_brand")
-def first_wins_lookup(read):
-    return R.first_wins(read("part").select("p_brand", "p_size", "p_partkey"), "p_brand", ["p_size", "p_partkey"]).select("p_brand", "p_partkey", "n_dropped")
-
 
 @_query("""SELECT source, count(*) AS n, count(DISTINCT doc_id) AS ids, count_if(trim(coalesce(text, '')) = '') AS blank, min(n_chars) AS least, max(n_chars) AS most,
  count(*) = count(DISTINCT doc_id) AS ok FROM documents GROUP BY source""")
@@ -208,9 +143,17 @@ def _steps(read) -> DataFrame:
     return read("events").select("user_id", "event_id", "ts", "event_type", "value").withColumn("turn", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
 
 
-@_query(_STEPS + "SELECT event_id, coalesce(list(event_type) OVER (PARTITION BY user_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS prior FROM s WHERE turn <= 6")
+_KINDS = ("view", "click", "purchase", "signup", "error")
+
+
+@_query(_STEPS + "SELECT event_id, " + " || '|' || ".join(f"'{k}:' || coalesce(sum((event_type = '{k}')::INT) OVER w, 0)" for k in _KINDS) + " AS prior FROM s WINDOW w AS (PARTITION BY user_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def prior_steps(read):
-    return _steps(read).where("turn <= 6").select("event_id", R.prior_values(F.col("event_type"), ["user_id"], [F.col("turn")]).alias("prior"))
+    return _steps(read).select("event_id", R.prior_counts(F.col("event_type"), _KINDS, ["user_id"], [F.col("turn")]).alias("prior"))
+
+
+@_query("SELECT conv_id, turn, coalesce(string_agg(role, '>') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS prior FROM conversations")
+def prior_roles(read):
+    return read("conversations").select("conv_id", "turn", F.array_join(R.prior_values(F.col("role"), ["conv_id"], [F.col("turn")]), ">").alias("prior"))
 
 
 @_query(_STEPS + """, n AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY turn) = 1 AS fresh FROM s)
@@ -226,10 +169,11 @@ def return_to_go(read):
     return _steps(read).select("event_id", F.round(R.return_to_go(F.col("value"), ["user_id"], [F.col("turn")]), 4).alias("rtg"))
 
 
-@_query(_STEPS + """SELECT event_id, round(CASE WHEN count(value) OVER w <= 1 THEN 0.0 ELSE (value - avg(value) OVER w) / (stddev_samp(value) OVER w + 1e-4) END, 6) AS credit
+@_query(_STEPS + """SELECT event_id, round(CASE WHEN count(value) OVER w <= 1 THEN 0.0 ELSE (value - avg(value) OVER w) / (stddev_samp(value) OVER w + 1e-4) END, 6) + 0.0 AS credit
  FROM s WINDOW w AS (PARTITION BY event_type, turn)""")
 def group_turn_norm(read):
-    return _steps(read).select("event_id", F.round(R.slot_norm(F.col("value"), ["event_type", "turn"]), 6).alias("credit"))
+    n = C.normalized(_steps(read), ["event_type", "turn"], "value", "credit")
+    return n.select("event_id", (F.round("credit", 6) + 0.0).alias("credit"))
 
 
 @_query("SELECT user_id, greatest(-3, count(DISTINCT event_type) - count(*)) AS repeat_cost, -greatest(count(*) - 1, 0) AS turn_cost FROM events GROUP BY user_id")
@@ -277,11 +221,11 @@ def categorize_primary(read):
     return read("conversations").select("conv_id", "turn", marks.alias("marks")).select("conv_id", "turn", F.array_join("marks", "|").alias("marks"), main.alias("main"))
 
 
-_TAGGED = "WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '<query>' || left(text, 40) || '</query>' WHEN turn % 3 = 1 THEN '<query>q</query> x <answer>' || left(text, 30) || '</answer>' ELSE text END AS s FROM conversations) "
+_TAGGED = "WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '<query>' || text || '</query>' WHEN turn % 3 = 1 THEN '<query>q</query> x <answer>' || text || '</answer>' ELSE text END AS s FROM conversations) "
 
 
 def _tagged(read) -> DataFrame:
-    t = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("<query>"), F.left("text", F.lit(40)), F.lit("</query>"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("<query>q</query> x <answer>"), F.left("text", F.lit(30)), F.lit("</answer>"))).otherwise(F.col("text"))
+    t = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("<query>"), F.col("text"), F.lit("</query>"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("<query>q</query> x <answer>"), F.col("text"), F.lit("</answer>"))).otherwise(F.col("text"))
     return read("conversations").select("conv_id", "turn", t.alias("s"))
 
 
@@ -298,32 +242,7 @@ def tag_extract(read):
 @_query("""SELECT doc_id, source, used FROM (SELECT doc_id, source, sum(octet_length(encode(coalesce(text, '')))) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS used FROM documents) WHERE used <= 20000""")
 def token_budget_pack(read):
     d = read("documents").select("doc_id", "source", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
-    return R.budget_pack(d, ["source"], [F.col("doc_id")], F.col("size"), 20000).select("doc_id", "source", "used")
-
-
-_TREE = "n AS (SELECT o_orderkey AS node, o_orderkey // 2 AS parent, o_totalprice::DOUBLE AS q FROM orders WHERE o_orderkey <= 2000) "
-
-
-def _nodes(read) -> DataFrame:
-    return read("orders").where("o_orderkey <= 2000").select(F.col("o_orderkey").alias("node"), F.floor(F.col("o_orderkey") / 2).alias("parent"), F.col("o_totalprice").cast("double").alias("q"))
-
-
-@_query("WITH " + _TREE + "SELECT p.node, count(*) AS children, count(DISTINCT c.q) = 1 AS same_q, max(c.q) AS best FROM n p JOIN n c ON c.parent = p.node AND c.node <> c.parent GROUP BY 1 HAVING count(*) >= 2")
-def branch_points(read):
-    n = _nodes(read)
-    kids = n.where("node <> parent").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("children"), (F.count_distinct("q") == 1).alias("same_q"), F.max("q").alias("best")).where("children >= 2")
-    return n.select("node").join(kids, "node")
-
-
-@_query("WITH RECURSIVE " + _TREE + """, p(node, root, depth) AS (SELECT node, node, 0 FROM n WHERE node = parent OR parent NOT IN (SELECT node FROM n)
- UNION ALL SELECT c.node, p.root, p.depth + 1 FROM n c JOIN p ON c.parent = p.node WHERE c.node <> c.parent) SELECT node, root, depth::BIGINT AS depth FROM p""")
-def tree_paths(read):
-    return R.tree_paths(_nodes(read))
-
-
-@_query("WITH " + _TREE + "SELECT node % 10 AS tree, arg_max(node, {'a': q, 'b': -node}) AS node, max(q) AS q FROM n WHERE node > 1000 GROUP BY 1")
-def best_terminal(read):
-    return _nodes(read).where("node > 1000").groupBy((F.col("node") % 10).alias("tree")).agg(F.max_by("node", F.struct("q", -F.col("node"))).alias("node"), F.max("q").alias("q"))
+    return R.budget_pack(d, ["source"], ["doc_id"], "size", 20000).select("doc_id", "source", "used")
 
 
 @_query(f"""WITH t AS ({_TURNS}), w AS (SELECT conv_id, turn, {_WORD_SET('text')} AS a, {_WORD_SET('nxt')} AS b FROM t),
@@ -334,17 +253,17 @@ def transition_scores(read):
     return _turns(read).select("conv_id", "turn", F.round(j, 6).alias("jaccard"), F.round(0.55 + 0.45 * j, 6).alias("claim"))
 
 
-@_query("""WITH w AS (SELECT item_id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS t FROM benchmark),
- d AS (SELECT doc_id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS t FROM documents),
- q AS (SELECT item_id, unnest(t) AS k, len(t) AS n FROM w WHERE item_id % 5 = 0), x AS (SELECT doc_id, unnest(t) AS k FROM d),
- s AS (SELECT item_id, doc_id, round(count(*)::DOUBLE / n, 6) AS score FROM q JOIN x USING (k) GROUP BY item_id, doc_id, n),
+_TOK = lambda x: f"list_distinct(list_filter(string_split(trim(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> ''))"
+
+
+@_query(f"""WITH q AS (SELECT item_id, {_TOK('text')} AS t FROM benchmark), d AS (SELECT doc_id, {_TOK("split_part(text, chr(10), 1)")} AS a, {_TOK('text')} AS b FROM documents), qt AS (SELECT item_id, unnest(t) AS k FROM q), da AS (SELECT doc_id, unnest(a) AS k FROM d), db AS (SELECT doc_id, unnest(b) AS k FROM d),
+ s AS (SELECT item_id, doc_id, sum(w)::BIGINT AS score FROM (SELECT item_id, doc_id, 3 AS w FROM qt JOIN da USING (k) UNION ALL SELECT item_id, doc_id, 1 FROM qt JOIN db USING (k)) GROUP BY 1, 2),
  r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 3""")
 def lexical_topk(read):
-    words = lambda c: F.array_distinct(T.tokens(T.ascii_words(F.col(c))))
-    q = read("benchmark").where("item_id % 5 = 0").select("item_id", words("text").alias("t")).select("item_id", F.size("t").alias("n"), F.explode("t").alias("k"))
-    x = read("documents").select("doc_id", F.explode(words("text")).alias("k")).join(q.select("k").distinct(), "k", "left_semi")
-    s = x.join(q, "k").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("c")).select("item_id", "doc_id", F.round(F.col("c") / F.col("n"), 6).alias("score"))
-    return R.top_n(s, ["item_id"], [F.desc("score"), F.col("doc_id")], 3).select("item_id", "rank", "doc_id", "score")
+    words = lambda c: F.array_distinct(T.tokens(T.ascii_words(c)))
+    q = read("benchmark").select(F.col("item_id").alias("query_id"), words(F.col("text")).alias("tokens"))
+    d = read("documents").select("doc_id", words(F.substring_index("text", "\n", 1)).alias("title"), words(F.col("text")).alias("text"))
+    return R.lexical_topk(q, d, 3).select(F.col("query_id").alias("item_id"), "rank", "doc_id", "score")
 
 
 @_query("SELECT event_type, count(*) AS n, count(try_cast(json_extract_string(props, '$.k') AS BIGINT)) AS with_k FROM events GROUP BY 1")

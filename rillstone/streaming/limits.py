@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,32 +10,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STATE = "times array<double>"
-OUT = "event_id long, user_id long, ts timestamp, in_window int, allowed boolean"
+OUT = "event_id long, user_id long, ts timestamp, in_window int, allowed boolean, retry_after double"
 
 
-def limiter(most: int, seconds: float):
-    """Admits at most `most` requests a key in any `seconds`; refused ones don't count. State: the admitted times."""
+def decide(times: deque, now: float, most: int, seconds: float, cooldown: float) -> float:
+    """Seconds to wait at `now`, 0 if admitted; `times` are the admitted ones, which this keeps to the window and adds to."""
+    while times and times[0] <= now - seconds:
+        times.popleft()
+    if times and cooldown > 0 and (wait := cooldown - (now - times[-1])) > 0:
+        return wait
+    if len(times) >= most:
+        return max(1.0, times[0] + seconds - now)
+    times.append(now)
+    return 0.0
+
+
+def limiter(most: int, seconds: float, cooldown: float = 0.0):
+    """Admits at most `most` requests a key in any `seconds`, none within `cooldown` of the last; refused ones don't count.
+
+    State is the admitted times of one window, so at most `most` numbers; a key that was silent for a window is
+    evicted. Rows of a key come in batches of any size and are decided one after the other, as the rule asks.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times = deque(state.get[0] if state.exists else [])
         for frame in frames:
-            rows = []
-            for r in frame.sort_values(["ts", "event_id"]).itertuples():
-                now = r.ts.timestamp()
-                times = [t for t in times if t > now - seconds]
-                good = len(times) < most
-                if good:
-                    times.append(now)
-                rows.append((r.event_id, key[0], r.ts, len(times), good))
-            yield pd.DataFrame(rows, columns=["event_id", "user_id", "ts", "in_window", "allowed"])
-        state.update((times,))
+            frame = frame.sort_values(["ts", "event_id"])
+            now = frame["ts"].astype("int64").to_numpy() / (1e9 if str(frame["ts"].dtype).startswith("datetime64[ns") else 1e6)
+            waits = []
+            held = []
+            for t in now.tolist():
+                waits.append(decide(times, t, most, seconds, cooldown))
+                held.append(len(times))
+            yield pd.DataFrame({"event_id": frame["event_id"], "user_id": key[0], "ts": frame["ts"], "in_window": held, "allowed": [w == 0.0 for w in waits], "retry_after": waits})
+        state.update((list(times),))
+        state.setTimeoutDuration(max(1000, int(seconds * 1000)))
 
     return step
 
 
-def limited(events: DataFrame, most: int = 5, seconds: float = 3600.0) -> DataFrame:
-    """Streaming `events` (event_id, user_id, ts timestamp) with each one's decision."""
-    return events.groupBy("user_id").applyInPandasWithState(limiter(most, seconds), OUT, STATE, "append", "NoTimeout")
+def limited(events: DataFrame, most: int = 5, seconds: float = 3600.0, cooldown: float = 0.0, keys: int | None = None) -> DataFrame:
+    """Streaming `events` (event_id, user_id, ts timestamp) with each one's decision.
+
+    With `keys`, clients are counted under that many hashes of theirs, which bounds the state: clients that share
+    a hash share a limit.
+    """
+    rows = events.withColumn("user_id", F.pmod(F.xxhash64("user_id"), F.lit(keys))) if keys else events
+    return rows.groupBy("user_id").applyInPandasWithState(limiter(most, seconds, cooldown), OUT, STATE, "append", "ProcessingTimeTimeout")
 
 
 def window_load(events: DataFrame, seconds: int = 3600) -> DataFrame:
