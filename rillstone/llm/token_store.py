@@ -18,20 +18,22 @@ from __future__ import annotations
 
 import functools
 import gc
+import json
 import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache
+from .chunks import WordCache
 from .storage import fresh, keep
-from .textkit import tune
+from .textkit import raw, tune
 
 MAGIC = b"RWM1"
 _HEAD = struct.Struct("<4sIIQIB3x")  # magic, partition, shard, tokens, documents, planes
@@ -166,8 +168,10 @@ class Shard:
 
 
 #: A space after white space and before more of it, or before the end: there a chunk could begin inside one pre-token.
-_ODD = re.compile(r"\s \s|\s \Z")
-_ODD_ASCII = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ", "\x1c ", "\x1d ", "\x1e ", "\x1f ")
+_ODD = re.compile(rb"[\t-\r\x1c-\x20](?: [\t-\r\x1c-\x20]| \Z)")
+_ODD_TEXT = re.compile(r"\s \s|\s \Z")
+#: Bytes that begin a character of white space beyond ASCII.
+_WIDE = re.compile(rb"[\xC2\xE1-\xE3]")
 #: Characters whose classes are the same in every version of Unicode, so that pre-tokens can be cut here.
 _SETTLED = re.compile(r"[\t\n\r -~\u00A1-\u024F]*")
 _L, _N = r"A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F", r"0-9\u00B2\u00B3\u00B9\u00BC-\u00BE"
@@ -181,17 +185,34 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in own} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(own)))}
 
 
+def _known_form(path: str) -> bool:
+    """Whether the file is byte-level BPE as :func:`byte_bpe` cuts it: no normalizer, the public pattern, no space added."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    model, cut = d["model"], d.get("pre_tokenizer") or {}
+    plain = not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    return plain and model.get("type") == "BPE" and not d.get("normalizer") and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not d.get("truncation")
+
+
 @functools.lru_cache(2)
-def byte_bpe(path: str, limit: int = 200_000) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """Encoder of texts by the tokenizers library: all ids, and how many each text has.
+def byte_bpe(path: str, limit: int = 200_000) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """Encoder of a column of texts by the tokenizers library: all ids, and how many each text has.
 
     A chunk is a word and what follows it up to the next space. New chunks are cut into
     pre-tokens here and each distinct one (of the last `limit`) is merged by the library's model;
-    chunks with other characters, and texts with added tokens, are encoded by the library whole.
+    chunks with other characters, and texts with added tokens, are encoded by the library
+    whole, as is every text if the file is of another form than that.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    if not _known_form(path):
+
+        def plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            found = [e.ids for e in tokenizer.encode_batch_fast([x or "" for x in column.to_pylist()], add_special_tokens=False)]
+            return np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64)
+
+        return plain
     added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
     letters, merge = _byte_letters(), tokenizer.model.tokenize
     known: dict[str, tuple[int, ...]] = {}
@@ -203,8 +224,7 @@ def byte_bpe(path: str, limit: int = 200_000) -> Callable[[list[str]], tuple[np.
         known[pre_token] = ids = tuple([x.id for x in merge(form.translate(letters))])
         return ids
 
-    def encode_chunks(keys: list[str]) -> list[list[int]]:
-        chunks = [key[1:] if key[:1] == " " else " " + key for key in keys]
+    def encode_chunks(chunks: list[str]) -> list[list[int]]:
         whole = [not _SETTLED.fullmatch(c) or any(x in c for x in added) for c in chunks]
         out: list[list[int]] = []
         ids: list[int] = []
@@ -219,28 +239,17 @@ def byte_bpe(path: str, limit: int = 200_000) -> Callable[[list[str]], tuple[np.
             out[i] = e.ids
         return out
 
-    cache = ChunkCache(encode_chunks)
-
-    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        # The key of a chunk is what follows its space; a space and the chunk where it has none.
-        keys: list[str] = []
-        sizes = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if any(x in t for x in added) or ((any(x in t for x in _ODD_ASCII) if t.isascii() else True) and _ODD.search(t)):
-                part = [" " + t]
-            else:
-                part = t.split(" ")
-                if part[0]:
-                    part[0] = " " + part[0]
-                else:
-                    del part[0]
-            keys += part
-            sizes[i] = len(part)
-        ids, count = cache.ids(keys)
-        ends = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(sizes)])]
-        return ids, np.diff(ends)
+    cache = WordCache(encode_chunks)
+    marks = [x.encode() for x in added]
+
+    def odd(text: bytes) -> bool:
+        return any(x in text for x in marks) or bool(_ODD.search(text)) or bool(_WIDE.search(text) and _ODD_TEXT.search(text.decode()))
+
+    def encode(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, off = raw(column)
+        body = data.tobytes()
+        whole = np.array([odd(body[a:b]) for a, b in pairwise(off.tolist())], bool)
+        return cache.ids(data, off, whole)
 
     return encode
 
@@ -285,10 +294,9 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str, *, end_i
             return pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], ["content"])
 
         for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
             keys = [NO_ID if x is None else x for x in b.column(0).to_pylist()]
-            for a in range(0, len(texts), 64):
-                flat, n = encode(texts[a : a + 64])
+            for a in range(0, b.num_rows, 64):
+                flat, n = encode(b.column(1).slice(a, 64))
                 ends = np.cumsum(n)
                 flat = np.insert(flat, ends, end_id)
                 ptr = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
@@ -323,13 +331,12 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     found = keep(read_files(spark, path).select("content").mapInArrow(digest, "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long"), "token-digest")
-    # One number a shard comes to the driver; the running sum over them is each shard's start.
-    totals = found.groupBy("part", "shard").agg(F.sum("n_tokens").alias("n")).orderBy("part", "shard").collect()
-    rows, start = [], 0
-    for r in totals:
-        rows.append((r["part"], r["shard"], start))
-        start += r["n"]
-    starts = spark.createDataFrame(rows, "part int, shard int, base long")
+    # One number a partition comes to the driver; shards add up within their partition.
+    shards = found.groupBy("part", "shard").agg(F.sum("n_tokens").alias("n"))
+    totals = shards.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
+    bases = spark.createDataFrame(list(zip([r["part"] for r in totals], accumulate([0] + [r["n"] for r in totals]))), "part int, first long")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = shards.withColumn("before", before).join(F.broadcast(bases), "part").select("part", "shard", (F.col("first") + F.col("before")).alias("base"))
     return found.join(starts, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
