@@ -3,46 +3,10 @@
 import base64
 import random
 
-import numpy as np
 import pytest
 
 pytest.importorskip("rillstone.llm")
-from rillstone.llm import lines, secrets, toxicity
-
-
-@pytest.mark.parametrize("cap", [4096, 8])
-def test_near_lines_by_brute_force(spark, cap):
-    rng = random.Random(5)
-    texts = []
-    for n in list(range(5, 51)) * 2:
-        base = [f"w{rng.randrange(3000)}" for _ in range(n)]
-        other = list(base)
-        for _ in range(rng.randrange(1, n // 4 + 2)):  # up to one edit more than a link has
-            at = rng.randrange(len(other))
-            other[at : at + rng.randrange(2)] = [f"x{rng.randrange(3000)}"] * rng.randrange(2)
-        texts += [base, other]
-    texts += [["the"] * k + ["end"] for k in range(3, 30)]
-    up = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            d = lines.edit_distance(texts[i], texts[j])
-            if 4 * d <= max(len(texts[i]), len(texts[j])) and min(len(texts[i]), len(texts[j])) >= 4:
-                a, b = up[i], up[j]
-                up = [min(a, b) if x in (a, b) else x for x in up]
-    expect = {i for i in range(len(texts)) if up[i] != i}
-    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    got = {r["doc_id"] for r in lines.dedup_lines(docs, cap=cap).where("size(dropped_lines) > 0").collect()}
-    assert len(expect) > 80 and got == expect
-
-
-def test_label_rates_do_not_depend_on_the_sample(spark):
-    # One text for both labels, an eighth of it toxic: its score is that rate whether or not the sample is one to one.
-    rows = [(i, "same words here" if i % 2 else f"vile scum {i}" if i % 16 == 0 else f"fine day {i}", int(i % 16 in (0, 1))) for i in range(2000)]
-    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
-    for most in (8000, 400):
-        got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels, max_examples=most, k=60).where("doc_id < 20").collect()}
-        assert got[1]["score"] < 0.35 and got[3]["predicted"] == 0 and got[16]["predicted"] == 1
+from rillstone.llm import secrets
 
 
 def test_long_runs_are_scored(spark):
