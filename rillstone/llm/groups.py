@@ -92,6 +92,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+FEW = 12  # nodes of a group up to which its pairs are looked at one by one
+
+
+def few(n: int, linked: Callable[[int, int], bool], order: np.ndarray, forest: Forest, free: np.ndarray | None) -> None:
+    """Joins the linked pairs of a small group, whose nodes stand by size in `order`."""
+    place = order.tolist()
+    for i in range(n):
+        for j in range(i + 1, n):
+            if (free is None or free[i] or free[j]) and forest.find(place[i]) != forest.find(place[j]) and linked(i, j):
+                forest.join(place[i], place[j])
+
+
 #: (bodies, sizes, present labels, which may start a pair) -> index pairs that are links between different labels.
 Linker = Callable[[list, np.ndarray, Forest, np.ndarray | None], None]
 
@@ -133,35 +145,37 @@ def _decide(frame: DataFrame, keys: list[str], link: Linker, *, start: bool = Fa
     return frame.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "root long, node long, label long")
 
 
-def verified(ids: DataFrame, fetch: Callable[[DataFrame], DataFrame], link: Linker, *, cap: int = 4096) -> DataFrame:
-    """(node, label): exact groups of `ids` (root, node and what fetch needs).
+def verified(ids: DataFrame, fetch: Callable[[DataFrame], DataFrame], link: Linker, *, cap: int = 4096, cap_size: int = 4 << 20) -> DataFrame:
+    """(node, label): exact groups of `ids` (root, node, size and what fetch needs).
 
     fetch gives (root, chunk, node, size, body) of such rows once they have a chunk; it is
-    called once, and bodies are shuffled once unless their component is large.
+    called once, and bodies are shuffled once unless their component is large. A chunk has
+    about `cap` nodes, whose sizes come to `cap_size`, at most.
     """
-    sizes = ids.groupBy("root").agg(F.count("*").alias("m"))
-    ids = keep(ids.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / cap)).cast("int")), "members")
+    chunks = F.ceil(F.greatest(F.count("*") / cap, F.sum("size") / cap_size))
+    sizes = keep(ids.groupBy("root").agg(chunks.alias("n_chunks")), "component-sizes")
+    ids = keep(ids.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("n_chunks")).cast("int")), "members")
     bodies = keep(fetch(ids).select("root", "chunk", "node", "size", "body"), "bodies")
     first = keep(_decide(bodies, ["root", "chunk"], link), "decided")
-    large = ids.where(F.col("m") > cap).select("root", "node", "m", "chunk")
+    large = ids.where(F.col("n_chunks") > 1).select("root", "node", "size", "n_chunks", "chunk")
     if large.isEmpty():
         return first.select("node", "label")
     text = bodies.select("node", "size", "body")
     clustered = keep(large.join(first.select("node", "label"), "node"), "clusters")
     # One node of each cluster meets the others of its component, again in chunks of at most about cap.
-    heads = clustered.where("node = label").select("root", "node")
-    n_heads = heads.groupBy("root").agg(F.count("*").alias("h"))
-    heads = heads.join(n_heads, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("h") / cap)).cast("int"))
+    heads = clustered.where("node = label").select("root", "node", "size")
+    n_heads = keep(heads.groupBy("root").agg(chunks.alias("h")), "heads")
+    heads = heads.join(n_heads, "root").select("root", "node", F.pmod(F.xxhash64("node"), F.col("h")).cast("int").alias("chunk"))
     second = _decide(text.join(heads, "node").select("root", "chunk", "node", "size", "body"), ["root", "chunk"], link)
-    clustered = clustered.join(second.select(F.col("node").alias("label"), F.col("label").alias("label2")), "label").select("root", "node", "m", "chunk", F.col("label2").alias("label"))
+    clustered = clustered.join(second.select(F.col("node").alias("label"), F.col("label").alias("label2")), "label").select("root", "node", "size", "n_chunks", "chunk", F.col("label2").alias("label"))
     clustered = keep(clustered, "clusters")
-    most = clustered.groupBy("root", "label").agg(F.count("*").alias("c")).groupBy("root").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    most = keep(clustered.groupBy("root", "label").agg(F.count("*").alias("c")).groupBy("root").agg(F.max_by("label", F.struct("c", "label")).alias("main")), "main")
     clustered = clustered.join(most, "root").withColumn("loose", F.col("label") != F.col("main"))
     loose = clustered.where("loose")
-    counted = loose.groupBy("root").agg(F.ceil(F.count("*") / cap).cast("int").alias("blocks"))
+    counted = keep(loose.groupBy("root").agg(chunks.cast("int").alias("blocks")), "blocks")
     # Every loose node meets every chunk: blocks of loose nodes by chunks of all.
     there = clustered.join(counted, "root").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("loose", F.lit(False))
-    here = loose.join(counted, "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / cap).cast("int") - 1)))
+    here = loose.join(counted, "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks").cast("int") - 1)))
     columns = ["root", "chunk", "block", "node", "label", "loose"]
     met = text.join(here.select(*columns).unionByName(there.select(*columns)), "node").select("root", "chunk", "block", "node", "size", "body", "label", "loose")
     third = _decide(met, ["root", "chunk", "block"], link, start=True)

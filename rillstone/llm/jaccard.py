@@ -1,24 +1,19 @@
 """N-gram Jaccard join and its connected groups (operator 6).
 
-Documents with one set of shingles are one class. Classes meet where they share a
-shingle of their prefixes: in a global order of shingles two sets of Jaccard similarity
-t or more share one of the first n - ceil(t n) + 1 of each. Frequent shingles (of
-passages that many documents hold) come last in that order, so they seldom meet. A pair
-that met in small groups alone has all its common prefix shingles counted, which bounds
-its overlap and drops most pairs: by their sum over the buckets of shingles, or, where a
-link must have more than one a bucket, by the bucket that holds its share of them. Larger
-groups hang on one of their size-compatible classes without a count. The components of
-what is left hold every true link.
-
-Within a component the sets are sorted by size and compared tile by tile within the
-size band that t allows: hashed bitmaps of both tiles give, by bit counts, an upper
-bound of each overlap (a bit of one that the other lacks is an element it lacks), and
-only pairs within the bound, not yet in one group, meet in an exact intersection of
-sorted arrays.
+Documents with one set of shingles (equal 63-bit hashes of it) are one class. A class goes
+on only if other classes hold `num`/`den` of its shingles. Of those, two that are linked
+share one of the first n - ceil(t n) + 1 shingles of each in one order (see `near`), and
+hashed bitmaps of the whole sets, about a bit a shingle, bound their overlap from above
+before they are candidates.
+
+Within a candidate component the sets are sorted by size and compared tile by tile within
+the size band that t allows: bitmaps of both tiles bound each overlap, and only pairs
+within the bound, not yet in one group, meet in an exact intersection of sorted arrays.
 
 Defined results: null, empty and wordless texts have no shingles and stay alone, as do
 rows with a null id, whose component is null; repeated rows all come back; further
-columns are ignored; an empty table gives no rows.
+columns are ignored; an empty table gives no rows. A very long text costs its task about
+forty bytes a word; nothing is cut.
 """
 
 from __future__ import annotations
@@ -30,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .groups import Forest, components, forest, verified
-from .storage import keep
-from .textkit import SPACED, blocks, mix, ragged, shingles, tune, words
+from .groups import FEW, Forest, components, few, verified
+from .near import Entry, Keyed, Rule, bitmap, candidates, frequent, gathered, live
+from .storage import keep, small
+from .textkit import SPACED, blocks, mix, shingles, tune, words
 
-SMALL = 16  # classes in a shingle's group up to which all its pairs are counted
 TILE = 256
 
 
@@ -55,19 +50,24 @@ def sets_of(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray
 def linker(num: int, den: int):
     """Joins in a forest the sets (bytes of sorted uint64) of Jaccard similarity num/den or more."""
 
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return den * common >= num * (len(x) + len(y) - common)
+
     def link(bodies: list, sizes: np.ndarray, forest: Forest, loose: np.ndarray | None) -> None:
         order = np.argsort(sizes, kind="stable")
         sets = [np.frombuffer(bodies[i], "<u8") for i in order.tolist()]
         size = sizes[order]
         free = loose[order] if loose is not None else None
         n = len(sets)
+        if n <= FEW:
+            few(n, lambda i, j: size[i] * den >= size[j] * num and linked(sets[i], sets[j]), order, forest, free)
+            return
         starts = list(range(0, n, TILE))
 
-        def bitmap(a: int, bits: int) -> np.ndarray:
+        def rows(a: int, bits: int) -> np.ndarray:
             part = sets[a : a + TILE]
-            out = np.zeros((len(part), bits), bool)
-            out[np.repeat(np.arange(len(part)), [len(x) for x in part]), (np.concatenate(part) >> np.uint64(7)) % np.uint64(bits)] = True
-            return np.packbits(out, axis=1).view(np.uint64)
+            return bitmap(np.concatenate(part), np.cumsum([0] + [len(x) for x in part]), bits)
 
         for a in starts:
             root_a = np.array([forest.find(int(x)) for x in order[a : a + TILE]])
@@ -87,7 +87,7 @@ def linker(num: int, den: int):
                 if not open_.any():
                     continue
                 bits = max(256, min(16384, 1 << int(2 * size[min(b + TILE, n) - 1]).bit_length()))
-                x, y = bitmap(a, bits), bitmap(b, bits)
+                x, y = rows(a, bits), rows(b, bits)
                 i, j = np.nonzero(open_)
                 for s in range(0, len(i), 1 << 13):
                     p, q = i[s : s + (1 << 13)], j[s : s + (1 << 13)]
@@ -97,23 +97,24 @@ def linker(num: int, den: int):
                     for u, v in zip((a + p[can]).tolist(), (b + q[can]).tolist(), strict=True):
                         if forest.find(int(order[u])) == forest.find(int(order[v])):
                             continue
-                        common = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
-                        if den * common >= num * (len(sets[u]) + len(sets[v]) - common):
+                        if linked(sets[u], sets[v]):
                             forest.join(int(order[u]), int(order[v]))
                 root_a = np.array([forest.find(int(z)) for z in order[a : a + TILE]])
 
     return link
 
 
-def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 75, den: int = 100, max_hot: int = 1_000_000, bucket_entries: int = 500_000, cap: int = 4096) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of `docs` (doc_id, text): groups linked by Jaccard >= num/den.
+def rule(num: int, den: int) -> Rule:
+    """Links of sets of Jaccard similarity num/den or more."""
+    need = lambda size: (size * num + den - 1) // den
+    fits = lambda a, b: a * den >= b * num
+    may = lambda a, b, out_a, out_b: np.minimum(a - out_a, b - out_b) * (num + den) >= num * (a + b)
+    return Rule(need, lambda size: size - need(size) + 1, fits, may, 1)
+
 
-    A first round over somewhat longer prefixes finds the shingles of more than SMALL
-    classes; the `max_hot` most frequent come last in the order of the second. Results do
-    not depend on that order.
-    """
-    spark = docs.sparkSession
-    tune(spark)
+def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 75, den: int = 100, bucket_entries: int = 2_000_000, cap: int = 4096) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of `docs` (doc_id, text): groups linked by Jaccard >= num/den."""
+    tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,141 +122,52 @@ def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 75, den: int =
             for i, j, value, ptr in sets_of(b.column(1), width):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(ptr)), pa.array(classes(value, ptr).view(np.int64))], ["doc_id", "n_shingles", "class"])
 
-    described = keep(docs.mapInArrow(describe, "doc_id long, n_shingles long, class long"), "shingle-classes")
-    rows = described.withColumn("class", F.when(F.col("n_shingles") > 0, F.col("class")))
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    n_buckets = max(8, -(-(total * (den - num) // den) // bucket_entries))
+    rows = keep(docs.mapInArrow(describe, "doc_id long, n_shingles long, class long"), "shingle-classes")
+    real = rows.where("n_shingles > 0 and doc_id is not null")
+    known = keep(real.groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("m"), F.first("n_shingles").alias("n_shingles")).withColumnRenamed("class", "node"), "classes")
+    total = real.agg(F.sum("n_shingles")).first()[0] or 0
+    texts = docs.where("doc_id is not null")
+    law = rule(num, den)
 
-    def prefix(n: np.ndarray) -> np.ndarray:
-        return n - (n * num + den - 1) // den + 1
-
-    def deal(batches: Iterator[pa.RecordBatch], late=None) -> Iterator[pa.RecordBatch]:
-        last = late.value if late else np.zeros(0, np.uint64)
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[Keyed]:
         for b in batches:
             for _, _, value, ptr in sets_of(b.column(0), width):
-                cls, n = classes(value, ptr), np.diff(ptr)
-                _, first = np.unique(cls, return_index=True)
-                once = np.zeros(len(n), bool)
-                once[first] = True
-                use = np.flatnonzero(once & (n > 0))
-                at = np.searchsorted(last, value) if len(last) else np.zeros(len(value), np.int64)
-                at[at == len(last)] = 0
-                is_late = last[at] == value if len(last) else np.zeros(len(value), bool)
-                doc = np.repeat(np.arange(len(n)), n)
-                # Sorted within documents already: a stable sort by (document, late) puts late ones last.
-                order = np.argsort(doc * 2 + is_late, kind="stable") if is_late.any() else np.arange(len(value))
-                # The first round looks a tenth further, as far as late shingles will lengthen most prefixes.
-                take = order[ragged(ptr[:-1][use], prefix(n[use]) if late else np.minimum(prefix(n[use]) + n[use] // 10, n[use]))]
-                value, doc = value[take], doc[take]
-                bucket = (value % np.uint64(n_buckets)).astype(np.int64)
-                by = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
-                value, owner, size = value[by], cls[doc[by]], n[doc[by]].astype(np.uint32)
-                full = np.flatnonzero(np.diff(cut))
-                bodies = [np.int64(cut[k + 1] - cut[k]).tobytes() + value[cut[k] : cut[k + 1]].tobytes() + owner[cut[k] : cut[k + 1]].tobytes() + size[cut[k] : cut[k + 1]].tobytes() for k in full]
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(bodies, pa.binary())], ["bucket", "body"])
-
-    def entries(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        values, owners, sizes = [], [], []
-        for chunk in group["body"].chunks:
-            for body in chunk:
-                raw = body.as_buffer()
-                m = int(np.frombuffer(raw, "<i8", 1)[0])
-                values.append(np.frombuffer(raw, "<u8", m, 8))
-                owners.append(np.frombuffer(raw, "<u8", m, 8 + 8 * m))
-                sizes.append(np.frombuffer(raw, "<u4", m, 8 + 16 * m))
-        value, owner, size = np.concatenate(values), np.concatenate(owners), np.concatenate(sizes).astype(np.int64)
-        order = np.argsort(value)
-        value, owner, size = value[order], owner[order], size[order]
-        same = np.concatenate([[False], value[1:] == value[:-1]])
-        many = same | np.concatenate([same[1:], [False]])
-        value, owner, size = value[many], owner[many], size[many]
-        order = np.lexsort((owner, size, value))
-        value, owner, size = value[order], owner[order], size[order]
-        fresh = np.ones(len(value), bool)
-        fresh[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-        return value[fresh], owner[fresh], size[fresh]
-
-    def frequent(group: pa.Table) -> pa.Table:
-        value, n = np.unique(entries(group)[0], return_counts=True)
-        return pa.table({"key": value[n > SMALL].view(np.int64), "n": n[n > SMALL]})
-
-    def meet(group: pa.Table) -> pa.Table:
-        value, owner, size = entries(group)
-        begin = np.concatenate([[True], value[1:] != value[:-1]]) if len(value) else np.zeros(0, bool)
-        number = np.cumsum(begin) - 1
-        count = np.bincount(number, minlength=1)
-        small = count[number] <= SMALL if len(value) else begin
-        left, right, chained = [], [], []
-        for step in range(1, SMALL):
-            i = np.flatnonzero(small[:-step] & (number[step:] == number[:-step])) if len(value) > step else np.zeros(0, np.int64)
-            if not len(i):
-                break
-            i = i[size[i] * den >= size[i + step] * num]
-            left.append(i)
-            right.append(i + step)
-            chained.append(np.zeros(len(i), bool))
-        large = np.flatnonzero(~small)
-        if len(large):
-            # Runs of size-compatible neighbours hang on the run's first class.
-            run = np.ones(len(large), bool)
-            run[1:] = (number[large][1:] != number[large][:-1]) | (size[large][:-1] * den < size[large][1:] * num)
-            head = large[np.flatnonzero(run)][np.cumsum(run) - 1]
-            left.append(head[~run])
-            right.append(large[~run])
-            chained.append(np.ones(int((~run).sum()), bool))
-        none = np.zeros(0, np.int64)
-        i, j, chain = np.concatenate([none, *left]), np.concatenate([none, *right]), np.concatenate([none.astype(bool), *chained])
-        swap = owner[i] > owner[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        order = np.lexsort((owner[j], owner[i]))
-        i, j, chain = i[order], j[order], chain[order]
-        new = np.ones(len(i), bool)
-        new[1:] = (owner[i][1:] != owner[i][:-1]) | (owner[j][1:] != owner[j][:-1])
-        at = np.flatnonzero(new)
-        count = np.diff(np.append(np.concatenate([[0], np.cumsum(~chain)])[at], (~chain).sum())) if len(at) else at
-        chain = np.logical_or.reduceat(chain, at) if len(at) else at.astype(bool)
-        i, j = i[at], j[at]
-        # A link's common prefix shingles number `need`, so some bucket holds its share of them.
-        na, nb = size[i], size[j]
-        need = (num * (na + nb) + num + den - 1) // (num + den) - np.maximum(na - prefix(na), nb - prefix(nb))
-        share = -(-need // n_buckets)
-        sure = chain | ((share > 1) & (count >= share))
-        open_ = ~sure & (share <= 1)
-        # Of the pairs that need no more counting, only what connects them goes on.
-        a, b = forest(owner[i[sure]].view(np.int64), owner[j[sure]].view(np.int64))
-        zero = np.zeros(len(a), np.int64)
-        return pa.table({
-            "a": np.concatenate([a, owner[i[open_]].view(np.int64)]), "b": np.concatenate([b, owner[j[open_]].view(np.int64)]), "na": np.concatenate([zero, na[open_]]), "nb": np.concatenate([zero, nb[open_]]),
-            "n": np.concatenate([zero, count[open_]]), "chained": np.concatenate([zero == 0, np.zeros(int(open_.sum()), bool)]),
-        })
-
-    texts = docs.where("doc_id is not null").select("text")
-    crowded = texts.mapInArrow(deal, "bucket int, body binary").groupBy("bucket").applyInArrow(frequent, "key long, n long")
-    crowded = crowded.orderBy(F.desc("n"), "key").limit(max_hot).select("key").toArrow()  # 8 bytes each at most
-    late = spark.sparkContext.broadcast(np.sort(crowded["key"].to_numpy().view(np.uint64)))
-    pairs = texts.mapInArrow(lambda batches: deal(batches, late), "bucket int, body binary").groupBy("bucket").applyInArrow(meet, "a long, b long, na long, nb long, n long, chained boolean")
-    rest = lambda c: F.floor(F.col(c) * num / den + (den - 1) / den) - 1  # noqa: E731  what stands after the prefix
-    met = pairs.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("n").alias("n"), F.max("chained").alias("chained"))
-    could = (F.col("n") + F.greatest(rest("na"), rest("nb"))) * (num + den) >= (F.col("na") + F.col("nb")) * num
-    roots = components(met.where(F.col("chained") | could))
-    # One document stands for each class; its set is built again where it is needed.
-    stand = keep(roots.join(rows.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id")).withColumnRenamed("class", "node"), "node"), "representatives")
+                n = np.diff(ptr)
+                yield Keyed(value, n, classes(value, ptr), n)
+
+    found = live(texts.select("text"), spell, law, total=total, n_classes=known.count(), bucket_entries=bucket_entries)
+    alive = keep(found.join(known, "node").select("node", F.col("n_shingles").alias("size"), F.col("least").alias("doc_id")), "live")
+
+    # One document stands for each class.
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nodes = b.column(0).to_numpy()
-            for i, j, value, ptr in sets_of(b.column(3), width):
+            for i, j, value, ptr in sets_of(b.column(1), width):
                 good = np.flatnonzero(classes(value, ptr).view(np.int64) == nodes[i:j])
-                bodies = [value[ptr[x] : ptr[x + 1]].tobytes() for x in good]
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i).take(pa.array(good)), b.column(2).slice(i, j - i).take(pa.array(good)), pa.array(nodes[i:j][good]), pa.array(np.diff(ptr)[good]), pa.array(bodies, pa.binary())], ["root", "chunk", "node", "size", "body"])
-
-    def fetch(ids: DataFrame) -> DataFrame:
-        few = ids.count() <= 1_000_000
-        texts = docs.join(F.broadcast(ids) if few else ids, "doc_id").select("node", "root", "chunk", "text")
-        return texts.mapInArrow(build, "root long, chunk int, node long, size long, body binary")
-
-    groups = verified(stand, fetch, linker(num, den), cap=cap)
-    named = rows.join(groups.select(F.col("node").alias("class"), F.col("label")), "class", "left").withColumn("grp", F.coalesce("label", "class"))
-    named = keep(named.select("doc_id", "n_shingles", "grp"), "grouped")
-    least = named.where("grp is not null").groupBy("grp").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")).where("m > 1").drop("m")
-    return named.join(least, "grp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[i:j][good]), pa.array(np.diff(ptr)[good]), pa.array([value[ptr[x] : ptr[x + 1]].tobytes() for x in good], pa.binary())], ["node", "size", "body"])
+
+    some = texts.join(small(alive.select("doc_id", "node")), "doc_id").select("node", "text")
+    sets = keep(some.mapInArrow(build, "node long, size long, body binary"), "sets")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[Entry]:
+        for b in batches:
+            value, n = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u8"), b.column(1).to_numpy()
+            yield Entry(Keyed(value, n, b.column(0).to_numpy().view(np.uint64), n), value, value, np.concatenate([[0], np.cumsum(n)]))
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in gathered(e.keyed for e in kept(batches)):
+            value, n = np.unique(x.key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value[n > 1].view(np.int64)), pa.array(n[n > 1])], ["value", "n"])
+
+    late = frequent(sets.mapInArrow(often, "value long, n long"))
+    part = alive.agg(F.sum(F.col("size") * (den - num) / den)).first()[0] or 0
+    edges = candidates(sets, kept, law, late, total=int(part), bucket_entries=bucket_entries // 4)
+    stand = components(edges).join(alive.select("node", "size"), "node")
+    fetch = lambda ids: sets.select("node", "body").join(small(ids), "node")
+    groups = keep(verified(stand, fetch, linker(num, den), cap=cap), "groups")
+    # Names by class first: a class or a group of many documents joins them as one row.
+    first = keep(groups.join(known, "node").groupBy("label").agg(F.min("least").alias("first")), "first")
+    moved = groups.join(first, "label").select("node", "first")
+    named = keep(known.join(moved, "node", "left").where("m > 1 or first <> least").select(F.col("node").alias("class"), F.coalesce("first", "least").alias("first")), "named")
+    own = rows.withColumn("class", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class")))
+    return own.join(named, "class", "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"))
