@@ -4,7 +4,10 @@ A package holds two stored (uncompressed) members: ``archive/data.warc.gz``, one
 member a record, and ``indexes/index.cdx``, one line a record with its offset and
 length in the former. :class:`ZipReader` parses the end record, the ZIP64 locator and
 end record and the central directory through a ``read_at(offset, length)`` function
-alone, so a record is read by two small ranges, whatever the package's size.
+alone, so a record is read by two small ranges, whatever the package's size. Spark hands
+its workers a file as bytes: packages are kept to about `package_bytes` (or one longer
+record), and `read_at` cuts ranges of those bytes. A very long page costs its task a few
+times its bytes.
 
 Defined results: a null payload is the empty payload; of records with equal payloads of
 at least `min_bytes` the largest page_id is the response and the others revisit it;

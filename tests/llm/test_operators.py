@@ -70,6 +70,9 @@ def test_pieces(docs, empty):
                 own += score[p.pieces[ids[i]]]
                 i += 1
         assert own == pytest.approx(best(text))
+    assert p.viterbi("▁aaaa") == p.viterbi("▁aaaa") and sum(len(p.pieces[i]) for i in p.viterbi("▁abababab")) == 9  # ties: one answer
+    marked = docs.sparkSession.createDataFrame([(1, "a▁b"), (2, "a b")], "doc_id long, text string")
+    assert {r["doc_id"]: r["round_trip"] for r in pieces.encode_pieces(marked, path).collect()} == {1: False, 2: True}
     assert pieces.encode_pieces(empty, path).count() == 0
 
 
