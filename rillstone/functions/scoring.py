@@ -202,3 +202,16 @@ def signed_query_advantage(base: Column, credit: Column, coef: float = 0.5, clip
     if coef < 0 or clip <= 0 or coef * clip >= 1:
         raise ValueError("coef must be 0 or more, clip above 0 and their product below 1")
     return base + coef * F.abs(base) * F.least(F.lit(clip), F.greatest(F.lit(-clip), credit))
+
+
+def reweighted_advantage(base: Column, teacher: Column, policy: Column, mask: Column, taught: Column, lam: float = 0.5, clip: float = 0.2, negative_only: bool = False) -> Column:
+    """base * ((1 - lam) + lam * clip(exp(sign(base) * log ratio))) on taught tokens, base on others, 0 outside the mask."""
+    weight = F.least(F.lit(1 + clip), F.greatest(F.lit(1 - clip), F.exp(F.signum(base) * (teacher - policy))))
+    factor = F.when(taught, (1 - lam) + lam * weight).otherwise(1.0)
+    if negative_only:
+        factor = F.when(base < 0, factor).otherwise(1.0)
+    return F.when(mask, base * factor).otherwise(0.0)
+
+
+#: Metrics by name, for results with an answer and golds as token columns (see operators.metrics.scored).
+METRICS = ("em", "f1", "cover")

@@ -435,3 +435,15 @@ def similarity_ratio(a: Column, b: Column) -> Column:
         return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype=float)
 
     return run(_text(a), _text(b))
+
+
+def keyed_digest(c: Column, key: bytes, size: int = 16, most: int = 256) -> Column:
+    """Hexadecimal BLAKE2b under a key of the first `most` characters, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        import hashlib
+
+        return s.map(lambda x: hashlib.blake2b(x[:most].encode(), key=key, digest_size=size).hexdigest())
+
+    return run(_text(c))

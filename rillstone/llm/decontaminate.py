@@ -8,7 +8,7 @@ transform in a wavelet matrix, and every eighth suffix position. All benchmark w
 are searched backwards at once, occurrences are located from the sampled positions, and
 their word ranges are merged into removal spans.
 
-The windows of one block of benchmark items are broadcast. A benchmark of more than
+The windows of one block of benchmark items are broadcast, about fifty bytes a word. A benchmark of more than
 `block_bytes` of text is dealt into as many blocks as keep to that, searched in turn.
 
 Defined results: null or wordless texts and items have no words, spans or items; a null
@@ -116,7 +116,7 @@ class FMIndex:
         if not self.n:
             hi[:] = 0
         for k in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[live, k]
+            c = patterns[live, k].astype(np.int64)
             lo[live], hi[live] = self.first[c] + self._rank(c, lo[live]), self.first[c] + self._rank(c, hi[live])
             live = live[hi[live] > lo[live]]
         empty = np.ones(len(patterns), bool)
@@ -155,23 +155,31 @@ class Phrases(NamedTuple):
 
     @classmethod
     def of(cls, items: list[str | None], texts: list[str | None], width: int) -> Phrases:
-        w: list[np.ndarray] = []
+        """Windows as sorted rows of numbers, without a Python object a window."""
+        hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for _, _, data, off in blocks(pa.array(texts, pa.string())):
             x = words(data, off, ALNUM)
-            w += [x.hash[a:b] for a, b in zip(x.ptr[:-1], x.ptr[1:], strict=True)]
-        vocabulary = np.unique(np.concatenate(w)) if w else np.zeros(0, np.uint64)
-        found: dict[int, dict[tuple, set[int]]] = {}
-        for i, h in enumerate(w):
-            symbols = (np.searchsorted(vocabulary, h) + 1).tolist()
-            size = min(width, len(symbols))
-            for k in range(len(symbols) - size + 1 if size else 0):
-                found.setdefault(size, {}).setdefault(tuple(symbols[k : k + size]), set()).add(i)
+            hashes.append(x.hash)
+            counts.append(np.diff(x.ptr))
+        vocabulary, symbol = np.unique(np.concatenate(hashes), return_inverse=True)
+        symbol, n = (symbol + 1).astype(np.int32), np.concatenate(counts)
+        first, size = np.cumsum(n) - n, np.minimum(n, width)
         windows, owners = [], []
-        for size in sorted(found):
-            windows.append(np.array(list(found[size]), np.int64).reshape(-1, size))
-            n = np.array([len(x) for x in found[size].values()])
-            owners.append((np.concatenate([[0], np.cumsum(n)]), np.array([i for x in found[size].values() for i in x], np.int64)))
-        return cls(vocabulary, windows, owners, items, min(found, default=width))
+        lengths = [int(k) for k in np.unique(size) if k]
+        for k in lengths:
+            own = np.flatnonzero(size == k)
+            count = n[own] - k + 1
+            at, who = ragged(first[own], count), np.repeat(own, count)
+            rows = symbol[at[:, None] + np.arange(k)]
+            order = np.lexsort((who, *rows.T[::-1]))
+            rows, who = rows[order], who[order]
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:] != rows[:-1]).any(1)
+            once = new.copy()
+            once[1:] |= who[1:] != who[:-1]  # a window that an item repeats has it once
+            windows.append(rows[new])
+            owners.append((np.concatenate([[0], np.cumsum(np.bincount(np.cumsum(new)[once] - 1, minlength=int(new.sum())))]), who[once]))
+        return cls(vocabulary, windows, owners, items, min(lengths, default=width))
 
 
 def find(shard: list[Words], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -232,8 +240,8 @@ def _merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, shard_words: int = 500_000, block_bytes: int = 16 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """`docs` and n_words, spans (array of [start, end) in words, merged) and items (sorted, whose windows occur).
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, shard_words: int = 500_000, block_bytes: int = 4 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", prefix: str = "") -> DataFrame:
+    """`docs` and, `prefix` before each name, n_words, spans (array of [start, end) in words, merged) and items (sorted, whose windows occur).
 
     Map-only: each document is read once a benchmark block and nothing is shuffled.
     Memory a task: the index of one shard, or of one document longer than a shard.
@@ -243,12 +251,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, sha
     bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("body"))
     total = bench.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     passes = -(-total // block_bytes) or 1
-    docs = docs.drop(*[c for c in docs.columns if c in ADDED])
+    added = [prefix + c for c in ADDED]
+    docs = docs.drop(*added)
     names = docs.columns
     at = names.index(text_col)
     out = docs
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    schema = extended(docs.schema, "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>")
+    schema = extended(docs.schema, f"`{added[0]}` bigint, `{added[1]}` array<struct<start:bigint,end:bigint>>, `{added[2]}` array<string>")
     for k in range(passes):
         own = bench if passes == 1 else bench.where(F.pmod(F.xxhash64("item", "body"), F.lit(passes)) == k)
         rows = own.collect()  # at most about block_bytes of text
@@ -275,12 +284,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, sha
                             items[d].add(p.items[i])
                 table = pa.Table.from_batches(parts).combine_chunks()
                 if later:
-                    spans = [_merge(a, [(x["start"], x["end"]) for x in b]) for a, b in zip(spans, table["spans"].to_pylist(), strict=True)]
-                    items = [a | set(b) for a, b in zip(items, table["items"].to_pylist(), strict=True)]
-                    table = table.drop_columns([*ADDED])
+                    spans = [_merge(a, [(x["start"], x["end"]) for x in b]) for a, b in zip(spans, table[added[1]].to_pylist(), strict=True)]
+                    items = [a | set(b) for a, b in zip(items, table[added[2]].to_pylist(), strict=True)]
+                    table = table.drop_columns(added)
                 columns = [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in table.columns]
                 new = [pa.array(sizes, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], span_type), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-                return pa.RecordBatch.from_arrays([*columns, *new], [*names, *ADDED])
+                return pa.RecordBatch.from_arrays([*columns, *new], [*names, *added])
 
             shard: list[Words] = []
             parts: list[pa.RecordBatch] = []
@@ -301,14 +310,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, sha
     return out
 
 
-def contamination(marked: DataFrame) -> DataFrame:
+def contamination(marked: DataFrame, prefix: str = "") -> DataFrame:
     """The contract's columns from what :func:`decontaminate` adds."""
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    return marked.withColumns(
-        {
-            "n_hit": n_hit,
-            "n_items": F.size("items").cast("long"),
-            "items_sha256": F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256),
-            "contaminated": (n_hit > 0) & (n_hit * 20 >= F.col("n_words")),
-        }
-    )
+    spans, items, words = (F.col(prefix + c) for c in ("spans", "items", "n_words"))
+    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    found = {"n_hit": n_hit, "n_items": F.size(items).cast("long"), "items_sha256": F.sha2(F.array_join(F.array_sort(items), ",").cast("binary"), 256), "contaminated": (n_hit > 0) & (n_hit * 20 >= words)}
+    return marked.withColumns({prefix + k: v for k, v in found.items()})

@@ -184,6 +184,14 @@ def tune(spark) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def unused(names: list[str], name: str) -> str:
+    """`name`, or with underscores before it, that is none of `names` in any case."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def extended(schema, ddl: str):
     """A schema and the columns of `ddl` after its own."""
     from pyspark.sql.types import StructType

@@ -217,3 +217,52 @@ def training_row(instruction: Column, output: Column) -> Column:
     )
     text = F.concat(F.lit("Question: "), question, F.when(thoughts != "", F.concat(F.lit("\nPrevious Thoughts: "), thoughts)).otherwise(""))
     return F.struct(status.alias("status"), F.when(status == "ok", text).alias("instruction"), F.when(status == "ok", F.trim(out)).alias("output"))
+
+
+# Records ---------------------------------------------------------------------------------
+def without_columns(rows: DataFrame, names: Sequence[str] = (), prefix: str = "teacher_", required: Sequence[str] = ()) -> DataFrame:
+    """`rows` without the named columns and those that begin with `prefix`; an error names required ones that are missing."""
+    if gone := sorted(set(required) - set(rows.columns)):
+        raise ValueError(f"missing required fields: {gone}")
+    return rows.drop(*[c for c in rows.columns if c in names or c.startswith(prefix)])
+
+
+def valid_inputs(rows: DataFrame, key: str, question: str, golds: str) -> Column:
+    """Whether a row has an id, a question that isn't blank and some gold."""
+    return F.col(key).isNotNull() & (F.trim(F.coalesce(question, F.lit(""))) != "") & (F.coalesce(F.size(golds), F.lit(0)) > 0)
+
+
+def unrolled(rows: DataFrame, lead: str, others: Sequence[str]) -> DataFrame:
+    """One row an element of the list column `lead`: the other columns' elements at its place, or null beyond their ends."""
+    flat = rows.select("*", F.posexplode(lead).alias("row_idx", "_one"))
+    return flat.withColumns({lead: F.col("_one"), **{c: F.get(c, F.col("row_idx")) for c in others}}).drop("_one")
+
+
+def shown_history(steps: Column) -> Column:
+    """array<struct<query, evidence>> of steps, array<struct<query, evidence, docs array<struct<title, text>>>>: the first document where no evidence was read."""
+    doc = lambda s: F.get(s["docs"], F.lit(0))
+    seen = lambda s: F.when(s["evidence"].isNotNull(), F.trim(F.when(s["evidence"] != "", s["evidence"]).otherwise("None"))).otherwise(F.trim(F.coalesce(F.concat(doc(s)["title"], F.lit(". "), doc(s)["text"]), F.lit(""))))
+    return F.transform(steps, lambda s: F.struct(F.coalesce(s["query"], F.lit("")).alias("query"), seen(s).alias("evidence")))
+
+
+def oracle_context(paragraphs: Column, once: bool) -> Column:
+    """Paragraphs, array<struct<title, text>>, that have a text, as [title] blocks; with `once` the first of each title."""
+    full = F.filter(paragraphs, lambda p: F.coalesce(p["text"], F.lit("")) != "")
+    if once:
+        titles = F.transform(full, lambda p: p["title"])
+        full = F.filter(F.transform(full, lambda p, i: F.when((F.array_position(titles, p["title"]) == i + 1) & (p["title"] != ""), p)), lambda p: p.isNotNull())
+    return F.array_join(F.transform(full, lambda p: F.concat(F.lit("["), p["title"], F.lit("]\n"), p["text"])), "\n\n")
+
+
+def unit_recall(rows: DataFrame, found: str, gold: str, first: Column) -> DataFrame:
+    """One row: gold names found over gold names, counted on the rows where `first` holds, and how many those are."""
+    hits, n = F.size(F.array_intersect(found, gold)), F.size(gold)
+    return rows.where(first).agg(F.count("*").alias("n_units"), F.coalesce(F.bround(F.try_divide(F.sum(hits).cast("double"), F.sum(n).cast("double")), 4), F.lit(0.0)).alias("recall"))
+
+
+def observed(rows: DataFrame, name: str, **counts: Column):
+    """(rows, observation): counters that fill while the rows are written, without a pass of their own."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return rows.observe(seen, *[c.alias(k) for k, c in counts.items()]), seen

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rillstone.functions import text as T
 from rillstone.operators import credit as C
 from rillstone.operators import relational as R
-from rillstone.plans import answers, credit, curation, formats, machines, reports, steps, trees  # noqa: F401  they register their queries
+from rillstone.plans import answers, credit, curation, formats, machines, records, reports, steps, trees  # noqa: F401  they register their queries
 from rillstone.plans.registry import oracle_sql, queries  # noqa: F401
 from rillstone.plans.registry import query as _query
 from rillstone.streaming import limits

@@ -181,3 +181,20 @@ def event_lines(rows: DataFrame, key: str, order: Sequence[str], kind: str, payl
     """(key, lines): each key's events in order as server-sent event text."""
     one = F.concat(F.lit("data: "), F.to_json(F.struct(F.col(kind).alias("type"), F.col(payload).alias("value"))), F.lit("\n\n"))
     return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, one.alias("_line")))), lambda x: x["_line"]), "").alias("lines"))
+
+
+def keyed(spark: SparkSession, path: str, schema, key: str) -> DataFrame:
+    """A JSON array whose rows have different keys."""
+    return files.unique(files.json_array(spark, path, schema), key)
+
+
+def note_meta(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """(file, title, one column a key) of notes: the first line without its number signs, and '- Key: value' lines; one note a file."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    found = [F.nullif(F.trim(F.regexp_extract("value", rf"(?m)^- {k}:\s*(.+)$", 1)), F.lit("")).alias(k.lower()) for k in keys]
+    return text.select("file", F.trim(F.regexp_replace(F.substring_index("value", "\n", 1), "^#+", "")).alias("title"), *found)
+
+
+def without_comments(tex):
+    """A column of TeX without its comments: from a per cent sign that no backslash precedes to the line's end."""
+    return F.regexp_replace(tex, r"(?m)(?<!\\)%.*$", "")

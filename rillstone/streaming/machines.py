@@ -119,3 +119,88 @@ def cached(rows: DataFrame, prompt: str, answer: Callable[[DataFrame], DataFrame
         new.write.mode("append").parquet(path)
     held = spark.read.schema("_key string, response string").parquet(path)
     return rows.withColumn("_key", F.sha2(F.col(prompt).cast("binary"), 256)).join(held, "_key", "left").drop("_key"), n
+
+
+#: Ways to run the cohort, by name: plain search, queries that repeat noted but not searched, and a search budget with a forced answer.
+SCHEDULERS: dict[str, dict] = {"plain": {}, "intercepting": {"intercept": True}, "budgeted": {"max_searches": 5}}
+
+
+def routed(rows: DataFrame, key: str, reason: Generator, analyse: Generator, answer: Generator, retrieve: Retriever, *, max_iter: int = 4) -> DataFrame:
+    """(key, question) to (key, answer, n_thoughts, actions): the older loop, whose every thought goes into one history.
+
+    A thought that asks is searched, or the query that the thoughts imply if it has none; then comes document
+    analysis, reasoning after an analysis, and in the last round answer generation. A thought with an answer ends it.
+    `reason`, `analyse` and `answer` are functions of (thoughts array<string>, question).
+    """
+    state = rows.withColumns({"thoughts": F.array().cast("array<string>"), "actions": F.array().cast("array<string>"), "answer": F.lit(None).cast("string")})
+    names = state.columns
+    done = None
+    for step in range(max_iter + 1):
+        last = F.try_element_at("actions", F.lit(-1))
+        kind = F.when(F.size("actions") == 0, "begin_reasoning").when(F.lit(step == max_iter), "answer_generation").when(last == "document_analysis", "reasoning").otherwise("document_analysis")
+        state = state.withColumn("_kind", kind)
+        if step:
+            said = F.coalesce(T.last_tag(F.try_element_at("thoughts", F.lit(-1)), "query"), F.lit(""))
+            asked = state.withColumn("query", F.when(said != "", said).otherwise(T.inferred_subquery(F.array_join("thoughts", " "), F.col("question"))))
+            state = retrieve(asked).select(*names, "_kind")
+        q, t = F.col("question"), F.col("thoughts")
+        out = F.when(F.col("_kind") == "answer_generation", answer(t, q)).when(F.col("_kind") == "document_analysis", analyse(t, q)).otherwise(reason(t, q))
+        state = state.withColumn("_out", out).withColumns({"thoughts": F.concat("thoughts", F.array("_out")), "actions": F.concat("actions", F.array("_kind")), "answer": T.last_tag(F.col("_out"), "answer")})
+        state = kept(state.select(*names), "routed")
+        ended = state.where("answer is not null")
+        done = ended if done is None else done.unionByName(ended)
+        state = state.where("answer is null")
+    return done.unionByName(state).select(key, "answer", F.size("thoughts").alias("n_thoughts"), F.array_join("actions", ">").alias("actions"))
+
+
+def delay(attempt: int, base: float = 1.0, cap: float = 30.0, share: float = 0.5) -> float:
+    """Seconds to wait before a further attempt: doubled each time up to `cap`, and a share (0 to 1) of its upper half."""
+    return min(base * 2**attempt, cap) * (0.5 + 0.5 * share)
+
+
+RETRYABLE = ("timeout", "timed out", "rate limit", "429", "500", "502", "503", "504", "connection", "overloaded")
+
+
+def retryable(error: Exception) -> bool:
+    return any(k in str(error).lower() for k in RETRYABLE)
+
+
+def generated(rows: DataFrame, prompt: str, call: Callable[[list[str]], list[str]], *, attempts: int = 3, on_failure: str = "raise", base: float = 0.0) -> DataFrame:
+    """`rows` with `response` and `attempts`: a batch function over prompts, in order, tried again where its error may pass.
+
+    A batch that fails for good fails the job, or with on_failure "skip" leaves nulls.
+    """
+    import pandas as pd
+
+    names = rows.columns
+
+    def run(frames):
+        import random
+        import time
+
+        for frame in frames:
+            texts, tries = None, 0
+            while texts is None and tries < attempts:
+                tries += 1
+                try:
+                    texts = list(call(frame[prompt].tolist()))
+                    if len(texts) != len(frame):
+                        raise ValueError("as many responses as prompts are wanted")
+                except Exception as e:
+                    texts = None
+                    if tries == attempts or not retryable(e):
+                        if on_failure == "raise":
+                            raise
+                        break
+                    time.sleep(delay(tries, base, share=random.random()))
+            out = frame[names].copy()
+            out["response"] = pd.Series(texts if texts is not None else [None] * len(frame), index=frame.index, dtype=object)
+            out["attempts"] = tries
+            yield out
+
+    return rows.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", response string, attempts int")
+
+
+def encoder_text(text: Column, query: bool, prefix: str = "Represent this sentence for searching relevant passages: ") -> Column:
+    """What an encoder reads: queries have the prefix, documents don't."""
+    return F.concat(F.lit(prefix), text) if query else text
