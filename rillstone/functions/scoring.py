@@ -17,6 +17,12 @@ def _clamped(c: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
 
 
+def rounded(c: Column, n: int, even: bool = False) -> Column:
+    """`c` with n decimals, scaled and rounded in double arithmetic: ties go away from 0, or to even."""
+    scale = 10.0**n
+    return (F.rint if even else F.round)(c * scale) / scale
+
+
 def similarity_to(one: Column, others: Column) -> Column:
     """Greatest Jaccard similarity of a token set to any of an array of token sets; 0 without any."""
     return F.coalesce(F.array_max(F.transform(others, lambda o: T.set_jaccard(one, o))), F.lit(0.0))
@@ -40,9 +46,9 @@ def transitions(rows: DataFrame, theta_q: float = 0.45, theta_c: float = 0.45) -
     keep = F.when(F.size("_qe") > 0, F.least(F.lit(1.0), F.size(F.array_intersect("_ye", "_qe")) / F.least(F.size("_qe"), F.lit(2)))).otherwise(T.set_jaccard(c("_yt"), c("_qt")))
     a = a.withColumns({"_aim": aim, "_keep": keep})
     worth = 0.45 * c("_aim") + 0.35 * c("_keep") + 0.20 * (1.0 - c("_max"))
-    a = a.withColumn("_q", F.when(c("_query") == "", 0.0).otherwise(F.bround(_clamped(F.when(c("_max") >= 0.85, F.least(worth, F.lit(0.20))).otherwise(worth)), 4)))
+    a = a.withColumn("_q", F.when(c("_query") == "", 0.0).otherwise(rounded(_clamped(F.when(c("_max") >= 0.85, F.least(worth, F.lit(0.20))).otherwise(worth)), 4, even=True)))
     empty = (c("_evidence") == "") | c("_none")
-    a = a.withColumns({"_empty": empty, "_c": F.when(empty, 0.0).otherwise(F.bround(_clamped(0.55 + 0.45 * T.set_jaccard(c("_et"), F.array_union("_qt", "_yt"))), 4))})
+    a = a.withColumns({"_empty": empty, "_c": F.when(empty, 0.0).otherwise(rounded(_clamped(0.55 + 0.45 * T.set_jaccard(c("_et"), F.array_union("_qt", "_yt"))), 4, even=True))})
     analysis = c("action") == "document_analysis"
     asks = F.when(analysis, False).when(c("action").isin("query_rewrite", "force_continue"), True).when((c("_query") != "") | F.contains("response", F.lit("<query>")), True).otherwise(c("action").isin("begin_reasoning", "reasoning") & (c("_answer") == ""))
     a = a.withColumns({"query_applicable": asks, "claim_applicable": analysis | F.contains("response", F.lit("<evidence>")), "stop_applicable": c("_answer") != ""})

@@ -81,7 +81,7 @@ def causal_returns(read):
 def credit_slots(read):
     t = C.normalized(trajectories(read), ["grp", "turn"], "gain", "credit")
     t = C.normalized(t, ["grp", "turn"], "gain", "centred", scale="group_turn_center").withColumn("gated", F.col("credit"))
-    five = lambda c: (F.round(c, 5) + 0.0).alias(c)
+    five = lambda c: (S.rounded(F.col(c), 5) + 0.0).alias(c)
     return C.gated(t, "grp", "gated", "advantage").select("sample", "turn", five("credit"), five("centred"), five("gated"))
 
 
@@ -112,7 +112,7 @@ def token_advantages(read):
     composed = F.when(~mask, 0.0).when(inside, 0.3 * base + 0.7 * credit).when(F.col("event_type") == "purchase", base).otherwise(0.0)
     signed = F.when(~mask, 0.0).when(inside, S.signed_query_advantage(base, credit)).otherwise(base)
     teacher = S.teacher_advantage(base, F.log1p("value"), F.lit(2.0), F.lit(0.2), S.failed_gate(F.col("value"), 100.0), mask)
-    six = lambda c, n: F.round(c, 6).alias(n)
+    six = lambda c, n: S.rounded(c, 6).alias(n)
     return j.select("event_id", F.col("ordinal").cast("long").alias("ordinal"), six(credit, "credit"), six(composed, "composed"), six(signed, "signed"), six(teacher, "teacher"))
 
 
@@ -120,4 +120,4 @@ def token_advantages(read):
 def running_value(read):
     odd = F.when(F.col("value") > 400, F.lit(float("nan"))).otherwise(2.0)
     e = read("events").withColumns({"q": C.running_mean(F.col("value"), ["user_id"], [F.col("ts"), F.col("event_id")]), "odd": odd})
-    return e.select("event_id", F.round("q", 6).alias("q"), F.round(S.weighted_reward({"value": 0.5, "odd": 1.0}), 6).alias("reward"))
+    return e.select("event_id", S.rounded(F.col("q"), 6).alias("q"), F.round(S.weighted_reward({"value": 0.5, "odd": 1.0}), 6).alias("reward"))

@@ -57,6 +57,9 @@ def limited(events: DataFrame, most: int = 5, seconds: float = 3600.0, cooldown:
 
     With `keys`, clients are counted under that many hashes of theirs, which bounds the state: clients that share
     a hash share a limit.
+
+    Clients are evicted by the clock, for which Spark goes on with batches without rows: a run with availableNow ends
+    only where `spark.sql.streaming.noDataMicroBatches.enabled` is false (clients are then evicted as rows come in).
     """
     rows = events.withColumn("user_id", F.pmod(F.xxhash64("user_id"), F.lit(keys))) if keys else events
     return rows.groupBy("user_id").applyInPandasWithState(limiter(most, seconds, cooldown), OUT, STATE, "append", "ProcessingTimeTimeout")

@@ -47,6 +47,8 @@ def test_limiter(spark, tmp_path):
     df = spark.createDataFrame(rows, "event_id long, user_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
     df.write.parquet(str(tmp_path / "in"))
     stream = limits.limited(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), most=2, seconds=60)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else the clock's batches never end
     q = stream.writeStream.outputMode("append").format("memory").queryName("limited").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert [r.allowed for r in spark.sql("select * from limited order by event_id").collect()] == [True, True, False, False, True]
