@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import ALNUM, Words, blocks, extended, ragged, tune, words
+from .textkit import ALNUM, Words, blocks, extended, ragged, released, tune, words
 
 ADDED = ("n_words", "spans", "items")
 
@@ -306,7 +306,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, sha
             if shard:
                 yield finish(shard, parts)
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(released(run), schema)
     return out
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import keep
+from .textkit import released
 
 
 class Forest:
@@ -72,7 +73,7 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of `edges` (a long, b long); root is some node of its component, one for all."""
-    live = keep(edges.select("a", "b").where("a <> b").mapInArrow(_thin, "a long, b long").distinct(), "edges")
+    live = keep(edges.select("a", "b").where("a <> b").mapInArrow(released(_thin), "a long, b long").distinct(), "edges")
     if live.isEmpty():
         return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
     labels = None
@@ -142,7 +143,7 @@ def _decide(frame: DataFrame, keys: list[str], link: Linker, *, start: bool = Fa
         if held:
             yield finish()
 
-    return frame.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "root long, node long, label long")
+    return frame.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(released(run), "root long, node long, label long")
 
 
 def verified(ids: DataFrame, fetch: Callable[[DataFrame], DataFrame], link: Linker, *, cap: int = 4096, cap_size: int = 4 << 20) -> DataFrame:

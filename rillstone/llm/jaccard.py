@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .groups import FEW, Forest, components, few, verified
 from .near import Entry, Keyed, Rule, bitmap, candidates, frequent, gathered, live
 from .storage import keep, small
-from .textkit import SPACED, blocks, mix, shingles, tune, words
+from .textkit import SPACED, blocks, mix, released, shingles, tune, words
 
 TILE = 256
 
@@ -122,7 +122,7 @@ def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 75, den: int =
             for i, j, value, ptr in sets_of(b.column(1), width):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(ptr)), pa.array(classes(value, ptr).view(np.int64))], ["doc_id", "n_shingles", "class"])
 
-    rows = keep(docs.mapInArrow(describe, "doc_id long, n_shingles long, class long"), "shingle-classes")
+    rows = keep(docs.mapInArrow(released(describe), "doc_id long, n_shingles long, class long"), "shingle-classes")
     real = rows.where("n_shingles > 0 and doc_id is not null")
     known = keep(real.groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("m"), F.first("n_shingles").alias("n_shingles")).withColumnRenamed("class", "node"), "classes")
     total = real.agg(F.sum("n_shingles")).first()[0] or 0
@@ -147,7 +147,7 @@ def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 75, den: int =
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[i:j][good]), pa.array(np.diff(ptr)[good]), pa.array([value[ptr[x] : ptr[x + 1]].tobytes() for x in good], pa.binary())], ["node", "size", "body"])
 
     some = texts.join(small(alive.select("doc_id", "node")), "doc_id").select("node", "text")
-    sets = keep(some.mapInArrow(build, "node long, size long, body binary"), "sets")
+    sets = keep(some.mapInArrow(released(build), "node long, size long, body binary"), "sets")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[Entry]:
         for b in batches:
@@ -159,7 +159,7 @@ def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 75, den: int =
             value, n = np.unique(x.key, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value[n > 1].view(np.int64)), pa.array(n[n > 1])], ["value", "n"])
 
-    late = frequent(sets.mapInArrow(often, "value long, n long"))
+    late = frequent(sets.mapInArrow(released(often), "value long, n long"))
     part = alive.agg(F.sum(F.col("size") * (den - num) / den)).first()[0] or 0
     edges = candidates(sets, kept, law, late, total=int(part), bucket_entries=bucket_entries // 4)
     stand = components(edges).join(alive.select("node", "size"), "node")

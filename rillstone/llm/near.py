@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .groups import forest
-from .textkit import ragged
+from .textkit import ragged, released
 
 LARGE = 1024  # classes of a bucket's key up to which all its pairs are tested
 LOCAL = 16  # classes of a task's key up to which each is dealt by itself
@@ -187,8 +187,8 @@ def live(rows: DataFrame, spell: Callable[[Iterator[pa.RecordBatch]], Iterator[K
             n = n + np.where(other[at] == cls & LOW, more[at], 0)
         return pa.table({"node": cls[n >= need].view(np.int64)})
 
-    told = rows.mapInArrow(tell, "bucket int, body binary").groupBy("bucket").applyInArrow(count, "part int, own boolean, body binary")
-    return told.groupBy("part").applyInArrow(decide, "node long")
+    told = rows.mapInArrow(released(tell), "bucket int, body binary").groupBy("bucket").applyInArrow(released(count), "part int, own boolean, body binary")
+    return told.groupBy("part").applyInArrow(released(decide), "node long")
 
 
 def frequent(counts: DataFrame, *, least: int = LOCAL, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
@@ -380,4 +380,4 @@ def candidates(rows: DataFrame, spell: Callable[[Iterator[pa.RecordBatch]], Iter
         a, b = forest(np.concatenate(left), np.concatenate(right))
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return rows.mapInArrow(deal, "bucket int, body binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return rows.mapInArrow(released(deal), "bucket int, body binary").groupBy("bucket").applyInArrow(released(meet), "a long, b long")

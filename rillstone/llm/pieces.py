@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkCache
-from .textkit import extended, tune
+from .textkit import KEPT, extended, released, tune
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -165,6 +165,9 @@ def load(path: str) -> Pieces:
     return Pieces(read_model(path))
 
 
+KEPT[__name__] = load.cache_clear
+
+
 def encode_pieces(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col: str = "piece_ids", check: bool = True) -> DataFrame:
     """`docs` and, for each text, its piece ids, and whether they decode to the text again.
 
@@ -188,7 +191,7 @@ def encode_pieces(docs: DataFrame, model_path: str, *, text_col: str = "text", i
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(ids, pa.int32())), pa.array(good, pa.bool_())], [*names, ids_col, "round_trip"])
 
     schema = extended(docs.select(*names).schema, f"{ids_col} array<int>, round_trip boolean")
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(released(run), schema)
 
 
 def piece_digest(docs: DataFrame, model_path: str) -> DataFrame:
@@ -212,4 +215,4 @@ def piece_digest(docs: DataFrame, model_path: str) -> DataFrame:
                     ["doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", "round_trip"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, round_trip boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, round_trip boolean")

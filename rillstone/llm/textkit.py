@@ -9,7 +9,9 @@ Null texts are empty texts.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from inspect import isgeneratorfunction
 from typing import NamedTuple
 
 import numpy as np
@@ -184,6 +186,61 @@ def tune(spark) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+#: What frees the models that a module keeps in a Python worker between tasks, by module.
+KEPT: dict[str, Callable[[], None]] = {}
+_LEAN = [False]
+
+
+@contextmanager
+def lean() -> Iterator[None]:
+    """Plans made within leave nothing in Python workers that wait for another task.
+
+    For operators that run one after another in one application: their workers stay alive,
+    and what each keeps would add up with what the next one needs.
+    """
+    before, _LEAN[0] = _LEAN[0], True
+    try:
+        yield
+    finally:
+        _LEAN[0] = before
+
+
+def make_room(module: str) -> None:
+    """Frees what other modules than `module` keep in this process."""
+    for name, clear in KEPT.items():
+        if name != module:
+            clear()
+
+
+def give_back() -> None:
+    """Returns what this process has freed to the system."""
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def released(run: Callable) -> Callable:
+    """`run`, an Arrow function of batches or of a group; within :func:`lean`, one that makes room before and gives back after."""
+    if not _LEAN[0]:
+        return run
+    module = run.__module__
+    if isgeneratorfunction(run):
+
+        def batched(batches):
+            make_room(module)
+            yield from run(batches)
+            give_back()
+
+        return batched
+
+    def grouped(group):
+        make_room(module)
+        out = run(group)
+        give_back()
+        return out
+
+    return grouped
+
+
 def unused(names: list[str], name: str) -> str:
     """`name`, or with underscores before it, that is none of `names` in any case."""
     taken = {n.lower() for n in names}

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import ALNUM, blocks, extended, ragged, tune, words
+from .textkit import ALNUM, blocks, extended, ragged, released, tune, words
 
 BLOCK = 64
 TERMS = 16  # of a query, added up at first
@@ -210,7 +210,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, train_mod: int = 5, max_exam
 
     index = None
     if all(rows_of.get(mark) for mark in (0, 1)):
-        told = sample.mapInArrow(tell, "doc_id long, mark int, terms array<bigint>, tf array<bigint>").toArrow().combine_chunks().sort_by("doc_id")
+        told = sample.mapInArrow(released(tell), "doc_id long, mark int, terms array<bigint>, tf array<bigint>").toArrow().combine_chunks().sort_by("doc_id")
         ids, mark = told["doc_id"].to_numpy(), told["mark"].to_numpy().astype(float)
         flat = lambda name: told[name].combine_chunks().flatten().to_numpy()
         doc = np.repeat(np.arange(len(ids)), np.array([len(x) for x in told["terms"]], np.int64)) if len(ids) else np.zeros(0, np.int64)
@@ -231,7 +231,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, train_mod: int = 5, max_exam
                 some = np.flatnonzero(df)
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], ["term", "n"])
 
-            rows = plain.select("text").mapInArrow(frequency, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+            rows = plain.select("text").mapInArrow(released(frequency), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
             at, n = rows["term"].to_numpy(), rows["n"].to_numpy()
             df = np.zeros(len(vocabulary), np.int64)
             df[at[at >= 0]] = n[at >= 0]
@@ -262,6 +262,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, train_mod: int = 5, max_exam
                     how.append(cosine.tolist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64()), pa.array(who, pa.list_(pa.int64())), pa.array(how, pa.list_(pa.float64()))], [*names, added[1], added[3], added[4]])
 
-    scored = docs.mapInArrow(score, extended(docs.schema, f"`{added[1]}` double, `{added[3]}` array<bigint>, `{added[4]}` array<double>"))
+    scored = docs.mapInArrow(released(score), extended(docs.schema, f"`{added[1]}` double, `{added[3]}` array<bigint>, `{added[4]}` array<double>"))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % train_mod == 0
     return scored.select(*names, held.alias(added[0]), added[1], (F.col(added[1]) >= 0.5).cast("int").alias(added[2]), added[3], added[4])

@@ -76,3 +76,25 @@ def test_whole_run_and_empty_table(spark, folder, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.createDataFrame([], SCHEMA), folder).count() == 0, name
     assert re.match("corpus", corpus_pipeline.__name__)
+
+
+def test_lean_functions_make_room_and_give_the_same():
+    from rillstone.llm import textkit
+
+    def double(batches):
+        for b in batches:
+            yield 2 * b
+
+    def total(group):
+        return sum(group)
+
+    assert textkit.released(double) is double
+    cleared = []
+    textkit.KEPT |= {"other": lambda: cleared.append("other"), __name__: lambda: cleared.append("own")}
+    try:
+        with textkit.lean():
+            many, one = textkit.released(double), textkit.released(total)
+        assert list(many([1, 2])) == [2, 4] and one([1, 2]) == 3 and "other" in cleared and "own" not in cleared
+    finally:
+        del textkit.KEPT["other"], textkit.KEPT[__name__]
+    assert textkit.released(total) is total
