@@ -205,4 +205,7 @@ def test_search(docs, empty):
         score = lambda c: sum(m * math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for t, m in query.items() if t in c)
         best = sorted((-round(score(c), 9), math.inf if i is None else i) for i, c in every if score(c) > 0)[:3]
         assert [(-round(r["score"], 9), math.inf if r["doc_id"] is None else r["doc_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == best
+    asked = docs.where("doc_id is not null")
+    ranked = lambda **o: sorted((r["query_id"], r["rank"], r["doc_id"] is None, r["doc_id"] or 0, round(r["score"], 9)) for r in bm25.search(docs, asked, k=4, **o).collect())
+    assert ranked(block_terms=20) == ranked()  # several query blocks, one after another
     assert bm25.search(empty, empty).count() == 0 and bm25.search(docs, empty).count() == 0
