@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, decontaminate, jaccard, lines, pieces, secrets, suffix_tree_lm, token_store, toxicity, warc
+from . import bm25, decontaminate, jaccard, lines, nearest, pieces, secrets, suffix_tree_lm, token_store, toxicity, warc
 
 
 def tokenizer(name: str) -> str:
@@ -64,8 +64,13 @@ def op10_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(docs, docs.where(F.col("doc_id") % 50 == 0))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pieces, op2_suffix_tree_lm, op3_line_dedup, op4_decontaminate, op5_toxicity, op6_jaccard, op7_token_store, op8_warc, op9_secrets, op10_bm25)}
+    return {f.__name__: f for f in (op1_pieces, op2_suffix_tree_lm, op3_line_dedup, op4_decontaminate, op5_toxicity, op6_jaccard, op7_token_store, op8_warc, op9_secrets, op10_bm25, op11_nearest)}
 
 
 #: SHA-1 in base 32 from its hexadecimal digits: five bits from two neighbouring ones.
