@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, decontaminate, jaccard, lines, nearest, pieces, secrets, suffix_tree_lm, token_store, toxicity, warc
+from . import bm25, decontaminate, jaccard, lines, nearest, phrases, pieces, secrets, spelling, suffix_tree_lm, token_store, toxicity, warc
 
 
 def tokenizer(name: str) -> str:
@@ -69,8 +69,16 @@ def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pieces, op2_suffix_tree_lm, op3_line_dedup, op4_decontaminate, op5_toxicity, op6_jaccard, op7_token_store, op8_warc, op9_secrets, op10_bm25, op11_nearest)}
+    return {f.__name__: f for f in (op1_pieces, op2_suffix_tree_lm, op3_line_dedup, op4_decontaminate, op5_toxicity, op6_jaccard, op7_token_store, op8_warc, op9_secrets, op10_bm25, op11_nearest, op12_phrases, op13_spelling)}
 
 
 #: SHA-1 in base 32 from its hexadecimal digits: five bits from two neighbouring ones.
