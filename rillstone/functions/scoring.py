@@ -217,7 +217,3 @@ def reweighted_advantage(base: Column, teacher: Column, policy: Column, mask: Co
     if negative_only:
         factor = F.when(base < 0, factor).otherwise(1.0)
     return F.when(mask, base * factor).otherwise(0.0)
-
-
-#: Metrics by name, for results with an answer and golds as token columns (see operators.metrics.scored).
-METRICS = ("em", "f1", "cover")

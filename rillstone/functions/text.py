@@ -156,6 +156,25 @@ def folded(c: Column) -> Column:
     return run(_text(c))
 
 
+def distinct_texts(values: Column) -> Column:
+    """An array's texts that aren't blank, compatibility-composed with single spaces, the first of each case-folded form, in order; in Arrow batches."""
+    @F.pandas_udf("array<string>")
+    def run(lists: pd.Series) -> pd.Series:
+        import unicodedata
+
+        def one(texts):
+            seen: dict[str, str] = {}
+            for t in texts if texts is not None else ():
+                plain = " ".join(unicodedata.normalize("NFKC", t or "").split())
+                if plain:
+                    seen.setdefault(plain.casefold(), plain)
+            return list(seen.values())
+
+        return lists.map(one)
+
+    return run(values)
+
+
 def signature(*parts: Column) -> Column:
     """Parts in lower case with single spaces, joined by bars."""
     return F.concat_ws("|", *[squeeze(F.lower(_text(p))) for p in parts])

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillstone.operators.scans import scanned
+
 
 def slot_stats(rows: DataFrame, slot: Sequence[str], value: str) -> DataFrame:
     """`rows` with _n, _mean and _sd of `value` in each slot.
@@ -20,15 +22,21 @@ def slot_stats(rows: DataFrame, slot: Sequence[str], value: str) -> DataFrame:
     return rows.join(stats.select(*keys, "_n", "_mean", "_sd"), same or F.lit(True), "left").drop(*[f"_k{i}" for i in range(len(slot))])
 
 
-def normalized(rows: DataFrame, slot: Sequence[str], value: str, to: str, *, scale: str = "group_turn", eps: float = 1e-4) -> DataFrame:
-    """Centred in its slot and, unless scale is group_turn_center, divided by the sample deviation; a slot of one is 0; scale none leaves values."""
+def scaled(value: str, scale: str = "group_turn", eps: float = 1e-4) -> Column:
+    """Over the columns of :func:`slot_stats`: centred in its slot and, unless scale is group_turn_center, divided by the sample deviation; a slot of one is 0; scale none leaves values."""
     if scale == "none":
-        return rows.withColumn(to, F.col(value).cast("double"))
+        return F.col(value).cast("double")
     if scale not in ("group_turn", "group_turn_center"):
         raise ValueError(f"unknown scale {scale!r}")
     centred = F.col(value) - F.col("_mean")
-    out = centred / (F.col("_sd") + eps) if scale == "group_turn" else centred
-    return slot_stats(rows, slot, value).withColumn(to, F.when(F.col("_n") <= 1, 0.0).otherwise(out)).drop("_n", "_mean", "_sd")
+    return F.when(F.col("_n") <= 1, 0.0).otherwise(centred / (F.col("_sd") + eps) if scale == "group_turn" else centred)
+
+
+def normalized(rows: DataFrame, slot: Sequence[str], value: str, to: str, *, scale: str = "group_turn", eps: float = 1e-4) -> DataFrame:
+    """`rows` with `value` :func:`scaled` in its slot."""
+    if scale == "none":
+        return rows.withColumn(to, scaled(value, scale))
+    return slot_stats(rows, slot, value).withColumn(to, scaled(value, scale, eps)).drop("_n", "_mean", "_sd")
 
 
 def gated(rows: DataFrame, group: str, credit: str, outcome: str, tol: float = 1e-8) -> DataFrame:
@@ -53,18 +61,13 @@ def causal_returns(rows: DataFrame, group: str, sample: str, turn: str, *, weigh
     return out.withColumn("query_advantage", F.when(flat, F.col("advantage")).otherwise((F.col("_raw") - F.col("_mean")) / (F.col("_sd") + 1e-4))).drop("_raw", "_n", "_mean", "_sd")
 
 
-def turn_ordinals(tokens: DataFrame, sample: str, pos: str, starts: Column, inside: Column) -> DataFrame:
+def turn_ordinals(tokens: DataFrame, sample: str, order: Sequence[str], starts: Column, inside: Column) -> DataFrame:
     """`tokens` with `ordinal`: the number (from 0) of the query turn that a token is inside, else -1."""
-    seen = F.sum(starts.cast("int")).over(Window.partitionBy(sample).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
-    return tokens.withColumn("ordinal", F.when(inside, seen - 1).otherwise(-1))
+    seen = scanned(tokens, [sample], order, {"_seen": ("sum", starts.cast("int"))})
+    return seen.withColumn("ordinal", F.when(inside, F.col("_seen") - 1).otherwise(-1)).drop("_seen")
 
 
 def scattered(tokens: DataFrame, credit: DataFrame, sample: str, value: str) -> DataFrame:
     """`tokens` (sample, ordinal, mask) with the credit (sample, ordinal, value) of their turn; 0 outside turns and the mask."""
     own = tokens.join(credit.select(sample, "ordinal", F.col(value).alias("_v")), [sample, "ordinal"], "left")
     return own.withColumn(value, F.when(F.col("mask"), F.coalesce("_v", F.lit(0.0))).otherwise(0.0)).drop("_v")
-
-
-def running_mean(value: Column, group: Sequence[str], order: Sequence[Column]) -> Column:
-    """Mean of the values so far, as an incremental update gives it."""
-    return F.avg(value).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

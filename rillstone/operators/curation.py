@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillstone.operators.relational import hash_unit, top_n
+from rillstone.operators.scans import scanned
 
 
 # Joins -----------------------------------------------------------------------------------
@@ -45,11 +46,39 @@ def first_source_wins(rows: DataFrame, key: str, order: Sequence[str], value: st
     return found.select("_r.*", "n_dropped", "n_conflicts")
 
 
-def digest_key(*parts: Column, mark: str = "\n--R3REF--\n") -> Column:
+#: Fixed value: what stands between the parts of a pair's key.
+PAIR_MARK = "\n--R3REF--\n"
+
+
+def digest_key(*parts: Column, mark: str = PAIR_MARK) -> Column:
     """The first 32 hexadecimal digits of the SHA-256 of the joined parts."""
     return F.substring(F.sha2(F.concat_ws(mark, *parts).cast("binary"), 256), 1, 32)
 
 
+def distinct_pairs(rows: DataFrame, query: str, reference: str, mark: str = PAIR_MARK) -> DataFrame:
+    """(key, query, reference) of each distinct pair of trimmed texts of which neither is blank; rows of an equal key are equal."""
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    some = rows.select(text(query).alias("query"), text(reference).alias("reference")).where("query <> '' and reference <> ''")
+    return some.select(digest_key(F.col("query"), F.col("reference"), mark=mark).alias("key"), "query", "reference").dropDuplicates(["key"])
+
+
+def chunked(rows: DataFrame, order: Sequence[str], text: str, size: int) -> DataFrame:
+    """`rows` whose text isn't blank, with chunk and place: `size` rows a chunk in that order, numbered by ranges and not in one task."""
+    some = rows.where(F.trim(F.coalesce(text, F.lit(""))) != "")
+    at = scanned(some, [], order, {"_n": ("count", F.lit(1))})
+    return at.withColumn("chunk", F.floor((F.col("_n") - 1) / size)).withColumn("place", (F.col("_n") - 1) % size).drop("_n")
+
+
+def in_left_order(left: DataFrame, right: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Rows with a partner, sorted by the left side's `order`; keys that the right side repeats give a row each."""
+    return left.join(right, key).orderBy(*order)
+
+
+def failures_of(samples: DataFrame, results: DataFrame, key: str, correct: str) -> DataFrame:
+    """Samples whose result is wrong (`correct` 0), with the result's columns; samples without a result are left out."""
+    return samples.join(results.where(F.col(correct) == 0), key)
+
+
 # Samples ---------------------------------------------------------------------------------
 def sha_rank(seed: str, key: Column) -> Column:
     """SHA-256 of seed, a zero byte and the key: an order that any engine draws alike."""

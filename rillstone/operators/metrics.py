@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillstone.functions import text as T
@@ -15,17 +15,49 @@ def rate(part: Column, whole: Column, places: int = 4) -> Column:
     return F.coalesce(F.bround(F.try_divide(part.cast("double"), whole.cast("double")), places), F.lit(0.0))
 
 
-def scored(rows: DataFrame, pred: str = "answer", golds: str = "gold") -> DataFrame:
-    """`rows` and em, f1, cover of each answer against its golds (an array); 0 where there is no answer.
+def _exact(p: Column, golds: Column) -> Column:
+    return F.exists(golds, lambda g: F.array_join(g, " ") == F.array_join(p, " ")).cast("double")
+
+
+def _overlap(p: Column, golds: Column) -> Column:
+    return F.coalesce(F.array_max(F.transform(golds, lambda g: T.overlap_f1(p, g))), F.lit(0.0))
+
+
+def _covered(p: Column, golds: Column) -> Column:
+    return F.exists(golds, lambda g: T.holds_in_a_row(p, g)).cast("double")
+
+
+#: Metrics by name: functions of an answer's tokens and of its golds' tokens (an array of arrays).
+METRICS: dict[str, Callable[[Column, Column], Column]] = {"em": _exact, "f1": _overlap, "cover": _covered}
+
+
+def scored(rows: DataFrame, pred: str = "answer", golds: str = "gold", names: Sequence[str] = tuple(METRICS)) -> DataFrame:
+    """`rows` and the named metrics (em, f1, cover) of each answer against its golds (an array); 0 where there is no answer.
 
     Tokens are made once, as columns of their own; each metric reads them.
     """
+    if unknown := sorted(set(names) - set(METRICS)):
+        raise ValueError(f"unknown metrics {unknown}; there are {', '.join(METRICS)}")
     own = rows.withColumn("_p", T.tokens(T.answer_form(F.col(pred)))).withColumn("_g", F.transform(golds, lambda g: T.tokens(T.answer_form(g))))
-    p, some = F.col("_p"), lambda c: F.when(F.col(pred).isNull(), 0.0).otherwise(c)
-    em = F.exists("_g", lambda g: F.array_join(g, " ") == F.array_join(p, " ")).cast("double")
-    f1 = F.coalesce(F.array_max(F.transform("_g", lambda g: T.overlap_f1(p, g))), F.lit(0.0))
-    cover = F.exists("_g", lambda g: T.holds_in_a_row(p, g)).cast("double")
-    return own.withColumns({"em": some(em), "f1": some(f1), "cover": some(cover)}).drop("_p", "_g")
+    some = lambda c: F.when(F.col(pred).isNull(), 0.0).otherwise(c)
+    return own.withColumns({name: some(METRICS[name](F.col("_p"), F.col("_g"))) for name in names}).drop("_p", "_g")
+
+
+def selector_report(steps: DataFrame) -> DataFrame:
+    """(selector, n_steps, hit, recall, noise, item_hit_pct, n_items) of steps (selector, item, step, picked, gold).
+
+    An item's golds are those of all its steps together. Items without golds count in no mean, and as not hit.
+    """
+    gold = steps.groupBy("item").agg(F.array_distinct(F.flatten(F.collect_set("gold"))).alias("_gold"))
+    hits = F.size(F.array_intersect(F.array_distinct("picked"), "_gold")).cast("double")
+    some = F.size("_gold") > 0
+    m = steps.join(gold, "item").select(
+        "selector", "item", F.when(some, (hits > 0).cast("double")).alias("h"), F.when(some, hits / F.size("_gold")).alias("r"), F.when(some, F.when(F.size("picked") > 0, 1 - hits / F.size("picked")).otherwise(0.0)).alias("x")
+    )
+    # Sums by item first, so that a selector of very many items is combined on the way.
+    items = m.groupBy("selector", "item").agg(F.count("*").alias("n"), *[f(c).alias(f"{k}{c}") for c in ("h", "r", "x") for k, f in (("s", F.sum), ("c", F.count))], F.max(F.coalesce("h", F.lit(0.0))).alias("any"))
+    mean = lambda c: F.bround(F.try_divide(F.sum(f"s{c}"), F.sum(f"c{c}")), 4)
+    return items.groupBy("selector").agg(F.sum("n").alias("n_steps"), mean("h").alias("hit"), mean("r").alias("recall"), mean("x").alias("noise"), F.bround(F.avg("any") * 100, 1).alias("item_hit_pct"), F.count("*").alias("n_items"))
 
 
 def summary(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -56,29 +88,43 @@ def summary(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return rows.groupBy(*by).agg(*[c.alias(k) for k, c in out.items()])
 
 
-def ranked_value(rows: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = (), places: int = 3, width: float = 1.0) -> DataFrame:
-    """Nearest-rank percentiles: the value at index round((n - 1) q), halves to even, of the sorted values of each group.
+def _at_places(rows: DataFrame, value: Column, places: dict[str, Callable[[Column], Column]], by: Sequence[str], width: float) -> DataFrame:
+    """(by, _n, one column a name): values at places (from 0, functions of the group's size) of each group's sorted values.
 
     Equal values are counted before anything is shuffled, and running counts are taken over buckets of
     values (each `width` wide) first, so no task holds a whole group.
     """
-    from pyspark.sql import Window
-
-    v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
     groups = list(by)
-    counts = rows.groupBy(*groups, v.alias("_v")).agg(F.count("*").alias("_c"))
+    counts = rows.groupBy(*groups, value.alias("_v")).agg(F.count("*").alias("_c"))
     counts = counts.withColumn("_b", F.floor(F.col("_v") / width))
     sums = counts.groupBy(*groups, "_b").agg(F.sum("_c").alias("_s"))
     over = Window.partitionBy(*groups).orderBy("_b")
     sums = sums.withColumns({"_before": F.sum("_s").over(over) - F.col("_s"), "_n": F.sum("_s").over(Window.partitionBy(*groups))})
-    # Only buckets that hold a wanted index are looked into.
-    index = {k: F.bround((F.col("_n") - 1) * q).cast("long") for k, q in shares.items()}
+    # Only buckets that hold a wanted place are looked into: at most one a place and group.
+    index = {k: f(F.col("_n")).cast("long") for k, f in places.items()}
     wanted = sums.where(F.greatest(*[(F.col("_before") <= i) & (i < F.col("_before") + F.col("_s")) for i in index.values()], F.lit(False)))
-    inner = counts.join(F.broadcast(wanted) if not groups else wanted, [*groups, "_b"])
+    same = [counts[g].eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)]
+    named = wanted.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_b").alias("_at"), "_s", "_before", "_n")
+    inner = counts.join(F.broadcast(named) if not groups else named, [counts["_b"] == F.col("_at"), *same]).drop("_at", *[f"_g{i}" for i in range(len(groups))])
     upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*groups, "_b").orderBy("_v"))
     inner = inner.withColumn("_upto", upto)
     picks = [F.min(F.when((F.col("_upto") > i) & (F.col("_before") <= i) & (i < F.col("_before") + F.col("_s")), F.col("_v"))) for i in index.values()]
-    return inner.groupBy(*groups).agg(*[F.bround(p, places).alias(k) for p, k in zip(picks, index, strict=True)])
+    return inner.groupBy(*groups).agg(F.max("_n").alias("_n"), *[p.alias(k) for p, k in zip(picks, index, strict=True)])
+
+
+def ranked_value(rows: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = (), places: int = 3, width: float = 1.0) -> DataFrame:
+    """Nearest-rank percentiles: the value at index round((n - 1) q), halves to even, of the sorted values of each group; null is 0."""
+    v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    found = _at_places(rows, v, {k: lambda n, q=q: F.bround((n - 1) * q) for k, q in shares.items()}, by, width)
+    return found.select(*by, *[F.bround(k, places).alias(k) for k in shares])
+
+
+def quantiles(rows: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = (), width: float = 1.0) -> DataFrame:
+    """Exact quantiles of each group, linear between the two values around the place (n - 1) q; nulls don't count."""
+    near = {f"{k}_{side}": lambda n, q=q, f=f: f((n - 1) * F.lit(q)) for k, q in shares.items() for side, f in (("lo", F.floor), ("hi", F.ceil))}
+    found = _at_places(rows.where(F.col(value).isNotNull()), F.col(value).cast("double"), near, by, width)
+    between = lambda k, q: F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * ((F.col("_n") - 1) * F.lit(q) - F.floor((F.col("_n") - 1) * F.lit(q)))
+    return found.select(*by, *[between(k, q).alias(k) for k, q in shares.items()])
 
 
 # Bootstrap -----------------------------------------------------------------------------
@@ -99,16 +145,26 @@ def draws(keys, rounds: int, seed: int):
     return sum((u > e).astype(np.int64) for e in POISSON)
 
 
-def bootstrap_sums(rows: DataFrame, key: str, values: Sequence[str], by: str | None = None, *, rounds: int = 1000, seed: int = 7) -> DataFrame:
+def group_seed(seed: int, pair: str, group: str) -> int:
+    from hashlib import sha256
+
+    return int.from_bytes(sha256(f"{seed}:{pair}:{group}".encode()).digest()[:8], "big") % PRIME
+
+
+def bootstrap_sums(rows: DataFrame, key: str, values: Sequence[str], by: str | None = None, *, rounds: int = 1000, seed: int = 7, pair: str | None = None) -> DataFrame:
     """(group, round, m, one sum of each of `values`): resampled sums of each group.
 
     A Poisson bootstrap: each row draws its own multiplicity for each round from its key, so rows never
-    meet; a task sums its batches in one matrix product and sends `rounds` rows a group.
+    meet; a task sums its batches in one matrix product and sends `rounds` rows a group. A key that is null or no whole
+    number is an error, since such rows would share their draws. `pair` (names of what is compared) gives each group a seed of its
+    own: the first eight bytes of the SHA-256 of seed, pair and group.
     """
     import numpy as np
     import pyarrow as pa
 
-    picked = rows.select((F.col(by).cast("string") if by else F.lit("")).alias("group"), F.col(key).cast("long").alias("key"), *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(values)])
+    number = F.expr(f"try_cast(`{key}` as bigint)")
+    whole = F.when(number.isNull() | (number.cast("double") != F.expr(f"try_cast(`{key}` as double)")), F.raise_error(F.lit("a bootstrap's key is not a whole number")).cast("long")).otherwise(number)
+    picked = rows.select((F.col(by).cast("string") if by else F.lit("")).alias("group"), whole.alias("key"), *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(values)])
     names = [f"s{i}" for i in range(len(values))]
 
     def run(batches):
@@ -117,10 +173,10 @@ def bootstrap_sums(rows: DataFrame, key: str, values: Sequence[str], by: str | N
             groups, keys = np.array(b.column(0).to_pylist(), object), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             data = np.stack([np.ones(b.num_rows), *[b.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(values))]])
             for a in range(0, b.num_rows, 2000):
-                m = draws(keys[a : a + 2000], rounds, seed)
                 for g in np.unique(groups[a : a + 2000]):
-                    own = groups[a : a + 2000] == g
-                    held[g] = held.get(g, 0) + data[:, a : a + 2000][:, own] @ m[own]
+                    own = np.flatnonzero(groups[a : a + 2000] == g) + a
+                    m = draws(keys[own], rounds, seed if pair is None else group_seed(seed, pair, g))
+                    held[g] = held.get(g, 0) + data[:, own] @ m
         for g, sums in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([g] * rounds), pa.array(np.arange(rounds, dtype=np.int64)), *[pa.array(np.asarray(x, float)) for x in sums]], ["group", "round", "m", *names])
 

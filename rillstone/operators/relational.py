@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillstone.operators.scans import scanned
+from rillstone.sources.store import kept
 
 # Joins ---------------------------------------------------------------------------------
 def reason_join(candidates: DataFrame, labels: DataFrame, keys: Sequence[str], ok: Column) -> DataFrame:
@@ -54,8 +56,10 @@ def top_n(rows: DataFrame, group: Sequence[str], order: Sequence[Column], n: int
 def group_scaled(rows: DataFrame, value: str, group: Sequence[str], least: float = 1e-9) -> DataFrame:
     """`rows` with norm (scaled into 0..1 in the group, 0.5 without spread) and z (by the population's deviation, 0 without).
 
-    Groups are aggregated map-side and joined back, so no task sorts or holds a whole group.
+    Groups are aggregated map-side and joined back, so no task sorts or holds a whole group. `rows` are made once and
+    written, since the aggregate and the join both read them.
     """
+    rows = kept(rows, "scaled")
     stats = rows.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
     v, span = F.col(value), F.col("_hi") - F.col("_lo")
     out = rows.join(stats, list(group)).withColumn("norm", F.when(span < least, 0.5).otherwise((v - F.col("_lo")) / span))
@@ -63,47 +67,24 @@ def group_scaled(rows: DataFrame, value: str, group: Sequence[str], least: float
 
 
 def group_softmax(rows: DataFrame, logit: str, group: Sequence[str], to: str) -> DataFrame:
-    """`rows` with the softmax of `logit` in the group, from sums of each group scaled by its own greatest value."""
-    top = rows.groupBy(*group).agg(F.max(logit).alias("_top"))
-    shifted = rows.join(top, list(group)).withColumn("_e", F.exp(F.col(logit) - F.col("_top")))
-    total = shifted.groupBy(*group).agg(F.sum("_e").alias("_sum"))
-    return shifted.join(total, list(group)).withColumn(to, F.col("_e") / F.col("_sum")).drop("_top", "_e", "_sum")
+    """`rows` with the softmax of `logit` in the group.
 
-
-def running_sum(rows: DataFrame, group: Sequence[str], order: Sequence[str], size: str, to: str) -> DataFrame:
-    """`rows` with the sum of `size` over the group's rows up to each one.
-
-    Rows are dealt by ranges of (group, order); each range adds up by itself and starts at the sum of the group's
-    ranges before it, so a group of any size is spread over many tasks.
+    One aggregate gives each group's greatest value and sum: a task's part of a group is summed by the part's own greatest value, and
+    parts are brought to one scale when they meet. `rows` are written once, and read by the aggregate and the join.
     """
-    from rillstone.sources.store import kept
-
-    dealt = kept(rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
-    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy(*group, "_part").agg(F.sum(size).alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
-    own = F.sum(size).over(Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return dealt.withColumn("_own", own).join(sums, [*group, "_part"]).withColumn(to, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
-
-
-def return_to_go(value: Column, group: Sequence[str], order: Sequence[Column]) -> Column:
-    return F.sum(value).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(0, Window.unboundedFollowing))
-
-
-def seen_before(form: Column, group: Sequence[str], order: Sequence[Column]) -> Column:
-    return F.row_number().over(Window.partitionBy(*group, form).orderBy(*order)) > 1
+    rows = kept(rows.withColumn("_part", F.spark_partition_id()), "softmax")
+    tops = rows.groupBy(*group, "_part").agg(F.max(logit).alias("_m"))
+    parts = rows.join(tops, [*group, "_part"]).groupBy(*group, "_part", "_m").agg(F.sum(F.exp(F.col(logit) - F.col("_m"))).alias("_s"))
+    top = Window.partitionBy(*group)
+    total = parts.withColumn("_top", F.max("_m").over(top)).groupBy(*group, "_top").agg(F.sum(F.col("_s") * F.exp(F.col("_m") - F.col("_top"))).alias("_sum"))
+    return rows.join(total, list(group)).withColumn(to, F.exp(F.col(logit) - F.col("_top")) / F.col("_sum")).drop("_top", "_sum", "_part")
 
 
 def prior_values(value: Column, group: Sequence[str], order: Sequence[Column]) -> Column:
-    """The values before each row: lists that grow with the group, for groups that are short. See prior_counts for others."""
+    """The values before each row: lists that grow with the group, for groups that are short. See scans.prior_counts for others."""
     return F.collect_list(value).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
 
 
-def prior_counts(value: Column, kinds: Sequence[str], group: Sequence[str], order: Sequence[Column]) -> Column:
-    """How often each kind came before each row, as kind:count joined by bars: of one size whatever the group's."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.concat_ws("|", *[F.concat(F.lit(f"{k}:"), F.coalesce(F.sum((value == k).cast("long")).over(w), F.lit(0)).cast("string")) for k in kinds])
-
-
 # Curation ------------------------------------------------------------------------------
 def hash_unit(seed: str, key: Column) -> Column:
     """A fixed number in 0..1 for each key."""
@@ -124,7 +105,7 @@ def hash_ranked(rows: DataFrame, seed: str, key: str, n: int, group: Sequence[st
 
 def budget_pack(rows: DataFrame, group: Sequence[str], order: Sequence[str], size: str, budget: int) -> DataFrame:
     """The leading rows of each group whose sizes together keep to `budget`, with `used`."""
-    return running_sum(rows, group, order, size, "used").where(F.col("used") <= budget)
+    return scanned(rows, group, order, {"used": ("sum", F.col(size))}).where(F.col("used") <= budget)
 
 
 # Vectors -------------------------------------------------------------------------------
@@ -143,8 +124,6 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *, id_col: str =
     import numpy as np
     import pyarrow as pa
 
-    from rillstone.sources.store import kept
-
     spark = corpus.sparkSession
     q = queries.select(F.col(id_col).cast("long").alias("id"), unit(F.col(vec_col)).alias("v"))
     stats = q.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
@@ -190,8 +169,6 @@ def lexical_topk(queries: DataFrame, docs: DataFrame, k: int, *, block_terms: in
     import numpy as np
     import pyarrow as pa
 
-    from rillstone.sources.store import kept
-
     spark = docs.sparkSession
     hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x))
     q = queries.select(F.col("query_id").cast("long").alias("query_id"), hashed("tokens").alias("t"))

@@ -74,7 +74,8 @@ def answer_latency(read):
 @query("""SELECT event_type, avg(value) AS mean, quantile_cont(value, 0.5) AS median, list_sort(list(value))[round_even((count(value) - 1) * 0.95, 0)::INT + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type""")
 def latency_percentiles(read):
     e = read("events").where("value is not null")
-    return e.groupBy("event_type").agg(F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median")).join(M.ranked_value(e, "value", {"p95": 0.95}, ["event_type"], places=9), "event_type")
+    mean = e.groupBy("event_type").agg(F.avg("value").alias("mean"))
+    return mean.join(M.quantiles(e, "value", {"median": 0.5}, ["event_type"]), "event_type").join(M.ranked_value(e, "value", {"p95": 0.95}, ["event_type"], places=9), "event_type")
 
 
 # Orders in two halves: a customer's totals stand for a candidate's and a baseline's scores.
@@ -88,7 +89,7 @@ def halves(read) -> DataFrame:
     return o.join(read("customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("grp")), "k")
 
 
-def _draw_sql(rounds: int, seed: int) -> str:
+def _draw_sql(rounds: int, seed: int | str) -> str:
     step = lambda x: f"(({x} * ({x} % 65536 + 1) + 12345) % {M.PRIME})"
     cases = " + ".join(f"(x3 / {M.PRIME}.0::DOUBLE > {e})::INT" for e in M.POISSON)
     return f"""d0 AS (SELECT h.*, r.range AS round, ((k % {M.PRIME}) * 16807 % {M.PRIME} + r.range * 48271 + {seed}) % {M.PRIME} AS x0 FROM h, range({rounds}) r),
@@ -107,11 +108,14 @@ def paired_bootstrap(read):
     return one.join(found).select("n", "paired_diff", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.round("p_le", 6).alias("p_one_sided"), F.round("p_two_sided", 6).alias("p_two_sided"))
 
 
-@query(f"""WITH {_HALVES}, {_draw_sql(200, 11)}, g AS (SELECT round, grp, sum(m * (x - y)) / sum(m) AS mean FROM d GROUP BY round, grp HAVING sum(m) > 0), b AS (SELECT round, avg(mean) AS mean FROM g GROUP BY round),
+_SEED = f"(('0x' || substr(sha256('11:even:odd:' || grp), 1, 16))::UBIGINT % {M.PRIME})::BIGINT"
+
+
+@query(f"""WITH {_HALVES}, {_draw_sql(200, _SEED)}, g AS (SELECT round, grp, sum(m * (x - y)) / sum(m) AS mean FROM d GROUP BY round, grp HAVING sum(m) > 0), b AS (SELECT round, avg(mean) AS mean FROM g GROUP BY round),
  o AS (SELECT round(avg(delta), 6) AS macro_diff FROM (SELECT grp, avg(x - y) AS delta FROM h GROUP BY grp)), q AS (SELECT {_BOOT} FROM b) SELECT macro_diff, low, high, round(p_le, 6) AS p_one_sided, round(least(1.0, 2 * least(p_le, p_ge)), 6) AS p_two_sided FROM o, q""")
 def macro_bootstrap(read):
     h = halves(read).withColumn("d", F.col("x") - F.col("y"))
-    found = M.bootstrap_summary(M.bootstrap_sums(h, "k", ["d"], "grp", rounds=200, seed=11))
+    found = M.bootstrap_summary(M.bootstrap_sums(h, "k", ["d"], "grp", rounds=200, seed=11, pair="even:odd"))
     one = h.groupBy("grp").agg(F.avg("d").alias("d")).agg(F.round(F.avg("d"), 6).alias("macro_diff"))
     return one.join(found).select("macro_diff", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.round("p_le", 6).alias("p_one_sided"), F.round("p_two_sided", 6).alias("p_two_sided"))
 

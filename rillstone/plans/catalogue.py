@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from rillstone.functions import text as T
 from rillstone.operators import credit as C
 from rillstone.operators import relational as R
-from rillstone.plans import answers, credit, curation, formats, machines, records, reports, steps, trees  # noqa: F401  they register their queries
+from rillstone.operators import scans as S
+from rillstone.plans import answers, asked, credit, curation, formats, machines, records, reports, steps, streams, trees  # noqa: F401  they register their queries
 from rillstone.plans.registry import oracle_sql, queries  # noqa: F401
 from rillstone.plans.registry import query as _query
 from rillstone.streaming import limits
@@ -139,8 +140,11 @@ def source_audit(read):
 _STEPS = "WITH s AS (SELECT user_id, event_id, ts, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events) "
 
 
-def _steps(read) -> DataFrame:
-    return read("events").select("user_id", "event_id", "ts", "event_type", "value").withColumn("turn", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+def _events(read) -> DataFrame:
+    return read("events").select("user_id", "event_id", "ts", "event_type", "value")
+
+
+_BY_USER = (["user_id"], ["ts", "event_id"])
 
 
 _KINDS = ("view", "click", "purchase", "signup", "error")
@@ -148,7 +152,7 @@ _KINDS = ("view", "click", "purchase", "signup", "error")
 
 @_query(_STEPS + "SELECT event_id, " + " || '|' || ".join(f"'{k}:' || coalesce(sum((event_type = '{k}')::INT) OVER w, 0)" for k in _KINDS) + " AS prior FROM s WINDOW w AS (PARTITION BY user_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def prior_steps(read):
-    return _steps(read).select("event_id", R.prior_counts(F.col("event_type"), _KINDS, ["user_id"], [F.col("turn")]).alias("prior"))
+    return S.prior_counts(_events(read), *_BY_USER, F.col("event_type"), _KINDS, "prior").select("event_id", "prior")
 
 
 @_query("SELECT conv_id, turn, coalesce(string_agg(role, '>') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS prior FROM conversations")
@@ -159,20 +163,20 @@ def prior_roles(read):
 @_query(_STEPS + """, n AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY turn) = 1 AS fresh FROM s)
  SELECT event_id, fresh, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY turn)::BIGINT AS covered, round(CASE WHEN fresh THEN power(0.9, turn - 1) ELSE 0 END, 9) AS gain FROM n""")
 def running_coverage(read):
-    n = _steps(read).withColumn("fresh", ~R.seen_before(F.col("event_type"), ["user_id"], [F.col("turn")]))
-    covered = F.sum(F.col("fresh").cast("int")).over(Window.partitionBy("user_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
-    return n.select("event_id", "fresh", covered.alias("covered"), F.round(F.when(F.col("fresh"), F.pow(F.lit(0.9), F.col("turn") - 1)).otherwise(0.0), 9).alias("gain"))
+    fresh = S.first_seen(_events(read), "event_id", ["user_id"], F.col("event_type"), ["ts", "event_id"], "fresh")
+    n = S.scanned(fresh, *_BY_USER, {"turn": ("count", F.lit(1)), "covered": ("sum", F.col("fresh").cast("int"))})
+    return n.select("event_id", "fresh", "covered", F.round(F.when(F.col("fresh"), F.pow(F.lit(0.9), F.col("turn") - 1)).otherwise(0.0), 9).alias("gain"))
 
 
 @_query(_STEPS + "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 4) AS rtg FROM s")
 def return_to_go(read):
-    return _steps(read).select("event_id", F.round(R.return_to_go(F.col("value"), ["user_id"], [F.col("turn")]), 4).alias("rtg"))
+    return S.return_to_go(_events(read), *_BY_USER, F.col("value"), "rtg").select("event_id", F.round("rtg", 4).alias("rtg"))
 
 
 @_query(_STEPS + """SELECT event_id, round(CASE WHEN count(value) OVER w <= 1 THEN 0.0 ELSE (value - avg(value) OVER w) / (stddev_samp(value) OVER w + 1e-4) END, 6) + 0.0 AS credit
  FROM s WINDOW w AS (PARTITION BY event_type, turn)""")
 def group_turn_norm(read):
-    n = C.normalized(_steps(read), ["event_type", "turn"], "value", "credit")
+    n = C.normalized(S.numbered(_events(read), *_BY_USER, "turn"), ["event_type", "turn"], "value", "credit")
     return n.select("event_id", (F.round("credit", 6) + 0.0).alias("credit"))
 
 

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from rillstone.functions import scoring as S
 from rillstone.functions import text as T
 from rillstone.operators import credit as C
+from rillstone.operators import masks as K
+from rillstone.operators.scans import scanned
 from rillstone.plans.answers import P, answer_tokens, squeeze
 from rillstone.plans.registry import query
+from rillstone.sources.store import kept
 
 # A conversation is a rollout: each turn a query whose documents are the turn and the next; golds are the odd turns' beginnings and later lines.
 _LOOSE = lambda x: rf"trim(regexp_replace(lower(coalesce({x}, '')), '\s+', ' ', 'g'))"
@@ -77,12 +80,12 @@ def causal_returns(read):
 
 
 @query(f"""WITH {_TRAJ}, n AS (SELECT *, CASE WHEN count(*) OVER w <= 1 THEN 0.0 ELSE (gain - avg(gain) OVER w) / (stddev_samp(gain) OVER w + 1e-4) END AS credit, CASE WHEN count(*) OVER w <= 1 THEN 0.0 ELSE gain - avg(gain) OVER w END AS centred FROM t WINDOW w AS (PARTITION BY grp, turn))
- SELECT sample, turn::INT AS turn, round(credit, 5) + 0.0 AS credit, round(centred, 5) + 0.0 AS centred, round(CASE WHEN max(abs(advantage)) OVER (PARTITION BY grp) <= 1e-8 THEN credit ELSE 0.0 END, 5) + 0.0 AS gated FROM n""")
+ SELECT sample, turn::INT AS turn, round(credit, 9) + 0.0 AS credit, round(centred, 9) + 0.0 AS centred, round(CASE WHEN max(abs(advantage)) OVER (PARTITION BY grp) <= 1e-8 THEN credit ELSE 0.0 END, 9) + 0.0 AS gated FROM n""")
 def credit_slots(read):
-    t = C.normalized(trajectories(read), ["grp", "turn"], "gain", "credit")
-    t = C.normalized(t, ["grp", "turn"], "gain", "centred", scale="group_turn_center").withColumn("gated", F.col("credit"))
-    five = lambda c: (S.rounded(F.col(c), 5) + 0.0).alias(c)
-    return C.gated(t, "grp", "gated", "advantage").select("sample", "turn", five("credit"), five("centred"), five("gated"))
+    t = C.slot_stats(kept(trajectories(read)), ["grp", "turn"], "gain")
+    t = t.withColumns({"credit": C.scaled("gain"), "centred": C.scaled("gain", "group_turn_center")}).withColumn("gated", F.col("credit"))
+    nine = lambda c: (S.rounded(F.col(c), 9) + 0.0).alias(c)
+    return C.gated(t, "grp", "gated", "advantage").select("sample", "turn", nine("credit"), nine("centred"), nine("gated"))
 
 
 @query("""SELECT o_orderkey AS sample, round(CASE WHEN count(*) OVER w <= 1 THEN 0.0 ELSE (o_totalprice - avg(o_totalprice) OVER w) / (stddev_samp(o_totalprice) OVER w + 1e-4) END, 5) AS advantage FROM orders WINDOW w AS (PARTITION BY o_custkey)""")
@@ -97,9 +100,9 @@ _TOK = """e AS (SELECT user_id AS sample, event_id, value, event_type, row_numbe
 
 
 def token_rows(read):
-    e = read("events").select(F.col("user_id").alias("sample"), "event_id", "value", "event_type", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("pos"))
+    e = read("events").select(F.col("user_id").alias("sample"), "event_id", "value", "event_type", "ts")
     view = F.col("event_type") == "view"
-    o = C.turn_ordinals(e, "sample", "pos", view, F.col("event_type") != "purchase").withColumn("ordinal", F.greatest("ordinal", F.lit(-1))).withColumn("mask", F.col("event_id") % 7 != 0)
+    o = C.turn_ordinals(e, "sample", ["ts", "event_id"], view, F.col("event_type") != "purchase").withColumn("ordinal", F.greatest("ordinal", F.lit(-1))).withColumn("mask", F.col("event_id") % 7 != 0)
     credit = o.where("ordinal >= 0").groupBy("sample", "ordinal").agg((F.avg("value") / 100 - 1).alias("credit"))
     return C.scattered(o, credit, "sample", "credit").withColumn("base", (F.col("sample") % 5 - 2).cast("double"))
 
@@ -119,5 +122,33 @@ def token_advantages(read):
 @query("""SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS q, round(coalesce(value, 0) * 0.5 + coalesce(CASE WHEN value > 400 THEN NULL ELSE 2 END, 0), 6) AS reward FROM events""")
 def running_value(read):
     odd = F.when(F.col("value") > 400, F.lit(float("nan"))).otherwise(2.0)
-    e = read("events").withColumns({"q": C.running_mean(F.col("value"), ["user_id"], [F.col("ts"), F.col("event_id")]), "odd": odd})
+    e = scanned(read("events"), ["user_id"], ["ts", "event_id"], {"q": ("mean", F.col("value"))}).withColumn("odd", odd)
     return e.select("event_id", S.rounded(F.col("q"), 6).alias("q"), F.round(S.weighted_reward({"value": 0.5, "odd": 1.0}), 6).alias("reward"))
+
+
+# A conversation is a sample; its turns are responses that ask, note or answer, in tokens of five characters; each seventh token isn't trained on.
+_MASKS = """WITH c AS (SELECT conv_id AS sample, turn, CASE turn % 4 WHEN 0 THEN 'so <query>' || coalesce(text, '') || '</query> x' WHEN 1 THEN '<evidence>' || coalesce(text, '') WHEN 2 THEN 'ask <Query>' || coalesce(text, '') ELSE coalesce(text, '') || '<answer>a <query>b' END AS body FROM conversations),
+ t AS (SELECT *, CASE WHEN contains(lower(body), '<answer>') THEN 'answer' WHEN contains(lower(body), '<query>') THEN 'query' WHEN contains(lower(body), '<evidence>') THEN 'evidence' END AS class, strpos(lower(body), '<query>') - 1 AS first FROM c),
+ s AS (SELECT *, CASE WHEN strpos(lower(body)[first + 8:], '</query>') > 0 THEN first + 7 + strpos(lower(body)[first + 8:], '</query>') - 1 + 8 ELSE length(body) END AS stop, CASE WHEN class = 'query' THEN count(*) FILTER (class = 'query') OVER (PARTITION BY sample ORDER BY turn) - 1 ELSE -1 END AS ordinal FROM t),
+ k AS (SELECT *, unnest(range(greatest(ceil(length(body) / 5.0), 1)::BIGINT)) AS pos FROM s)
+ SELECT sample, turn, pos, CASE WHEN (pos + turn) % 7 <> 3 THEN ordinal ELSE -1 END::BIGINT AS ordinal, CASE WHEN (pos + turn) % 7 <> 3 AND class = 'query' AND pos * 5 < stop AND least(pos * 5 + 5, length(body)) > first THEN ordinal ELSE -1 END::BIGINT AS payload,
+ (pos + turn) % 7 <> 3 AND coalesce(class = 'answer', false) AS answers FROM k"""
+
+
+def response_tokens(read):
+    text, kind = F.coalesce("text", F.lit("")), F.col("turn") % 4
+    body = F.when(kind == 0, F.concat(F.lit("so <query>"), text, F.lit("</query> x"))).when(kind == 1, F.concat(F.lit("<evidence>"), text)).when(kind == 2, F.concat(F.lit("ask <Query>"), text)).otherwise(F.concat(text, F.lit("<answer>a <query>b")))
+    c = read("conversations").select(F.col("conv_id").alias("sample"), "turn", body.alias("body"))
+    n = F.greatest(F.ceil(F.length("body") / 5), F.lit(1))
+    t = c.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    return t.select("sample", "turn", "pos", F.substring("body", (F.col("pos") * 5 + 1).cast("int"), F.lit(5)).alias("piece"), ((F.col("pos") + F.col("turn")) % 7 != 3).alias("keep"))
+
+
+@query(_MASKS)
+def response_masks(read):
+    """Ordinals of query turns, of what their tags enclose, and the mask of answers, token by token."""
+    t = kept(response_tokens(read))
+    at = ["sample", "turn", "pos"]
+    payload = K.query_ordinals(t, payload_only=True).select(*at, F.col("ordinal").cast("long").alias("payload"))
+    answers = K.action_mask(t, "answer").select(*at, F.col("selected").alias("answers"))
+    return K.query_ordinals(t).select(*at, F.col("ordinal").cast("long").alias("ordinal")).join(payload, at).join(answers, at)

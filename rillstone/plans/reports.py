@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from rillstone.functions import text as T
 from rillstone.operators import metrics as M
 from rillstone.operators import relational as R
+from rillstone.operators.scans import scanned
 from rillstone.plans.answers import answer_tokens, turns
 from rillstone.plans.registry import query
 from rillstone.plans.steps import _RESPONSES, responses
+from rillstone.sources.store import kept
 
 _BLANK = r"regexp_replace(coalesce(text, ''), '\s+', '', 'g') = ''"
 
@@ -83,13 +85,11 @@ def rule_comparison(read):
 @query("""WITH t AS (SELECT event_type, user_id % 4 AS gpu, value, ts, event_id FROM events), r AS (SELECT *, max(value) OVER (PARTITION BY gpu ORDER BY ts, event_id) AS peak FROM t)
  SELECT event_type, gpu, round(avg(value), 6) AS mean_util, max(value) AS peak, round(avg(peak), 6) AS mean_running_peak, min(value) AS least, round(quantile_cont(value, 0.5), 6) AS median FROM r GROUP BY 1, 2""")
 def telemetry(read):
-    peak = F.max("value").over(Window.partitionBy("gpu", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    t = read("events").select("event_type", (F.col("user_id") % 4).alias("gpu"), "value", "ts", "event_id", F.to_date("ts").alias("day"))
-    # Running peaks start each day from the days before: no window holds all rows of a device.
-    days = t.groupBy("gpu", "day").agg(F.max("value").alias("most"))
-    before = days.withColumn("before", F.max("most").over(Window.partitionBy("gpu").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))).drop("most")
-    r = t.withColumn("own", peak).join(F.broadcast(before), ["gpu", "day"]).withColumn("running", F.greatest("own", "before"))
-    return r.groupBy("event_type", "gpu").agg(F.round(F.avg("value"), 6).alias("mean_util"), F.max("value").alias("peak"), F.round(F.avg("running"), 6).alias("mean_running_peak"), F.min("value").alias("least"), F.round(F.percentile("value", 0.5), 6).alias("median"))
+    t = read("events").select("event_type", (F.col("user_id") % 4).alias("gpu"), "value", "ts", "event_id")
+    r = kept(scanned(t, ["gpu"], ["ts", "event_id"], {"running": ("max", F.col("value"))}))
+    found = r.groupBy("event_type", "gpu").agg(F.round(F.avg("value"), 6).alias("mean_util"), F.max("value").alias("peak"), F.round(F.avg("running"), 6).alias("mean_running_peak"), F.min("value").alias("least"))
+    median = M.quantiles(r, "value", {"median": 0.5}, ["event_type", "gpu"])
+    return found.join(median, ["event_type", "gpu"]).withColumn("median", F.round("median", 6))
 
 
 # Messages of a conversation, scored again by the last assistant turn alone.
@@ -164,3 +164,65 @@ def result_grid(read):
 @query("""SELECT source, lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1, 2 ORDER BY n DESC, chars DESC, source, lang LIMIT 30""")
 def top_counts(read):
     return read("documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").cast("long").alias("chars")).orderBy(F.desc("n"), F.desc("chars"), "source", "lang").limit(30)
+
+
+# Runs from conversations: config by id, dataset by length; steps are turns, of which some repeat, fail or find too little.
+_RUNS = """c AS (SELECT conv_id AS id, CASE WHEN conv_id % 3 = 0 THEN 's3k2' ELSE 's5k2' END AS config, 'd' || (conv_id // 3 % 2) AS dataset, CASE WHEN conv_id % 3 = 0 THEN 3 ELSE 5 END AS max_searches, turn, turn % 3 <> 2 AS ran, turn % 5 = 2 AS dup, CASE WHEN turn % 7 = 3 THEN 'timeout' END AS failed, CASE WHEN length(coalesce(text, '')) % 11 = 0 THEN 1 ELSE 2 END AS n_docs FROM conversations),
+ r AS (SELECT id, config, dataset, max_searches, count(*) AS steps, count_if(ran) AS executed, count_if(failed IS NOT NULL) AS errors, bool_or(ran AND dup) AS dup_ran, bool_or(ran AND failed IS NULL AND n_docs <> 2) AS few FROM c GROUP BY ALL),
+ b AS (SELECT *, id % 4 = 0 AS forced, id % 8 = 0 AS valid, CASE WHEN id % 8 = 4 THEN NULL ELSE 'x' END AS answer, id % 8 = 4 AS bad FROM r)"""
+_RULE_SQL = {
+    "wrong_top_k": "id % 13 = 5", "logical_searches": "steps > max_searches", "retrieval_calls": "executed + (id % 17 = 3)::INT <> executed OR executed + (id % 17 = 3)::INT > steps",
+    "duplicate_executed": "dup_ran", "documents_found": "few", "invalid_forced_answer": "forced AND NOT valid", "gold_in_trace": "id % 19 = 2",
+}
+_RUN_SQL = """e AS (SELECT * FROM (VALUES ('s3k2', 'd0'), ('s3k2', 'd1'), ('s5k2', 'd0'), ('s5k2', 'd1'), ('s9k2', 'd0')) t(config, dataset)), s AS (SELECT config, dataset, count(*) AS n, count_if(bad) AS format, count_if(errors > 0) AS service FROM b GROUP BY 1, 2),
+ x AS (SELECT e.*, n, format, service FROM e LEFT JOIN s USING (config, dataset))"""
+
+
+def _protocol(read):
+    from rillstone.operators import protocol
+
+    i = F.col("conv_id")
+    c = read("conversations").select(
+        i.alias("id"), F.when(i % 3 == 0, "s3k2").otherwise("s5k2").alias("config"), F.concat(F.lit("d"), (F.floor(i / 3) % 2).cast("string")).alias("dataset"), F.when(i % 3 == 0, 3).otherwise(5).alias("max_searches"),
+        F.struct("turn", (F.col("turn") % 3 != 2).alias("search_executed"), (F.col("turn") % 5 == 2).alias("exact_duplicate"), F.when(F.col("turn") % 7 == 3, "timeout").alias("retrieval_error"), F.when(F.length(F.coalesce("text", F.lit(""))) % 11 == 0, 1).otherwise(2).cast("long").alias("n_docs")).alias("step"),
+    )
+    r = c.groupBy("id", "config", "dataset", "max_searches").agg(F.array_sort(F.collect_list("step")).alias("steps")).withColumn("top_k", F.lit(2))
+    n, ran, failed = F.size("steps"), F.size(F.filter("steps", lambda s: s["search_executed"])), F.size(F.filter("steps", lambda s: s["retrieval_error"].isNotNull()))
+    k = F.col("id")
+    behavior = F.struct(
+        F.col("max_searches").alias("max_searches"), F.when(k % 13 == 5, 9).otherwise(2).alias("top_k"), F.lit("p1").alias("forced_answer_protocol"), n.alias("logical_search_count"), (ran + (k % 17 == 3).cast("int")).alias("actual_retrieval_rpc_count"),
+        (k % 4 == 0).alias("forced_answer"), (k % 8 == 0).alias("forced_answer_valid"), failed.alias("retrieval_error_count"),
+    )
+    r = r.withColumns({"behavior": behavior, "answer": F.when(k % 8 != 4, "x"), "error": F.when(k % 8 == 4, "forced_answer_format_failure"), "message_keys": F.when(k % 19 == 2, F.array(F.lit("role"), F.lit("gold"))).otherwise(F.array(F.lit("role")))})
+    runs = [("s3k2", "d0"), ("s3k2", "d1"), ("s5k2", "d0"), ("s5k2", "d1"), ("s9k2", "d0")]
+    expected = read("conversations").sparkSession.createDataFrame([(a, b, 0) for a, b in runs], "config string, dataset string, rows long")
+    counts = r.groupBy("config", "dataset").count()
+    expected = expected.join(counts, ["config", "dataset"], "left").select("config", "dataset", F.coalesce("count", F.lit(1)).alias("rows"))
+    return protocol.validated(r, expected, "p1", 0.3)
+
+
+# Ids of a dataset never are in both configs, so the later config's set differs wherever both have rows.
+@query(f"WITH {_RUNS}, {_RUN_SQL} " + " UNION ALL ".join(f"SELECT config, dataset, '{k}' AS rule, id::VARCHAR AS id, 1::BIGINT AS n FROM b WHERE {v}" for k, v in _RULE_SQL.items()) + """ UNION ALL SELECT config, dataset, 'missing_results', NULL, 1 FROM x WHERE n IS NULL
+ UNION ALL SELECT config, dataset, 'id_set_differs', NULL, 1 FROM x WHERE config = 's5k2' AND n IS NOT NULL AND EXISTS (SELECT 1 FROM x y WHERE y.config = 's3k2' AND y.dataset = x.dataset AND y.n IS NOT NULL)
+ UNION ALL SELECT config, dataset, 'format_failure_rate', NULL, format FROM x WHERE format > 0.3 * n UNION ALL SELECT config, dataset, 'service_failure_rate', NULL, service FROM x WHERE service > 0.3 * n""")
+def protocol_violations(read):
+    """Every broken rule of every result and run."""
+    return _protocol(read)[0]
+
+
+@query(f"""WITH {_RUNS}, {_RUN_SQL}, m AS (SELECT config, dataset, count_if(forced) AS forced_answers, count_if(forced AND valid) AS forced_valid, round(avg(steps), 6) AS avg_logical, round(avg(executed + (id % 17 = 3)::INT), 6) AS avg_rpcs, count_if({" OR ".join(f"({v})" for v in _RULE_SQL.values())}) AS broken FROM b GROUP BY 1, 2)
+ SELECT x.config, x.dataset, coalesce(x.n, 0) AS n, forced_answers, forced_valid, format AS format_failures, service AS service_failures, avg_logical, avg_rpcs, coalesce(x.n IS NOT NULL AND broken = 0 AND format <= 0.3 * x.n AND service <= 0.3 * x.n AND x.config = 's3k2', false) AS passed FROM x LEFT JOIN m USING (config, dataset)""")
+def protocol_summary(read):
+    s = _protocol(read)[1]
+    return s.withColumns({"avg_logical": F.round("avg_logical_searches", 6), "avg_rpcs": F.round("avg_actual_retrieval_rpcs", 6)}).drop("avg_logical_searches", "avg_actual_retrieval_rpcs")
+
+
+@query(r"""SELECT doc_id, 3 AS n, 'x {' || source || '} y' AS first, md5(translate(coalesce(text, ''), '{}', '()')) AS second, NULL::VARCHAR AS third FROM documents""")
+def tex_arguments(read):
+    """What commands enclose, over whole texts: nested braces, options before them, and an argument that isn't closed."""
+    from rillstone.sources import formats as X
+
+    text = F.translate(F.coalesce("text", F.lit("")), "{}", "()")
+    tex = F.concat(F.lit(r"a \caption{x {"), F.col("source"), F.lit(r"} y} } b \caption[z] {"), text, F.lit(r"} c \caption{open {} "))
+    d = read("documents").select("doc_id", X.arguments(tex, r"\caption").alias("found"))
+    return d.select("doc_id", F.size("found").alias("n"), F.get("found", F.lit(0)).alias("first"), F.md5(F.get("found", F.lit(1)).cast("binary")).alias("second"), F.get("found", F.lit(2)).alias("third"))

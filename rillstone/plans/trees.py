@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rillstone.functions import scoring as S
 from rillstone.functions import text as T
+from rillstone.operators import lockstep
 from rillstone.operators import trees as G
 from rillstone.plans.registry import query
 
@@ -64,6 +65,50 @@ def uct_scores(read):
     return c.select("node", F.round(S.uct(F.col("q") / 1e5, F.col("visits"), F.col("pv")), 6).alias("uct"))
 
 
+# Search in lockstep under fixed rules: what a node says, how its step failed and what it is worth are arithmetic of item and node.
+_WIDTH, _DEPTH, _ROLLOUTS = 2, 3, 10
+_BONUS = "CASE WHEN x.visits = 0 THEN 1e300 ELSE x.q + 1.4 * sqrt(ln(greatest({p}.visits, 1)) / x.visits) END"
+
+
+def _down(at: str) -> str:
+    node = f"nodes[{at} + 1]"
+    best = f"list_sort(list_transform(list_filter(nodes, lambda x: x.parent = {at}), lambda x: {{'b': -({_BONUS.format(p=node)}), 'k': x.id}}))[1].k"
+    return f"CASE WHEN {node}.next IS NOT NULL AND {node}.level < {_DEPTH} AND len(list_filter(nodes, lambda x: x.parent = {at})) >= {_WIDTH} THEN {best} ELSE {at} END"
+
+
+_LOCKSTEP = f"""WITH RECURSIVE r AS (SELECT item_id, 0 AS i, [{{'id': 0, 'parent': -1, 'level': 0, 'action': NULL::VARCHAR, 'method': 'normal', 'next': 'begin_reasoning', 'failure': 'success', 'response': NULL::VARCHAR, 'visits': 0::BIGINT, 'q': 0.0::DOUBLE}}] AS nodes FROM benchmark
+ UNION ALL SELECT item_id, i, list_transform(held, lambda x: CASE WHEN x.id = node OR x.id = p1 OR x.id = p2 OR x.id = p3 THEN {{'id': x.id, 'parent': x.parent, 'level': x.level, 'action': x.action, 'method': x.method, 'next': x.next, 'failure': x.failure, 'response': x.response, 'visits': x.visits + 1, 'q': x.q + (score - x.q) / (x.visits + 1)}} ELSE x END) FROM (
+ SELECT *, CASE WHEN p2 > 0 THEN held[p2 + 1].parent ELSE -1 END AS p3 FROM (SELECT *, CASE WHEN p1 > 0 THEN held[p1 + 1].parent ELSE -1 END AS p2 FROM (SELECT *, CASE WHEN node > 0 THEN held[node + 1].parent ELSE -1 END AS p1, ((item_id + node * 3) % 10)::DOUBLE / 10.0 AS score FROM (
+  SELECT item_id, i, CASE WHEN grows THEN len(nodes) ELSE stop END::INT AS node, CASE WHEN grows THEN list_append(nodes, {{'id': len(nodes)::INT, 'parent': stop::INT, 'level': f.level + 1, 'action': f.next, 'method': method,
+    'next': CASE method WHEN 'query_rewrite' THEN 'document_analysis' WHEN 'evidence_reexamine' THEN 'reasoning' WHEN 'force_continue' THEN 'document_analysis' ELSE CASE WHEN f.level + 1 >= {_DEPTH} OR contains(response, '<answer>') THEN NULL WHEN f.next = 'document_analysis' THEN 'reasoning' ELSE 'document_analysis' END END,
+    'failure': CASE (item_id * 5 + len(nodes) * 11) % 7 WHEN 1 THEN 'query_fail' WHEN 2 THEN 'claim_fail' WHEN 3 THEN CASE WHEN contains(response, '<answer>') THEN 'success' ELSE 'stop_fail' END ELSE 'success' END, 'response': response, 'visits': 0::BIGINT, 'q': 0.0::DOUBLE}}) ELSE nodes END AS held FROM (
+   SELECT *, CASE method WHEN 'query_rewrite' THEN '<query>better ' || h WHEN 'evidence_reexamine' THEN '<evidence>again ' || h WHEN 'force_continue' THEN '<query>more ' || h
+     ELSE CASE WHEN f.next = 'document_analysis' THEN '<evidence>e' || h WHEN h = 4 THEN 'so <answer>a' ELSE '<query>w' || h END END AS response FROM (
+    SELECT *, CASE f.failure WHEN 'query_fail' THEN CASE WHEN h = 3 THEN 'normal' ELSE 'query_rewrite' END WHEN 'claim_fail' THEN 'evidence_reexamine' WHEN 'stop_fail' THEN 'force_continue' ELSE 'normal' END AS method FROM (
+     SELECT *, nodes[stop + 1] AS f, nodes[stop + 1].next IS NOT NULL AND nodes[stop + 1].level < {_DEPTH} AS grows, (item_id * 7 + len(nodes) * 3 + nodes[stop + 1].level) % 5 AS h FROM (
+      SELECT item_id, i, nodes, {_down("a2")} AS stop FROM (SELECT *, {_down("a1")} AS a2 FROM (SELECT item_id, i + 1 AS i, nodes, {_down("0")} AS a1 FROM r WHERE i < {_ROLLOUTS})))))))))))
+ SELECT item_id, n.id AS node, n.parent AS parent, n.level AS depth, n.action AS action, n.method AS method, n.failure AS failure, n.response AS response, n.visits AS visits, round(n.q, 9) AS q FROM (SELECT item_id, unnest(nodes) AS n FROM r WHERE i = {_ROLLOUTS})"""
+
+
+def lockstep_rules():
+    """A model and a judge as fixed rules over `item_id` and the tree's size."""
+    h = (F.col("item_id") * 7 + F.size("nodes") * 3 + F.size("thoughts")) % 5
+    with_h = lambda x: F.concat(F.lit(x), h.cast("string"))
+    plain = F.when(F.col("action") == "document_analysis", with_h("<evidence>e")).when(h == 4, "so <answer>a").otherwise(with_h("<query>w"))
+    said = F.when(F.col("method") == "query_rewrite", F.when(h != 3, with_h("<query>better "))).when(F.col("method") == "evidence_reexamine", with_h("<evidence>again ")).when(F.col("method") == "force_continue", with_h("<query>more ")).otherwise(plain)
+    g = (F.col("item_id") * 5 + F.col("node") * 11) % 7
+    failure = F.when(g == 1, "query_fail").when(g == 2, "claim_fail").when((g == 3) & ~F.contains("response", F.lit("<answer>")), "stop_fail").otherwise("success")
+    return lambda rows: rows.withColumn("response", said), lambda rows: rows.withColumns({"failure": failure, "score": ((F.col("item_id") + F.col("node") * 3) % 10).cast("double") / 10.0})
+
+
+@query(_LOCKSTEP)
+def lockstep_search(read):
+    """Failure-attributed search, all items' trees one rollout at a time."""
+    model, judge = lockstep_rules()
+    found = lockstep.lockstep_search(read("benchmark").select("item_id"), "item_id", model, judge, rollouts=_ROLLOUTS, width=_WIDTH, depth=_DEPTH)
+    return found.withColumn("q", F.round("q", 9))
+
+
 # Conversations as maps of nodes: turn k hangs on turn (k - 1) // 2.
 def _maps(read):
     c = read("conversations")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -90,8 +91,10 @@ def log_metrics(spark: SparkSession, path: str, schema: str, pattern: str = r"(\
 
 
 def row_slice(rows: DataFrame, order: Sequence[str], start: int, n: int) -> DataFrame:
-    """n rows from place `start` on in that order."""
-    return rows.orderBy(*order).offset(start).limit(n)
+    """n rows from place `start` on in that order, which tells rows apart; places come from ranges, so no task counts or sorts all."""
+    from rillstone.operators.scans import scanned
+
+    return scanned(rows, [], order, {"_at": ("count", F.lit(1))}).where(F.col("_at").between(start + 1, start + n)).drop("_at")
 
 
 def fetched(corpus: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -164,17 +167,23 @@ def json_report(rows: DataFrame, path: str) -> None:
 
 
 def write_chunks(vectors: DataFrame, key: str, chunk: int, path: str) -> int:
-    """Vectors by chunks of `chunk` ids, one folder a chunk; chunks that are there with as many rows are left. How many are written."""
+    """Vectors by chunks of `chunk` ids, one folder a chunk; chunks that are there with as many rows are left. How many are written.
+
+    What is wanted is a table that meets the vectors in a join, so no list of chunks comes to the driver.
+    """
+    from rillstone.sources.store import kept
+
     spark = vectors.sparkSession
     own = vectors.withColumn("chunk", F.floor(F.col(key) / chunk))
     wanted = own.groupBy("chunk").agg(F.count("*").alias("n"))
     if exists(spark, f"{path}/chunk=*"):
         there = spark.read.parquet(path).groupBy(F.col("chunk").cast("long").alias("chunk")).agg(F.count("*").alias("n"))
         wanted = wanted.join(there, ["chunk", "n"], "left_anti")
-    todo = [r["chunk"] for r in wanted.select("chunk").collect()]
-    if todo:
-        own.where(F.col("chunk").isin(todo)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(path)
-    return len(todo)
+    wanted = kept(wanted.select("chunk"), "chunks")
+    n = wanted.count()
+    if n:
+        own.join(wanted, "chunk", "left_semi").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(path)
+    return n
 
 
 def event_lines(rows: DataFrame, key: str, order: Sequence[str], kind: str, payload: str) -> DataFrame:
@@ -196,5 +205,31 @@ def note_meta(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
 
 
 def without_comments(tex):
-    """A column of TeX without its comments: from a per cent sign that no backslash precedes to the line's end."""
-    return F.regexp_replace(tex, r"(?m)(?<!\\)%.*$", "")
+    """A column of TeX without its comments: from a per cent sign that isn't escaped to the line's end; a backslash escapes the character after it."""
+    return F.regexp_replace(tex, r"(?m)^((?:[^%\\\n]|\\.)*)%.*$", "$1")
+
+
+def arguments(tex, command: str):
+    """An array with the argument of each `command` in a column of TeX: what is between the first brace after it and the one that closes that.
+
+    Braces are counted, so arguments may hold others; an argument that isn't closed, or isn't there, is null.
+    """
+    after = F.slice(F.split(tex, re.escape(command)), 2, F.size(F.split(tex, re.escape(command))))
+    n = F.size(after)
+    tails = F.transform(after, lambda x, i: F.array_join(F.slice(after, i + 1, n), command))
+
+    def argument(tail):
+        parts = F.regexp_extract_all(tail, F.lit(r"([{}]|[^{}]+)"), F.lit(1))
+        start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+
+        def step(acc, part):
+            opens, closes = part == "{", part == "}"
+            depth = acc["depth"] + F.when(opens, 1).when(closes & (acc["first"] > 0), -1).otherwise(0)
+            first = F.when((acc["first"] == 0) & opens, acc["at"] + 1).otherwise(acc["first"])
+            last = F.when((acc["last"] == 0) & closes & (acc["first"] > 0) & (depth == 0), acc["at"]).otherwise(acc["last"])
+            return F.struct((acc["at"] + F.length(part)).alias("at"), depth.alias("depth"), first.alias("first"), last.alias("last"))
+
+        found = F.aggregate(parts, start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+        return F.when(found["last"] > 0, F.substring(tail, found["first"], found["last"] - found["first"]))
+
+    return F.transform(tails, argument)

@@ -8,25 +8,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillstone.functions import text as T
 from rillstone.sources.store import kept
 
-HISTORY = "array<struct<query:string,evidence:string,searched:boolean,duplicate:boolean>>"
+HISTORY = "array<struct<query:string,evidence:string,searched:boolean,duplicate:boolean,failed:boolean>>"
 
 #: (history, question) -> the model's text.
 Generator = Callable[[Column, Column], Column]
-#: (rows with `query`) -> the rows with `docs`, array<struct<title, text>>.
+#: (rows with `query`) -> the rows with `docs`, array<struct<title, text>>; null where the search failed.
 Retriever = Callable[[DataFrame], DataFrame]
 #: (query, docs) -> evidence text.
 Reader = Callable[[Column, Column], Column]
 
 
-def lookup(corpus: DataFrame) -> Retriever:
-    """A retriever over (query, doc) rows: the documents of an equal query."""
-    docs = corpus.groupBy("query").agg(F.collect_list("doc").alias("docs"))
+def lookup(corpus: DataFrame, top: int = 5) -> Retriever:
+    """A retriever over (query, rank, doc) rows: of an equal query the `top` documents of least rank, in that order."""
+    best = F.row_number().over(Window.partitionBy("query").orderBy("rank"))
+    few = corpus.withColumn("_n", best).where(F.col("_n") <= top).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("_n", "doc"))).alias("docs"))
+    docs = few.withColumn("docs", F.transform("docs", lambda d: d["doc"]))
 
     def search(rows: DataFrame) -> DataFrame:
         none = F.array().cast(docs.schema["docs"].dataType)
@@ -39,31 +41,59 @@ def first_line(query: Column, docs: Column) -> Column:
     return F.coalesce(F.get(docs, F.lit(0))["text"], F.lit("None"))
 
 
-def cohort(questions: DataFrame, key: str, reason: Generator, retrieve: Retriever, read: Reader, *, max_turns: int = 6, intercept: bool = False, max_searches: int | None = None, force: Generator | None = None) -> DataFrame:
-    """`questions` (key, question) with history, answer, error, forced and turns.
+def words_in(text: Column) -> Column:
+    """How many words a text has: stands for a model's token count."""
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != ""))
+
+
+def cohort(questions: DataFrame, key: str, reason: Generator, retrieve: Retriever, read: Reader, *, max_turns: int = 6, intercept: bool = False, max_searches: int | None = None, force: Generator | None = None, count: Callable[[Column], Column] = words_in) -> DataFrame:
+    """`questions` (key, question) with history, answer, error, forced, turns and behavior.
 
     Each turn every open question reasons; an answer ends it, a query is searched and read into its history,
     anything else is the error no_query_or_answer. With `intercept`, a query whose normal form stands in the
-    history is noted but not searched. With `max_searches`, a question that has made so many gets one answer by
-    `force`. Open ones end as max_turns_exceeded. A turn is one pass over the open questions; its result is written
-    to the shared folder, so turns don't pile up lineage and a lost executor repeats one turn at most.
+    history is noted but not searched. Open ones end as max_turns_exceeded after `max_turns`.
+
+    With `max_searches` there is a budget of queries (intercepted ones count) in place of `max_turns`, and `force` is needed: a question
+    that has spent it neither reasons nor searches again but gets one text by `force`, and so does one whose
+    reasoning has neither query nor answer. A forced text without an answer is the error forced_answer_format_failure, whatever else it asks for.
+
+    A turn is one pass over the open questions; its result is written to the shared folder, so turns don't pile up
+    lineage and a lost executor repeats one turn at most. `behavior` has what each question took: turns, logical and actual
+    searches, repeats, failed searches, words by `count`, whether, why and with what success it was forced, and how it ended.
     """
-    empty = F.array().cast(HISTORY)
-    state = questions.withColumns({"history": empty, "answer": F.lit(None).cast("string"), "error": F.lit(None).cast("string"), "forced": F.lit(False), "open": F.lit(True), "turns": F.lit(0)})
+    if (max_searches is None) != (force is None):
+        raise ValueError("a budget of searches and a forced answer go together")
+    if max_searches is not None and max_searches < 0:
+        raise ValueError(f"max_searches must be at least 0, not {max_searches}")
+    budget = max_searches is not None
+    text, number = F.lit(None).cast("string"), F.lit(0).cast("long")
+    state = questions.withColumns({"history": F.array().cast(HISTORY), "answer": text, "error": text, "forced": F.lit(False), "open": F.lit(True), "turns": F.lit(0), "reason": text, "finish": text, "reasoner": number, "forcing": number})
     names = state.columns
     done: list[DataFrame] = []
-    for turn in range(max_turns + (max_searches is not None)):
-        spent = F.lit(False) if max_searches is None else F.size("history") >= max_searches
-        out = reason(F.col("history"), F.col("question"))
-        if force is not None:
-            asks = T.action_of(out) == "query"
-            use = spent & asks
-            out = F.when(use, force(F.col("history"), F.col("question"))).otherwise(out)
-            state = state.withColumn("forced", use)
-        said = state.withColumn("_out", T.close_tag(T.close_tag(out, "query"), "answer"))
-        said = said.withColumns({"_answer": T.last_tag(F.col("_out"), "answer"), "query": T.first_tag(F.col("_out"), "query")})
-        ended = F.col("_answer").isNotNull() | F.col("query").isNull()
-        said = kept(said.withColumns({"turns": F.lit(turn + 1), "answer": F.col("_answer"), "error": F.when(F.col("_answer").isNull() & F.col("query").isNull(), "no_query_or_answer"), "open": ~ended}), "turn")
+    closed = lambda out: T.close_tag(T.close_tag(out, "query"), "answer")
+    for turn in range(max_searches + 1 if budget else max_turns):
+        h, q = F.col("history"), F.col("question")
+        spent = F.size("history") >= max_searches if budget else F.lit(False)
+        said = state.withColumn("_out", closed(F.when(~spent, reason(h, q))))
+        said = said.withColumns({"_answer": T.last_tag(F.col("_out"), "answer"), "query": F.when(~spent, T.first_tag(F.col("_out"), "query"))})
+        odd = ~spent & F.col("_answer").isNull() & F.col("query").isNull()
+        said = said.withColumn("forced", (spent | odd) if budget else F.lit(False))
+        end = {
+            "turns": F.lit(turn + 1) + F.when(odd & F.col("forced"), 1).otherwise(0), "reasoner": F.col("reasoner") + count(F.col("_out")),
+            "answer": F.col("_answer"), "error": F.when(odd, "no_query_or_answer"), "finish": F.when(F.col("_answer").isNotNull(), "model_answer").when(odd, "no_query_or_answer"),
+            "open": F.col("_answer").isNull() & F.col("query").isNotNull(),
+        }
+        if budget:
+            said = said.withColumn("_last", F.when(F.col("forced"), T.close_tag(force(h, q), "answer")))
+            said = said.withColumn("_given", F.nullif(T.first_tag(F.col("_last"), "answer"), F.lit("")))
+            failed = F.col("forced") & F.col("_given").isNull()
+            why = F.when(F.col("forced"), F.when(spent, "search_budget").otherwise("invalid_reasoner_format"))
+            after = F.when(failed, "forced_answer_format_failure").when(spent, "forced_answer_after_search_budget").otherwise("forced_answer_after_format_failure")
+            end |= {
+                "answer": F.when(F.col("forced"), F.col("_given")).otherwise(F.col("_answer")), "error": F.when(failed, "forced_answer_format_failure"), "reason": why, "finish": F.when(F.col("forced"), after).otherwise(end["finish"]),
+                "forcing": count(F.col("_last")).cast("long"), "open": ~F.col("forced") & end["open"],
+            }
+        said = kept(said.withColumns(end), "turn")
         done.append(said.where("not open").select(*names))
         asked = said.where("open")
         if asked.isEmpty():
@@ -72,18 +102,25 @@ def cohort(questions: DataFrame, key: str, reason: Generator, retrieve: Retrieve
         form = T.query_form(F.col("query"))
         again = (form != "") & F.exists("history", lambda h: T.query_form(h["query"]) == form)
         asked = asked.withColumn("_again", again)
-        found = retrieve(asked.where("not _again") if intercept else asked)
-        rows = found.withColumn("_searched", F.lit(True))
-        if intercept:
+        aside = intercept or budget
+        rows = retrieve(asked.where("not _again") if aside else asked).withColumn("_searched", F.lit(True))
+        if aside:
             rows = rows.unionByName(asked.where("_again").withColumn("_searched", F.lit(False)), allowMissingColumns=True)
         evidence = F.when(F.col("_searched"), read(F.col("query"), F.col("docs"))).otherwise("None")
-        step = F.array(F.struct(F.col("query").alias("query"), evidence.alias("evidence"), F.col("_searched").alias("searched"), F.col("_again").alias("duplicate")))
+        step = F.array(F.struct(F.col("query").alias("query"), evidence.alias("evidence"), F.col("_searched").alias("searched"), F.col("_again").alias("duplicate"), (F.col("_searched") & F.col("docs").isNull()).alias("failed")))
         state = kept(rows.withColumn("history", F.concat("history", step.cast(HISTORY))).select(*names), "state")
-    late = state.withColumns({"error": F.lit("max_turns_exceeded"), "open": F.lit(False)})
-    out = late
+    out = state.withColumns({"error": F.lit("max_turns_exceeded"), "finish": F.lit("max_turns_exceeded"), "open": F.lit(False)})
     for d in done:
         out = out.unionByName(d)
-    return out.drop("open")
+    many = lambda which: F.size(F.filter("history", which)).cast("long")
+    logical, searched, repeats = F.size("history").cast("long"), many(lambda h: h["searched"]), many(lambda h: h["duplicate"])
+    evidence = F.aggregate("history", F.lit(0).cast("long"), lambda n, h: n + count(h["evidence"]))
+    behavior = F.struct(
+        F.col("turns").cast("long").alias("num_turns"), logical.alias("logical_search_count"), searched.alias("actual_retrieval_rpc_count"), searched.alias("actual_search_count"), logical.alias("num_queries"), repeats.alias("exact_duplicate_count"), repeats.alias("repeat_count_from_text"),
+        many(lambda h: h["failed"]).alias("retrieval_error_count"), F.col("reasoner").alias("reasoner_token_count"), evidence.alias("evidence_token_count"), F.col("forcing").alias("forced_answer_token_count"),
+        F.col("forced").alias("forced_answer"), (F.col("forced") & F.col("answer").isNotNull()).alias("forced_answer_valid"), F.col("reason").alias("force_reason"), F.col("finish").alias("finish_reason"),
+    )
+    return out.withColumn("behavior", behavior).drop("open", "reason", "finish", "reasoner", "forcing")
 
 
 def answer_events(pieces: Column, tag: str = "answer") -> Column:
@@ -121,16 +158,20 @@ def cached(rows: DataFrame, prompt: str, answer: Callable[[DataFrame], DataFrame
     return rows.withColumn("_key", F.sha2(F.col(prompt).cast("binary"), 256)).join(held, "_key", "left").drop("_key"), n
 
 
-#: Ways to run the cohort, by name: plain search, queries that repeat noted but not searched, and a search budget with a forced answer.
-SCHEDULERS: dict[str, dict] = {"plain": {}, "intercepting": {"intercept": True}, "budgeted": {"max_searches": 5}}
+def scheduler(name: str, force: Generator | None = None, max_searches: int = 5) -> dict:
+    """Options of the cohort by name: plain search, queries that repeat noted but not searched, or a search budget with an answer by `force`."""
+    known = {"plain": {}, "intercepting": {"intercept": True}, "budgeted": {"max_searches": max_searches, "force": force}}
+    if name not in known:
+        raise ValueError(f"unknown scheduler {name!r}; there are {', '.join(known)}")
+    return known[name]
 
 
-def routed(rows: DataFrame, key: str, reason: Generator, analyse: Generator, answer: Generator, retrieve: Retriever, *, max_iter: int = 4) -> DataFrame:
+def routed(rows: DataFrame, key: str, reason: Generator, analyse: Callable[[Column, Column, Column], Column], answer: Generator, retrieve: Retriever, *, max_iter: int = 4) -> DataFrame:
     """(key, question) to (key, answer, n_thoughts, actions): the older loop, whose every thought goes into one history.
 
     A thought that asks is searched, or the query that the thoughts imply if it has none; then comes document
     analysis, reasoning after an analysis, and in the last round answer generation. A thought with an answer ends it.
-    `reason`, `analyse` and `answer` are functions of (thoughts array<string>, question).
+    `reason` and `answer` are functions of (thoughts array<string>, question), `analyse` of the documents found, too.
     """
     state = rows.withColumns({"thoughts": F.array().cast("array<string>"), "actions": F.array().cast("array<string>"), "answer": F.lit(None).cast("string")})
     names = state.columns
@@ -142,9 +183,12 @@ def routed(rows: DataFrame, key: str, reason: Generator, analyse: Generator, ans
         if step:
             said = F.coalesce(T.last_tag(F.try_element_at("thoughts", F.lit(-1)), "query"), F.lit(""))
             asked = state.withColumn("query", F.when(said != "", said).otherwise(T.inferred_subquery(F.array_join("thoughts", " "), F.col("question"))))
-            state = retrieve(asked).select(*names, "_kind")
+            state = retrieve(asked).select(*names, "_kind", "docs")
         q, t = F.col("question"), F.col("thoughts")
-        out = F.when(F.col("_kind") == "answer_generation", answer(t, q)).when(F.col("_kind") == "document_analysis", analyse(t, q)).otherwise(reason(t, q))
+        out = F.when(F.col("_kind") == "answer_generation", answer(t, q))
+        if step:
+            out = out.when(F.col("_kind") == "document_analysis", analyse(t, q, F.col("docs")))
+        out = out.otherwise(reason(t, q))
         state = state.withColumn("_out", out).withColumns({"thoughts": F.concat("thoughts", F.array("_out")), "actions": F.concat("actions", F.array("_kind")), "answer": T.last_tag(F.col("_out"), "answer")})
         state = kept(state.select(*names), "routed")
         ended = state.where("answer is not null")
