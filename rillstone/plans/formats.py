@@ -8,6 +8,7 @@ from rillstone.operators import relational as R
 from rillstone.plans.registry import query
 from rillstone.sources import files
 from rillstone.sources import formats as X
+from rillstone.sources import published
 from rillstone.sources.store import fresh_path
 
 EVENT = "event_id long, user_id long, event_type string, value double"
@@ -71,8 +72,9 @@ def resumable_output(read):
     half = X.append_pending(e.where("event_id % 2 = 0"), f"{at}/out.jsonl", ["event_id"])
     rest = X.append_pending(e, f"{at}/out.jsonl", ["event_id"])
     none = X.append_pending(e, f"{at}/out.jsonl", ["event_id"])
-    X.publish(files.jsonl(spark, f"{at}/out.jsonl", EVENT), f"{at}/final.parquet")
-    rows = spark.read.parquet(f"{at}/final.parquet")
+    published.publish_version(e.where("event_id < 10"), f"{at}/final")
+    published.publish_version(files.jsonl(spark, f"{at}/out.jsonl", EVENT), f"{at}/final")
+    rows = published.published(spark, f"{at}/final")
     part = X.row_slice(rows, ["event_id"], 10, 4).agg(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ",").alias("slice"))
     got = X.fetched(rows, rows.select(F.col("user_id").alias("event_id")), "event_id").agg(F.count("*").alias("n_fetched"))
     return X.verified_count(rows, 1, "events").agg(F.lit(half + rest).cast("long").alias("n_first"), F.lit(none).cast("long").alias("n_second"), F.count("*").alias("n_all")).join(part).join(got)
@@ -84,15 +86,14 @@ def split_files(read):
     spark, at = d.sparkSession, fresh_path(d.sparkSession, "split")
     files.write_jsonl(d.withColumn("split", R.split_of("7", F.col("doc_id"), 0.1)), f"{at}/all", by=("split",))
     X.first_of_each(d, "lang", ["doc_id"], 3, f"{at}/samples")
-    X.brief_table(d.where("doc_id % 10 = 0"), f"{at}/brief.csv", ["doc_id", "text", "none"])
     rows = spark.read.schema("doc_id long, lang string, text string, split string").json(f"{at}/all")
     sample = spark.read.schema("doc_id long, text string, lang string").json(f"{at}/samples").select("doc_id", F.lit(1).alias("s"))
     return rows.join(sample, "doc_id", "left").groupBy("split", "lang").agg(F.count("*").alias("n"), F.count("s").alias("n_sample"))
 
 
-@query("""WITH t AS (SELECT event_id, value, user_id FROM events WHERE event_id % 3 = 0) SELECT count(*) AS n_logged, round(avg(value), 4) AS mean_loss, 3::BIGINT AS n_settings, 'x=y' AS setting FROM t""")
+@query("""WITH t AS (SELECT event_id, value, user_id FROM events) SELECT count(*) AS n_logged, round(avg(value), 4) AS mean_loss, 3::BIGINT AS n_settings, 'x=y' AS setting FROM t""")
 def log_and_manifest(read):
-    e = _events(read).where("event_id % 3 = 0")
+    e = _events(read)
     spark, at = e.sparkSession, fresh_path(e.sparkSession, "logs")
     e.select(F.concat(F.lit("step done {'step': "), F.col("event_id").cast("string"), F.lit(", 'loss': "), F.col("value").cast("string"), F.lit("} ok")).alias("value")).write.text(f"{at}/train.log")
     spark.createDataFrame([("a=1",), ("# note",), ("b = x=y",), ("c=",)], "value string").write.text(f"{at}/run.txt")

@@ -60,9 +60,9 @@ def distilled_advantages(read):
     return read("events").select("event_id", one(False).alias("advantage"), one(True).alias("negative"))
 
 
-@query("""SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')[1:5], ' ') AS five, rtrim(left(text, 30)) AS thirty, octet_length(encode(text)) AS n_bytes, 'Represent this sentence for searching relevant passages: ' || role AS asked FROM conversations WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) > 5""".replace("\\\\", "\\"))
+@query("""SELECT conv_id, turn, CASE WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) <= 5 THEN text ELSE array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')[1:5], ' ') END AS five, rtrim(left(text, 30)) AS thirty, octet_length(encode(text)) AS n_bytes, 'Represent this sentence for searching relevant passages: ' || role AS asked FROM conversations""".replace("\\\\", "\\"))
 def truncated_texts(read):
-    c = read("conversations").where(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")) > 5)
+    c = read("conversations")
     return c.select("conv_id", "turn", T.first_words(F.col("text"), 5).alias("five"), F.rtrim(F.left("text", F.lit(30))).alias("thirty"), F.octet_length("text").alias("n_bytes"), A.encoder_text(F.col("role"), True).alias("asked"))
 
 

@@ -92,10 +92,10 @@ def response_parts(read):
 @query(rf"""WITH {_RESPONSES} SELECT conv_id, turn, coalesce(nullif(trim(regexp_extract(s, '(?i)So the next query is\s*(.*?)(\.|$)', 1)), ''), nullif(trim(regexp_extract_all(s, '<query>(.*?)</query>', 1)[-1]), ''), trim(regexp_extract_all(s, '(?i)(?:Determine|Find|Search for|Look up|Identify|Discover)\s+(.*?)(?:\.|$)', 1)[-1]), trim(regexp_extract_all(s, '\d+\.\s+(.*?[?\.»])', 1)[-1]), role) AS implied,
  CASE WHEN turn % 6 = 0 THEN {_TIDY('t')} ELSE {_TIDY(_NOTAGS('s'))} END AS subquery,
  trim(split_part(CASE WHEN turn % 6 IN (3, 4) AND NOT contains(regexp_extract(s, '(?s)<answer>(.*?)</answer>', 1), chr(10)) THEN trim(regexp_extract_all(s, '<answer>(.*?)</answer>', 1)[-1]) WHEN turn % 6 = 3 THEN trim(regexp_replace(string_split(s, 'So the answer is')[-1], '(?s)<answer.*?>.*?</answer>|<query.*?>.*?</query>|answer>|<answer', '', 'g')) ELSE '' END, '.', 1)) AS answer,
- split_part(t, chr(10), 1) AS title, CASE WHEN contains(t, chr(10)) THEN left(regexp_replace(substr(t, strpos(t, chr(10)) + 1), '^\s+|\s+$', '', 'g'), 500) ELSE '' END AS body FROM r WHERE NOT regexp_matches(t, '["“]')""")
+ split_part(t, chr(10), 1) AS title, CASE WHEN contains(t, chr(10)) THEN left(regexp_replace(substr(t, strpos(t, chr(10)) + 1), '^\s+|\s+$', '', 'g'), 500) ELSE '' END AS body FROM r""")
 def implied_queries(read):
     s, t = F.col("s"), F.col("t")
-    r = responses(read).where(~t.rlike('["“]'))
+    r = responses(read)
     return r.select("conv_id", "turn", T.inferred_subquery(s, F.col("role")).alias("implied"), T.clean_subquery(s).alias("subquery"), T.last_protocol_answer(s).alias("answer"), T.title_of(t).alias("title"), T.body_of(t).alias("body"))
 
 

@@ -139,14 +139,18 @@ def path_history(read):
  SELECT tree, string_agg(depth || ':' || node || '<' || parent, ' ' ORDER BY depth, node) AS listed FROM d GROUP BY 1""")
 def tree_listing(read):
     n = map_nodes(read)
-    depth = G.ancestors(n).groupBy("tree", "node").agg(F.max("up").alias("depth"))
-    return G.serialized(n.join(depth, ["tree", "node"]))
+    return G.serialized(n.join(G.climbed(n).select("tree", "node", "depth"), ["tree", "node"]))
 
 
-@query(f"""WITH {_M}, k AS (SELECT tree, parent, count(*) AS n, min(length(response)) AS shortest FROM m WHERE parent >= 0 GROUP BY 1, 2 HAVING count(*) >= 2) SELECT tree, parent AS node, true AS bounded FROM k""")
+# Texts of a run of one letter and a run of another, by a response's length: two match in the lesser of each run, as one block.
+@query(f"""WITH {_M}, c AS (SELECT tree, parent, node, length(response) % 60 AS x, (length(response) // 7 + node) % 40 AS y FROM m WHERE parent >= 0),
+ p AS (SELECT a.tree, a.parent, CASE WHEN a.x + a.y + b.x + b.y = 0 THEN 1.0 ELSE 2.0 * (least(a.x, b.x) + least(a.y, b.y)) / (a.x + a.y + b.x + b.y) END AS ratio FROM c a JOIN c b ON a.tree = b.tree AND a.parent = b.parent AND a.node < b.node)
+ SELECT tree, parent AS node, round(min(ratio), 9) AS similarity FROM p GROUP BY 1, 2""")
 def sibling_similarity(read):
-    s = G.least_similarity(map_nodes(read).where("parent >= 0"), "response")
-    return s.select("tree", "node", F.col("similarity").between(0, 1).alias("bounded"))
+    n = F.length("response")
+    runs = F.concat(F.repeat(F.lit("a"), n % 60), F.repeat(F.lit("b"), ((F.floor(n / 7) + F.col("node")) % 40).cast("int")))
+    s = G.least_similarity(map_nodes(read).where("parent >= 0").withColumn("runs", runs), "runs")
+    return s.select("tree", "node", F.round("similarity", 9).alias("similarity"))
 
 
 @query()

@@ -214,3 +214,33 @@ def test_distinct_texts(spark):
             if plain:
                 want.setdefault(plain.casefold(), plain)
         assert r["x"] == list(want.values())
+
+
+def test_least_similarity(spark):
+    """Against plain difflib over all pairs: ties, empty and equal texts, junk in long ones, and one node with more texts than a tile."""
+    from difflib import SequenceMatcher
+
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choices("ab c", [5, 3, 2, 1], k=n))
+    kids = {1: ["abc", "abd", "xyz"], 2: ["same", "same"], 3: ["", ""], 4: ["", "a"], 5: ["one"], 6: [text(rng.randrange(0, 12)) for _ in range(40)], 7: [text(260) for _ in range(4)], 8: ["ab", "ba", "ab"], 9: [text(9) + "a" for _ in range(60)]}
+    rows, at = [], 100
+    for parent, texts in kids.items():
+        for t in texts:
+            rows.append((0, at, parent, t))
+            at += 1
+    got = {r["node"]: r["similarity"] for r in G.least_similarity(spark.createDataFrame(rows, "tree long, node long, parent long, t string"), "t", tile=16).collect()}
+    want = {p: min(SequenceMatcher(None, a, b).ratio() for i, a in enumerate(x) for b in x[i + 1 :]) for p, x in kids.items() if len(x) > 1}
+    assert got == want
+
+
+def test_ways_up(spark):
+    rng = random.Random(10)
+    parent = {i: (i if i < 3 else rng.randrange(max(0, i - 4), i)) for i in range(300)}
+    rows = [(1, i, p, None if i % 5 == 0 else f"v{i}") for i, p in parent.items()]
+    got = {r["node"]: r["seen"] for r in G.seen_on_path(spark.createDataFrame(rows, "tree long, node long, parent long, v string"), F.col("v"), "seen").collect()}
+    for i in parent:
+        way, at = [], i
+        while parent[at] != at:
+            at = parent[at]
+            way.append(at)
+        assert got[i] == [f"v{k}" for k in reversed(way) if k % 5]
