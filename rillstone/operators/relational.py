@@ -111,52 +111,48 @@ def budget_pack(rows: DataFrame, group: Sequence[str], order: Sequence[str], siz
 # Vectors -------------------------------------------------------------------------------
 def unit(v: Column) -> Column:
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
+    # The norm is an element that the inner function is bound to: else it would be taken again for each component.
+    return F.get(F.transform(F.array(norm), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))), F.lit(0))
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", block_bytes: int = 16 << 20) -> DataFrame:
     """(query_id, rank, id, score): exact top-k by inner product of unit vectors.
 
-    Queries go in blocks of at most `block_bytes`, one after the other where there are several: a block is broadcast,
-    meets every Arrow batch in one matrix product, and is released when its best are written. A task keeps only
-    its own k best of a query.
+    Queries of at most `block_bytes` are broadcast and meet every Arrow batch in one matrix product; a task keeps only its own
+    k best of a query. More queries meet the corpus in one shuffle of cells (see `vectors`), without a pass of the driver a block.
     """
     import numpy as np
     import pyarrow as pa
 
+    from rillstone.operators.vectors import best_of, bounded_topk
+
     spark = corpus.sparkSession
     q = queries.select(F.col(id_col).cast("long").alias("id"), unit(F.col(vec_col)).alias("v"))
     stats = q.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     width = stats["d"] or 1
-    passes = max(1, -(-(stats["n"] or 0) * width * 8 // block_bytes))
+    q = q.where(F.size("v") == width)
     vectors = corpus.select(F.col(id_col).cast("long").alias("id"), unit(F.col(vec_col)).alias("v")).where(F.size("v") == width)
-    out = None
-    for number in range(passes):
-        table = q.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == number).orderBy("id").toArrow().combine_chunks()
-        matrix = table["v"].combine_chunks().flatten().to_numpy().reshape(-1, width) if table.num_rows else np.zeros((0, width))
-        shared = spark.sparkContext.broadcast((table["id"].to_numpy(), matrix))
-
-        def run(batches, shared=shared):
-            ids, m = shared.value
-            if not len(ids):
-                return
-            score, found = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-            for b in batches:
-                for a in range(0, b.num_rows, 1024):
-                    part = b.slice(a, 1024)
-                    new = np.round(m @ part.column(1).flatten().to_numpy().reshape(part.num_rows, -1).T, 9)
-                    score, found = np.concatenate([score, new], 1), np.concatenate([found, np.broadcast_to(part.column(0).to_numpy(), new.shape)], 1)
-                    best = np.lexsort((found, -score), axis=1)[:, :k]
-                    score, found = np.take_along_axis(score, best, 1), np.take_along_axis(found, best, 1)
-            good = np.isfinite(score)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, good.sum(1))), pa.array(found[good]), pa.array(score[good])], ["query_id", "id", "score"])
-
-        one = vectors.mapInArrow(run, "query_id long, id long, score double")
-        if passes > 1:
-            one = kept(one, "topk")
-            shared.unpersist()
-        out = one if out is None else out.unionByName(one)
-    return top_n(out, ["query_id"], [F.desc("score"), F.col("id")], k)
+    if (stats["n"] or 0) * width * 8 > block_bytes:
+        found, _ = bounded_topk(q, vectors, width, k, block_bytes=block_bytes)
+        return top_n(found, ["query_id"], [F.desc("score"), F.col("id")], k)
+    table = q.toArrow().combine_chunks()
+    matrix = table["v"].combine_chunks().flatten().to_numpy().reshape(-1, width) if table.num_rows else np.zeros((0, width))
+    shared = spark.sparkContext.broadcast((table["id"].to_numpy(), matrix))
+
+    def run(batches):
+        ids, m = shared.value
+        rows = [(b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)) for b in batches if b.num_rows] if len(ids) else []
+        parts = [best_of(ids, m, i, v, k) for i, v in rows]
+        if parts:
+            who, found, score = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            order = np.lexsort((found, -score, who))
+            who, found, score = who[order], found[order], score[order]
+            start = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+            good = np.arange(len(who)) - np.repeat(start, np.diff(np.append(start, len(who)))) < k
+            yield pa.RecordBatch.from_arrays([pa.array(who[good]), pa.array(found[good]), pa.array(score[good])], ["query_id", "id", "score"])
+
+    found = vectors.mapInArrow(run, "query_id long, id long, score double")
+    return top_n(found, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
 def lexical_topk(queries: DataFrame, docs: DataFrame, k: int, *, block_terms: int = 2_000_000) -> DataFrame:

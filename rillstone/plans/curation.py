@@ -204,3 +204,13 @@ def chat_prompts(read):
     r = read("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("query"), F.col("text").alias("evidence")))), lambda x: F.struct(x["query"].alias("query"), x["evidence"].alias("evidence"))).alias("h"))
     m = r.select("conv_id", U.chat(F.lit("Answer."), U.rendered_history(F.col("h"))).alias("m"))
     return m.select("conv_id", F.size("m").alias("n_messages"), F.md5(F.col("m")[1]["content"].cast("binary")).alias("digest"), F.length(F.col("m")[1]["content"]).alias("n_chars"))
+
+
+@query("""WITH u AS (SELECT 0 AS part, doc_id AS pos, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark), k AS (SELECT * FROM u WHERE trim(text) <> ''),
+ d AS (SELECT *, sha1(lower(text)) AS h, row_number() OVER (PARTITION BY sha1(lower(text)) ORDER BY part, pos) AS r, count(*) OVER (PARTITION BY sha1(lower(text))) AS n FROM k)
+ SELECT CASE WHEN part = 1 THEN 'extend_' || pos ELSE pos::VARCHAR END AS id, h AS digest, n - 1 AS n_dropped FROM d WHERE r = 1""")
+def content_dedup(read):
+    u = read("documents").select(F.lit(0).alias("part"), F.col("doc_id").cast("long").alias("pos"), "text").unionByName(read("benchmark").select(F.lit(1).alias("part"), F.col("item_id").cast("long").alias("pos"), "text"))
+    k = u.where(F.trim("text") != "").select("part", "pos", F.sha1(F.lower("text").cast("binary")).alias("digest"))
+    first = R.first_wins(k, "digest", ["part", "pos"])
+    return first.select(F.when(F.col("part") == 1, F.concat(F.lit("extend_"), F.col("pos").cast("string"))).otherwise(F.col("pos").cast("string")).alias("id"), "digest", "n_dropped")

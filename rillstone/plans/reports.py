@@ -11,7 +11,7 @@ from rillstone.operators import relational as R
 from rillstone.operators.scans import scanned
 from rillstone.plans.answers import answer_tokens, turns
 from rillstone.plans.registry import query
-from rillstone.plans.steps import _RESPONSES, responses
+from rillstone.plans.steps import _FORMAT, _OLD_FORMAT, _RESPONSES, _SHAPE, responses
 from rillstone.sources.store import kept
 
 _BLANK = r"regexp_replace(coalesce(text, ''), '\s+', '', 'g') = ''"
@@ -76,7 +76,7 @@ def judge_accuracy(read):
     )
 
 
-@query(f"""WITH {_RESPONSES} SELECT turn % 6 AS step, CASE WHEN turn % 6 = 0 THEN 'query_only' WHEN turn % 6 IN (3, 4) THEN 'answer_only' ELSE 'neither' END AS shape, count(*) AS n, count_if(turn % 6 IN (3, 4)) AS old_ones, count_if(turn % 6 IN (3, 4) AND trim(regexp_extract_all(s, '(?s)<answer>(.*?)</answer>', 1)[-1]) <> '') AS new_ones FROM r GROUP BY 1, 2""")
+@query(f"""WITH {_RESPONSES}, x AS (SELECT turn % 6 AS step, {_SHAPE} AS shape, {_OLD_FORMAT} AS old, {_FORMAT} AS new FROM r) SELECT step, shape, count(*) AS n, count_if(old) AS old_ones, count_if(new) AS new_ones FROM x GROUP BY 1, 2""")
 def rule_comparison(read):
     r = responses(read).select((F.col("turn") % 6).alias("step"), T.completion_shape(F.col("s")).alias("shape"), T.answer_without_query(F.col("s")).alias("old"), T.ends_with_answer(F.col("s")).alias("new"))
     return r.groupBy("step", "shape").agg(F.count("*").alias("n"), F.count_if(F.col("old") > 0).alias("old_ones"), F.count_if(F.col("new") > 0).alias("new_ones"))

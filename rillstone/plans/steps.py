@@ -71,14 +71,23 @@ def _cleaned() -> str:
     return f"regexp_replace({t}, '(?i){T._OPENING.replace("'", "''")}', '')"
 
 
+# Shapes by where the last whole tags begin, from 1; 0 without one.
+_AT = lambda t: f"(CASE WHEN regexp_matches(s, '(?s)<{t}>.*?</{t}>') THEN length(regexp_extract(s, '(?s)^(.*)<{t}>.*?</{t}>', 1)) + 1 ELSE 0 END)"
+_COUNT = lambda x: f"(len(string_split(s, '{x}')) - 1)"
+_SHAPE = f"""CASE WHEN {_AT('query')} = 0 AND {_AT('answer')} = 0 THEN 'neither' WHEN {_AT('query')} = 0 THEN 'answer_only' WHEN {_AT('answer')} = 0 THEN 'query_only' WHEN {_AT('answer')} > {_AT('query')} THEN 'query_then_answer' ELSE 'answer_then_query' END"""
+_FORMAT = f"({_AT('answer')} > {_AT('query')} AND {LAST('s', 'answer')} <> '')"
+_OLD_FORMAT = f"({_AT('answer')} > 0 AND {_AT('query')} = 0)"
+_SINGLE = " AND ".join(f"{_COUNT(f'<{t}>')} = {_COUNT(f'</{t}>')}" for t in ("query", "answer", "evidence")) + f" AND {_COUNT('</query>')} + {_COUNT('</answer>')} = 1"
+
+
 _WORDS25 = lambda x: rf"(CASE WHEN len(list_filter(regexp_split_to_array({x}, '\s+'), lambda w: w <> '')) <= 25 THEN {x} ELSE array_to_string(list_filter(regexp_split_to_array({x}, '\s+'), lambda w: w <> '')[1:25], ' ') END)"
 
 
 @query(rf"""WITH {_RESPONSES}, e AS (SELECT *, CASE WHEN {_EVID} <> '' AND lower({_EVID}) <> 'none' THEN {_EVID} END AS ev, {_cleaned()} AS cl FROM r), f AS (SELECT *, {_TIDY('coalesce(ev, cl)')} AS th FROM e)
  SELECT conv_id, turn, ev AS evidence, {_WORDS25('th')} AS thought, {LAST('s', 'answer')} AS last_answer, {LAST('s', 'query')} AS last_query,
  CASE WHEN contains(s, '<query>') THEN 'query' WHEN contains(s, '<answer>') THEN 'answer' WHEN contains(s, '<evidence>') THEN 'evidence' ELSE 'other' END AS action,
- CASE WHEN turn % 6 = 0 THEN 'query_only' WHEN turn % 6 IN (3, 4) THEN 'answer_only' ELSE 'neither' END AS shape, CASE WHEN turn % 6 IN (3, 4) AND {LAST('s', 'answer')} <> '' THEN 1.0 ELSE 0.0 END AS format, CASE WHEN turn % 6 IN (3, 4) THEN 1.0 ELSE 0.0 END AS old_format,
- CASE WHEN turn % 6 = 4 THEN s || '</query>' ELSE s END AS closed, turn % 6 = 3 AND true OR turn % 6 = 0 AS single
+ {_SHAPE} AS shape, {_FORMAT}::DOUBLE AS format, {_OLD_FORMAT}::DOUBLE AS old_format,
+ CASE WHEN contains(s, '</query>') OR NOT contains(s, '<query>') THEN s ELSE regexp_replace(regexp_replace(s, '\s+$', ''), '</query[^>]*$', '') || '</query>' END AS closed, {_SINGLE} AS single
  FROM f""")
 def response_parts(read):
     s = F.col("s")

@@ -87,3 +87,17 @@ def test_quantiles(spark):
     for g in ("a", "b", None):
         own = [v for k, v in values if k == g and v is not None]
         assert got[g] == pytest.approx((np.quantile(own, 0.25), np.quantile(own, 0.5)))
+
+
+def test_digests_json_fields_and_waits(spark):
+    """Values of what no query compares: keyed digests, fields that may be JSON, waits between tries."""
+    import hashlib
+
+    from rillstone.functions import text as T
+    from rillstone.streaming import machines as W
+
+    got = spark.createDataFrame([("abc",), ("é" * 300,), (None,)], "x string").select(T.keyed_digest(F.col("x"), b"k").alias("d")).collect()
+    want = [hashlib.blake2b(x[:256].encode(), key=b"k", digest_size=16).hexdigest() for x in ("abc", "é" * 300, "")]
+    assert [r["d"] for r in got] == want
+    assert [W.delay(n, 1.0, share=1.0) for n in (0, 1, 2, 9)] == [1.0, 2.0, 4.0, 30.0] and W.delay(1, 1.0, share=0.0) == 1.0
+    assert W.retryable(ValueError("HTTP 429")) and W.retryable(TimeoutError("Timed out")) and not W.retryable(ValueError("bad schema"))

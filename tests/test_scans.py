@@ -244,3 +244,30 @@ def test_ways_up(spark):
             at = parent[at]
             way.append(at)
         assert got[i] == [f"v{k}" for k in reversed(way) if k % 5]
+
+
+@pytest.mark.parametrize("spread", [0.0, 6.0])
+def test_vector_search_in_cells(spark, spread):
+    """Many queries: the rows of all products; clustered vectors spare most pairs, and ties and zero vectors stay right."""
+    import numpy as np
+
+    from rillstone.operators import relational as R
+    from rillstone.operators import vectors as V
+
+    rng = np.random.default_rng(11)
+    middles = rng.standard_normal((16, 12)) * spread
+    x = middles[np.arange(2000) % 16] + rng.standard_normal((2000, 12))
+    x[5] = x[21]
+    x[7] = 0.0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    u = np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=np.linalg.norm(x, axis=1, keepdims=True) > 0)
+    scores = np.round(u[::20] @ u.T, 9)
+    want = {int(q): np.lexsort((np.arange(2000), -s))[:5].tolist() for q, s in zip(range(0, 2000, 20), scores, strict=True)}
+    for size in (16 << 20, 2000):
+        got = {}
+        for r in sorted(R.vector_topk(df.where("vec_id % 20 = 0"), df, 5, block_bytes=size).collect(), key=lambda r: (r["query_id"], r["rank"])):
+            got.setdefault(r["query_id"], []).append(r["id"])
+        assert got == want
+    plain = df.select(F.col("vec_id").alias("id"), R.unit(F.col("embedding")).alias("v"))
+    _, spared = V.bounded_topk(plain.where("id % 20 = 0 and id <> 0"), plain.where("id <> 7"), 12, 5, pivots=64)
+    assert (spared > 0.3) == (spread > 0)
