@@ -14,7 +14,7 @@ from rillstone.functions import text as T
 from rillstone.operators import credit as C
 from rillstone.operators import relational as R
 from rillstone.operators import scans as S
-from rillstone.plans import answers, asked, credit, curation, formats, machines, records, reports, steps, streams, trees  # noqa: F401  they register their queries
+from rillstone.plans import answers, asked, credit, curation, formats, machines, projections, records, reports, steps, streams, trees  # noqa: F401  they register their queries
 from rillstone.plans.registry import oracle_sql, queries  # noqa: F401
 from rillstone.plans.registry import query as _query
 from rillstone.streaming import limits

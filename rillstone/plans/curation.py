@@ -159,17 +159,18 @@ def set_operations(read):
 
 
 # Assembly --------------------------------------------------------------------------------
-@query("""WITH j AS (SELECT d.source, d.lang, d.doc_id, d.n_chars::DOUBLE AS score, l.quality AS label, CASE WHEN l.doc_id IS NULL THEN 'missing_label' WHEN coalesce(l.quality IN (0, 1), false) AND l.doc_id % 11 <> 3 THEN 'kept' ELSE 'failed_label' END AS reason FROM documents d LEFT JOIN labels l USING (doc_id)),
- k AS (SELECT *, max(score) OVER w AS hi, min(score) OVER w AS lo FROM j WHERE reason = 'kept' WINDOW w AS (PARTITION BY source, lang)), z AS (SELECT *, 0.5 * label + 0.5 * CASE WHEN hi - lo < 1e-9 THEN 0.5 ELSE (score - lo) / (hi - lo) END AS z FROM k),
- t AS (SELECT *, exp(z - max(z) OVER (PARTITION BY source, lang)) AS e FROM z), s AS (SELECT *, round(e / sum(e) OVER (PARTITION BY source, lang), 6) AS target FROM t),
- g AS (SELECT source, lang, count(*) AS n_kept, sum(label) AS n_pos, round(max(target), 5) AS top, arg_max(doc_id, {'t': target, 'd': -doc_id}) AS best FROM s GROUP BY 1, 2), u AS (SELECT source, lang, count(*) FILTER (reason = 'missing_label') AS n_missing, count(*) FILTER (reason = 'failed_label') AS n_failed FROM j GROUP BY 1, 2)
- SELECT source, lang, CASE WHEN coalesce(n_kept, 0) < 2 THEN 'too_few' WHEN n_pos = 0 THEN 'all_negative' ELSE 'ok' END AS status, n_missing, n_failed, coalesce(n_kept, 0)::BIGINT AS n_kept, coalesce(n_pos, 0)::BIGINT AS n_pos, coalesce(n_kept, 0) = coalesce(n_pos, 0) AS all_positive, top FROM u LEFT JOIN g USING (source, lang)""")
+# Units are lots of forty ids, so that a unit's list is of one size however many documents there are.
+@query("""WITH j AS (SELECT d.source, d.doc_id // 40 AS lot, d.doc_id, d.n_chars::DOUBLE AS score, l.quality AS label, CASE WHEN l.doc_id IS NULL THEN 'missing_label' WHEN coalesce(l.quality IN (0, 1), false) AND l.doc_id % 11 <> 3 THEN 'kept' ELSE 'failed_label' END AS reason FROM documents d LEFT JOIN labels l USING (doc_id)),
+ k AS (SELECT *, max(score) OVER w AS hi, min(score) OVER w AS lo FROM j WHERE reason = 'kept' WINDOW w AS (PARTITION BY source, lot)), z AS (SELECT *, 0.5 * label + 0.5 * CASE WHEN hi - lo < 1e-9 THEN 0.5 ELSE (score - lo) / (hi - lo) END AS z FROM k),
+ t AS (SELECT *, exp(z - max(z) OVER (PARTITION BY source, lot)) AS e FROM z), s AS (SELECT *, round(e / sum(e) OVER (PARTITION BY source, lot), 6) AS target FROM t),
+ g AS (SELECT source, lot, count(*) AS n_kept, sum(label) AS n_pos, round(max(target), 5) AS top, arg_max(doc_id, {'t': target, 'd': -doc_id}) AS best FROM s GROUP BY 1, 2), u AS (SELECT source, lot, count(*) FILTER (reason = 'missing_label') AS n_missing, count(*) FILTER (reason = 'failed_label') AS n_failed FROM j GROUP BY 1, 2)
+ SELECT source, lot, CASE WHEN coalesce(n_kept, 0) < 2 THEN 'too_few' WHEN n_pos = 0 THEN 'all_negative' ELSE 'ok' END AS status, n_missing, n_failed, coalesce(n_kept, 0)::BIGINT AS n_kept, coalesce(n_pos, 0)::BIGINT AS n_pos, coalesce(n_kept, 0) = coalesce(n_pos, 0) AS all_positive, top FROM u LEFT JOIN g USING (source, lot)""")
 def training_groups(read):
     labels = read("labels")
-    j = R.reason_join(read("documents").select("doc_id", "source", "lang", F.col("n_chars").cast("double").alias("score")), labels.withColumnRenamed("quality", "label"), ["doc_id"], F.col("label").isin(0, 1) & (F.col("doc_id") % 11 != 3))
-    a = U.assembled(j, ["source", "lang"])
+    j = R.reason_join(read("documents").select("doc_id", "source", F.floor(F.col("doc_id") / 40).alias("lot"), F.col("n_chars").cast("double").alias("score")), labels.withColumnRenamed("quality", "label"), ["doc_id"], F.col("label").isin(0, 1) & (F.col("doc_id") % 11 != 3))
+    a = U.assembled(j, ["source", "lot"])
     top = F.round(F.array_max(F.transform("candidates", lambda c: c["target"])), 5)
-    return a.select("source", "lang", "status", "n_missing", "n_failed", F.col("n_kept").cast("long").alias("n_kept"), F.col("n_pos").cast("long").alias("n_pos"), "all_positive", top.alias("top"))
+    return a.select("source", "lot", "status", "n_missing", "n_failed", F.col("n_kept").cast("long").alias("n_kept"), F.col("n_pos").cast("long").alias("n_pos"), "all_positive", top.alias("top"))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, text, octet_length(encode(text)) AS b FROM conversations), r AS (SELECT *, 20 + sum(b) OVER (PARTITION BY conv_id ORDER BY turn) + (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS upto FROM c)
