@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rillstone.operators.relational import hash_unit, top_n
 from rillstone.operators.scans import scanned
+from rillstone.sources.store import small
 
 
 # Joins -----------------------------------------------------------------------------------
@@ -115,7 +116,7 @@ def diversified(rows: DataFrame, group: str, flag: Column, value: str, order: st
 def first_units(rows: DataFrame, unit: Sequence[str], order: str, n: int) -> DataFrame:
     """All rows of the n units that come first."""
     units = rows.groupBy(*unit).agg(F.min(order).alias("_o")).orderBy("_o", *unit).limit(n).drop("_o")
-    return rows.join(F.broadcast(units), list(unit), "left_semi")
+    return rows.join(small(units), list(unit), "left_semi")
 
 
 def by_number(rows: DataFrame, key: str) -> DataFrame:

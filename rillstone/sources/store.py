@@ -25,8 +25,31 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders that this process has kept, by application: results may read them until they are written themselves.
+_KEPT: dict[str, list[str]] = {}
+
+
 def kept(rows: DataFrame, name: str = "kept") -> DataFrame:
-    """`rows` written to the shared folder and read from there."""
+    """`rows` written to the shared folder and read from there; :func:`swept` deletes it."""
     path = fresh_path(rows.sparkSession, name)
+    _KEPT.setdefault(rows.sparkSession.sparkContext.applicationId, []).append(path)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def small(rows: DataFrame, most_bytes: int = 32 << 20, each: int = 64) -> DataFrame:
+    """`rows` (of about `each` bytes), to be broadcast in a join if all of them take at most `most_bytes`; else as they are."""
+    from pyspark.sql import functions as F
+
+    most = most_bytes // each
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def swept(spark: SparkSession) -> int:
+    """Deletes what :func:`kept` has written for this application so far; how many folders. For after a result is written."""
+    paths = _KEPT.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)

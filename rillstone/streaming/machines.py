@@ -248,3 +248,73 @@ def generated(rows: DataFrame, prompt: str, call: Callable[[list[str]], list[str
 def encoder_text(text: Column, query: bool, prefix: str = "Represent this sentence for searching relevant passages: ") -> Column:
     """What an encoder reads: queries have the prefix, documents don't."""
     return F.concat(F.lit(prefix), text) if query else text
+
+
+def per_item(rows: DataFrame, key: str, one: Callable[[dict], dict], schema: str, *, threads: int = 8) -> DataFrame:
+    """(key, columns of `schema`, failure) of a machine that runs one item from beginning to end, `threads` items of a batch at a time.
+
+    For machines whose steps wait for a service: `one` takes a row and returns its columns. An item that fails has nulls and its error,
+    and no other item with it; results keep the batch's order.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    wanted = StructType.fromDDL(schema)
+    out = StructType([rows.schema[key], *wanted.fields]).add("failure", "string")
+    names = [f.name for f in wanted.fields]
+    arrow = to_arrow_schema(out)
+
+    def run(batches):
+        def tried(row: dict) -> dict:
+            try:
+                found = one(row)
+                return {key: row[key], **{n: found.get(n) for n in names}, "failure": None}
+            except Exception as e:
+                return {key: row[key], **dict.fromkeys(names), "failure": f"{type(e).__name__}: {e}"}
+
+        with ThreadPoolExecutor(threads) as pool:
+            for b in batches:
+                yield pa.RecordBatch.from_pylist(list(pool.map(tried, b.to_pylist())), schema=arrow)
+
+    return rows.mapInArrow(run, out)
+
+
+def lexical_retriever(corpus: DataFrame, top: int = 3) -> Retriever:
+    """A retriever over (doc_id, title, text): exact search by shared words, those of titles counting three times."""
+    from rillstone.operators.relational import lexical_topk
+
+    words = lambda c: F.array_distinct(T.tokens(T.ascii_words(c)))
+    tokens = corpus.select("doc_id", words(F.col("title")).alias("title"), words(F.col("text")).alias("text"))
+
+    def search(rows: DataFrame) -> DataFrame:
+        asked = rows.select("query").distinct().withColumn("query_id", F.xxhash64("query"))
+        asked = kept(asked, "asked")
+        found = lexical_topk(asked.select("query_id", words(F.col("query")).alias("tokens")), tokens, top).where("score > 0")
+        return _with_docs(rows, asked, found, corpus)
+
+    return search
+
+
+def dense_retriever(corpus: DataFrame, encode: Callable[[DataFrame, bool], DataFrame], top: int = 3) -> Retriever:
+    """A retriever over (doc_id, title, text) by vectors: `encode` adds `vector` to rows of `text`, and is told whether they are queries."""
+    from rillstone.operators.relational import vector_topk
+
+    vectors = kept(encode(corpus.select("doc_id", F.concat_ws("\n", "title", "text").alias("text")), False).select(F.col("doc_id").alias("vec_id"), "vector"), "vectors")
+
+    def search(rows: DataFrame) -> DataFrame:
+        asked = kept(rows.select("query").distinct().withColumn("query_id", F.xxhash64("query")), "asked")
+        own = encode(asked.select("query_id", F.col("query").alias("text")), True).select(F.col("query_id").alias("vec_id"), "vector")
+        found = vector_topk(own, vectors, top, vec_col="vector").withColumnRenamed("id", "doc_id")
+        return _with_docs(rows, asked, found, corpus)
+
+    return search
+
+
+def _with_docs(rows: DataFrame, asked: DataFrame, found: DataFrame, corpus: DataFrame) -> DataFrame:
+    """`rows` with the documents found for their query, in rank order."""
+    docs = found.join(corpus, "doc_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.struct("title", "text").alias("doc")))).alias("_d"))
+    lists = asked.join(docs, "query_id", "left").select("query", F.coalesce(F.transform("_d", lambda x: x["doc"]), F.array().cast("array<struct<title:string,text:string>>")).alias("docs"))
+    return rows.join(lists, "query", "left").withColumn("docs", F.coalesce("docs", F.array().cast("array<struct<title:string,text:string>>")))

@@ -209,3 +209,38 @@ def test_budget_is_kept(spark):
     assert all(r["answer"] == "c" and r["history"] == [] for r in none)
     with pytest.raises(ValueError):
         A.scheduler("other")
+
+
+def test_items_one_by_one(spark):
+    def one(row):
+        if row["id"] == 2:
+            raise ValueError("no answer")
+        return {"answer": row["q"] * row["id"], "turns": row["id"]}
+
+    rows = spark.createDataFrame([(i, "x") for i in range(4)], "id int, q string").coalesce(1)
+    got = A.per_item(rows, "id", one, "answer string, turns int", threads=3).collect()
+    assert [tuple(r) for r in got] == [(0, "", 0, None), (1, "x", 1, None), (2, None, None, "ValueError: no answer"), (3, "xxx", 3, None)]
+
+
+def test_retrievers(spark):
+    corpus = spark.createDataFrame([(1, "Paris", "city of light"), (2, "Rome", "eternal city"), (3, "Oslo", "north")], "doc_id long, title string, text string")
+    rows = spark.createDataFrame([(1, "what of Paris city"), (2, "Rome"), (3, "nothing here"), (4, "Rome")], "id long, query string")
+    titles = lambda found: {r["id"]: [d["title"] for d in r["docs"]] for r in found.collect()}
+    assert titles(A.lexical_retriever(corpus, 2)(rows)) == {1: ["Paris", "Rome"], 2: ["Rome"], 3: [], 4: ["Rome"]}
+    has = lambda w: F.lower("text").contains(w).cast("double")
+    encode = lambda texts, query: texts.withColumn("vector", F.array(has("paris"), has("rome"), has("oslo") + F.lit(0.01)))
+    got = titles(A.dense_retriever(corpus, encode, 1)(rows))
+    assert got[1] == ["Paris"] and got[2] == got[4] == ["Rome"] and got[3] == ["Oslo"]
+    asked = A.cohort(rows.selectExpr("id", "query as question"), "id", lambda h, q: F.when(F.size(h) == 0, F.concat(F.lit("<query>"), q)).otherwise(F.concat(F.lit("<answer>"), F.element_at(h, -1)["evidence"])), A.lexical_retriever(corpus, 1), A.first_line).collect()
+    assert {r["id"]: r["answer"] for r in asked} == {1: "city of light", 2: "eternal city", 3: "None", 4: "eternal city"}
+
+
+def test_kept_tables_are_swept(spark):
+    from rillstone.sources import store
+
+    store.swept(spark)
+    rows = store.kept(spark.range(5))
+    assert rows.count() == 5 and store.swept(spark) == 1
+    with pytest.raises(Exception):
+        rows.count()
+    assert store.small(spark.range(10), 640).join(spark.range(3), "id").count() == 3 and store.small(spark.range(100), 640).count() == 100
