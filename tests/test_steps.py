@@ -139,6 +139,16 @@ def test_answer_events(spark):
     pieces = ["so <ans", "wer>Par", "is </a", "b </ans", "wer> more"]
     got = one(spark, A.answer_events(F.col("x")), x=pieces)
     assert got["deltas"] == ["Par", "is ", "</ab "] and got["done"]
+    for pieces, deltas, done in (([], [], False), (["<answer>"], [], False), (["<answer>é<", "", "/answer>x</answer>"], ["é"], True), (["<answer>a</answer>", "b"], ["a"], True), (["</answer><answer>a<", "b"], ["a", "<b"], True), (["<answer>a", None, "b"], ["a"], None)):
+        got = one(spark, A.answer_events(F.col("x")), x=pieces)
+        assert (got["deltas"], got["done"]) == (deltas, done), pieces
+
+
+def test_answer_events_of_a_long_text(spark):
+    """Each piece costs its own length: a text of a million characters in pieces of four (before: its square, and no end in hours)."""
+    pieces = ["<answer>", *(f"é{i % 100:02d}<" for i in range(250_000)), "</ans", "wer>"]
+    got = one(spark, A.answer_events(F.col("x")), x=pieces)
+    assert "".join(got["deltas"]) == "".join(pieces[1:-2]) and got["done"] and len(got["deltas"]) == 250_001
 
 
 def test_limiter_rule():
