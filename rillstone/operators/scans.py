@@ -17,6 +17,17 @@ from pyspark.sql import functions as F
 from rillstone.sources.store import kept
 
 
+def dealt(rows: DataFrame, *keys: str, each: int = 500_000) -> DataFrame:
+    """`rows` dealt by the hash of `keys` into parts of about `each` rows, and into no fewer than the session's.
+
+    What a task sorts or groups then has one size however many rows there are: a number of parts that is set once grows
+    them with the table, and parts merged by their compressed bytes may be many times as large in memory. Counts `rows`, so
+    it is meant for tables as they are read.
+    """
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-rows.count() // each)), *keys)
+
+
 def _both(a: Column, b: Column, kind: str) -> Column:
     """What two neighbouring runs come to; a run without a value is null and changes nothing."""
     if kind == "sum":

@@ -9,7 +9,7 @@ from rillstone.functions import scoring as S
 from rillstone.functions import text as T
 from rillstone.operators import credit as C
 from rillstone.operators import masks as K
-from rillstone.operators.scans import scanned
+from rillstone.operators.scans import dealt, scanned
 from rillstone.plans.answers import P, answer_tokens, squeeze
 from rillstone.plans.registry import query
 from rillstone.sources.store import kept
@@ -68,8 +68,10 @@ _TRAJ = """l AS (SELECT o_custkey AS grp, l_orderkey AS sample, row_number() OVE
 
 def trajectories(read):
     o = read("orders").select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("sample"), (F.col("o_totalprice").cast("double") / 1e5).alias("reward"), F.when(F.col("o_custkey") % 3 == 0, 0).otherwise(F.col("o_orderkey") % 5 - 2).cast("double").alias("advantage"))
-    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount")) - 1
-    t = read("lineitem").select(F.col("l_orderkey").alias("sample"), number.alias("turn"), F.col("l_discount").cast("double").alias("gain")).join(o, "sample")
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount"]
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)) - 1
+    lines = dealt(read("lineitem").select("l_orderkey", *order), "l_orderkey")
+    t = lines.select(F.col("l_orderkey").alias("sample"), number.alias("turn"), F.col("l_discount").cast("double").alias("gain")).join(o, "sample")
     return t.withColumn("relevance", F.sum("gain").over(Window.partitionBy("sample")))
 
 

@@ -271,3 +271,14 @@ def test_vector_search_in_cells(spark, spread):
     plain = df.select(F.col("vec_id").alias("id"), R.unit(F.col("embedding")).alias("v"))
     _, spared = V.bounded_topk(plain.where("id % 20 = 0 and id <> 0"), plain.where("id <> 7"), 12, 5, pivots=64)
     assert (spared > 0.3) == (spread > 0)
+
+
+def test_dealt_parts_keep_their_size(spark):
+    """Parts grow in number, not in size, and a key's rows stay together."""
+    from rillstone.operators.scans import dealt
+
+    rows = spark.range(4000).select((F.col("id") % 1000).alias("k"), "id")
+    few, many = dealt(rows, "k", each=10_000), dealt(rows, "k", each=100)
+    assert few.rdd.getNumPartitions() == 4 and many.rdd.getNumPartitions() == 40
+    got = many.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count("*").alias("n"), F.collect_set("k").alias("k")).collect()
+    assert sum(r["n"] for r in got) == 4000 and max(r["n"] for r in got) < 300 and sum(len(r["k"]) for r in got) == 1000
