@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rillstone.operators import curation as C
 from rillstone.operators import metrics as M
+from rillstone.operators.scans import dealt
 from rillstone.plans.registry import query
 from rillstone.sources import formats as X
 from rillstone.sources.store import fresh_path
@@ -63,7 +64,8 @@ def item_selectors(read):
     """Selectors by step, and the share of items with any hit; an item's golds are those of all its steps."""
     kind = F.concat(F.lit("m"), (F.col("l_suppkey") % 7).cast("string"))
     gold = F.when(F.col("l_discount").cast("double") > 0.08, kind)
-    s = read("lineitem").groupBy(F.col("l_orderkey").alias("item"), F.floor(F.col("l_linenumber") / 2).alias("step"), F.col("l_returnflag").alias("selector")).agg(F.collect_set(kind).alias("picked"), F.collect_list(gold).alias("gold"))
+    lines = dealt(read("lineitem").select(F.col("l_orderkey").alias("item"), "l_linenumber", "l_returnflag", "l_suppkey", "l_discount"), "item")
+    s = lines.groupBy("item", F.floor(F.col("l_linenumber") / 2).alias("step"), F.col("l_returnflag").alias("selector")).agg(F.collect_set(kind).alias("picked"), F.collect_list(gold).alias("gold"))
     return M.selector_report(s)
 
 

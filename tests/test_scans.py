@@ -282,3 +282,13 @@ def test_dealt_parts_keep_their_size(spark):
     assert few.rdd.getNumPartitions() == 4 and many.rdd.getNumPartitions() == 40
     got = many.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count("*").alias("n"), F.collect_set("k").alias("k")).collect()
     assert sum(r["n"] for r in got) == 4000 and max(r["n"] for r in got) < 300 and sum(len(r["k"]) for r in got) == 1000
+
+
+def test_item_selectors_deals_lines_once_into_bounded_parts(spark):
+    """The report groups and joins where the lines were dealt: no further shuffle by item whose parts would grow with the table."""
+    from rillstone.plans import asked
+
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+    plan = asked.item_selectors(read)._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = [x for x in plan if "Exchange hashpartitioning(item" in x]
+    assert dealt and all("REPARTITION_BY_NUM" in x for x in dealt)
