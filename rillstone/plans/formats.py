@@ -55,13 +55,14 @@ def malformed_lines(read):
     e = _events(read)
     spark, at = e.sparkSession, fresh_path(e.sparkSession, "lines")
     whole = F.to_json(F.struct(*e.columns))
-    # One writer in the order of ids, so that line numbers are ids and 1: a table of events for the test of the reader alone.
-    e.repartitionByRange(1, "event_id").sortWithinPartitions("event_id").select(F.when(F.col("event_id") % 10 == 0, F.left(whole, F.lit(9))).otherwise(whole).alias("value")).write.text(f"{at}/a.jsonl")
+    # Files by ranges of ids, so that line numbers through all of them are ids and 1.
+    line = F.when(F.col("event_id") % 10 == 0, F.left(whole, F.lit(9))).otherwise(whole).alias("value")
+    e.repartitionByRange(-(-e.count() // 1_000_000) or 1, "event_id").sortWithinPartitions("event_id").select(line).write.text(f"{at}/a.jsonl")
     X.without_broken(spark, f"{at}/a.jsonl", EVENT, f"{at}/b.jsonl")
     good = files.jsonl(spark, f"{at}/a.jsonl", EVENT, malformed="DROPMALFORMED").agg(F.count("event_id").alias("n_good"))
     bad = spark.read.text(f"{at}/a.jsonl").where(F.from_json("value", f"{EVENT}, _corrupt_record string")["_corrupt_record"].isNotNull()).agg(F.count("*").alias("n_broken"))
     again = files.jsonl(spark, f"{at}/b.jsonl", EVENT).agg(F.count("event_id").alias("n_again"))
-    first = X.broken_lines(spark, f"{at}/a.jsonl", EVENT).agg(F.array_join(F.transform(F.array_sort(F.collect_list("number")), lambda x: x.cast("string")), ",").alias("first_broken"))
+    first = X.broken_lines(spark, f"{at}/a.jsonl", EVENT, through=True).agg(F.array_join(F.transform(F.array_sort(F.collect_list("number")), lambda x: x.cast("string")), ",").alias("first_broken"))
     return good.join(bad).join(again).join(first)
 
 

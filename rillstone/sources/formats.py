@@ -63,25 +63,28 @@ def corpus(spark: SparkSession, folder: str, columns: Sequence[str] = ("title",
     return files.jsonl(spark, f"{folder}/*.jsonl", ", ".join(f"{c} string" for c in columns))
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, number, value): text lines with their number from 1 in their file, blank ones left out after counting."""
+def lines(spark: SparkSession, path: str, *, through: bool = False) -> DataFrame:
+    """(file, number, value): text lines with their number from 1 in their file, blank ones left out after counting.
+
+    With `through`, numbers go on from each file to the next in the order of names. Lines are numbered as they are read, in the pieces
+    of files that tasks read; where each piece starts comes from one small table, so no task sorts or holds its lines.
+    """
     from pyspark.sql import Window
 
-    from rillstone.sources.store import kept
+    from rillstone.sources.store import kept, small
 
     t = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    t = kept(t.withColumn("part", F.shiftright("at", 33)), "lines")
-    counts = t.groupBy("file", "block", "part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.withColumn("before", before).drop("n")
-    own = F.row_number().over(Window.partitionBy("file", "block", "part").orderBy("at"))
-    return t.withColumn("own", own).join(starts, ["file", "block", "part"]).select("file", (F.col("before") + F.col("own")).alias("number"), "value").where("trim(value) <> ''")
+    t = kept(t, "lines")
+    pieces = t.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    earlier = (Window.orderBy("file", "block") if through else Window.partitionBy("file").orderBy("block")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.select("file", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1).alias("start"))
+    return t.join(small(starts, each=256), ["file", "block"]).select("file", (F.col("start") + F.col("at")).alias("number"), "value").where("trim(value) <> ''")
 
 
-def broken_lines(spark: SparkSession, path: str, schema: str, limit: int = 5) -> DataFrame:
-    """(number, value) of the first lines that are no JSON record of that schema."""
+def broken_lines(spark: SparkSession, path: str, schema: str, limit: int = 5, *, through: bool = False) -> DataFrame:
+    """(number, value) of the first lines that are no JSON record of that schema; numbers as those of :func:`lines`."""
     parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    return lines(spark, path).withColumn("_p", parsed).where("_p._corrupt_record is not null").orderBy("number").limit(limit).select("number", "value")
+    return lines(spark, path, through=through).withColumn("_p", parsed).where("_p._corrupt_record is not null").orderBy("number").limit(limit).select("number", "value")
 
 
 def log_metrics(spark: SparkSession, path: str, schema: str, pattern: str = r"(\{[^{}]*\})") -> DataFrame:

@@ -131,6 +131,16 @@ def test_outputs(spark, tmp_path):
         X.Paths({"a": "b"}).other
     (tmp_path / "x.jsonl").write_text('{"k": 1, "v": "a"}\n\n{broken\n{"k": 2, "v": "b"}\n')
     assert [tuple(r) for r in X.broken_lines(spark, str(tmp_path / "x.jsonl"), "k long, v string").collect()] == [(3, "{broken")]
+    # Files that are read in many small pieces, numbered each and through.
+    for i in range(3):
+        (tmp_path / f"n{i}.jsonl").write_text("".join("{broken\n" if j % 40 == 7 else "\n" if j == 3 else f'{{"k": {j}, "v": "{i}"}}\n' for j in range(100)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200b")
+    try:
+        numbers = [(r["file"][-8:-6], r["number"]) for r in X.lines(spark, str(tmp_path / "n*.jsonl")).where("value = '{broken'").orderBy("file", "number").collect()]
+        through = [r["number"] for r in X.broken_lines(spark, str(tmp_path / "n*.jsonl"), "k long, v string", 7, through=True).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert numbers == [(f"n{i}", j) for i in range(3) for j in (8, 48, 88)] and through == [8, 48, 88, 108, 148, 188, 208]
     (tmp_path / "y.json").write_text('\n [{"k": 1, "v": "a"}, {"k": 2, "v": "b"}]')
     assert X.sniffed(spark, str(tmp_path / "y.json"), "k long, v string").count() == 2
 
