@@ -292,3 +292,23 @@ def test_item_selectors_deals_lines_once_into_bounded_parts(spark):
     plan = asked.item_selectors(read)._jdf.queryExecution().executedPlan().toString().splitlines()
     dealt = [x for x in plan if "Exchange hashpartitioning(item" in x]
     assert dealt and all("REPARTITION_BY_NUM" in x for x in dealt)
+
+
+def test_best_of_many_queries_takes_bounded_memory():
+    """Products are held a square at a time (before: 1,024 for each query, several times over)."""
+    import tracemalloc
+
+    import numpy as np
+
+    from rillstone.operators.vectors import best_of
+
+    rng = np.random.default_rng(3)
+    m, v = rng.integers(-9, 9, (20_000, 4)).astype(float), rng.integers(-9, 9, (2_000, 4)).astype(float)
+    tracemalloc.start()
+    _, found, score = best_of(np.arange(len(m)), m, np.arange(len(v)), v, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
+    for i in range(0, len(m), 1999):
+        want = sorted((-float(m[i] @ x), j) for j, x in enumerate(v))[:3]
+        assert list(zip((-score[3 * i : 3 * i + 3]).tolist(), found[3 * i : 3 * i + 3].tolist(), strict=True)) == want
