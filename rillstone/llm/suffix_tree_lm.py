@@ -13,11 +13,15 @@ A text's score is the sum over its tokens of log10 P(token | longest state that
 suffix of what stands before it).
 
 The least counts are numbers, not shares: a larger corpus has more words, contexts and next
-words that reach them, and the tree grows with it, up to `most` of each an order (the most
-frequent; a least count rises so far). Those are broadcast, some thirty bytes each. Rarer
-words, of which there is no bound, never are: every text's rare words go to buckets by hash,
-where their training counts and each text's sum of root log probabilities are found at once,
-and the sums come back by text. Every count is over all training texts.
+words that reach them, and the tree grows with it; no word, context or next word is left out.
+Every state before a token ends with the word before it, so tokens are dealt by that word: a
+bucket has all tokens of its words, builds their subtrees from the training ones and scores
+all of them at once; the sums come back by text. A word with more tokens after it than
+`bucket_tokens` is decided order by order by joins until what lies below a context fits.
+Only numbers of the `most` most frequent words are broadcast, some twenty bytes each. Every
+text's other words go to buckets by hash, where they are counted; where these may be next words (the
+corpus has over `most` words of `entry_least`), their tokens go on from there to the buckets of contexts.
+`docs` is read three or four times, and must give the same partitions each time, as files do.
 
 Defined results: null texts are empty texts, which are one end token; a null doc_id
 counts as the empty string in the fold rule; repeated rows are scored (and counted)
@@ -39,10 +43,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import keep
-from .textkit import SPACED, blocks, tune, words
+from .textkit import SPACED, blocks, mix, tune, words
 
 END = np.uint64(0x454E44)
 RARE = 0xFFFFFFFF
+TOP = np.uint64(1 << 63)  # marks a hash among numbers of words
+HEAVY = [f"c{k}" for k in range(1, 33)]  # columns of the words before a token, nearest first
 
 
 class Corpus(NamedTuple):
@@ -55,6 +61,13 @@ class Corpus(NamedTuple):
         return np.log10((count + 0.1) / (self.n + 0.1 * (self.distinct + 1)))
 
 
+class Rule(NamedTuple):
+    state_least: int
+    entry_least: int
+    divergence: float
+    discount: float
+
+
 class States(NamedTuple):
     """The states of one order. A key is the place of the state of one word fewer << 32 | first word; of order 1, the word."""
 
@@ -173,16 +186,21 @@ def _count(docs: DataFrame, mod: int, keys_of) -> DataFrame:
     return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, *, mod: int = 10, context_least: int = 64, entry_least: int = 4, most: int = 2_000_000, divergence: float = 0.002, depth: int = 3, discount: float = 0.5) -> tuple[Corpus, list[States]]:
-    """Tree of the texts of `docs` (doc_id, text) whose fold isn't held out."""
-    spark = docs.sparkSession
+def count_words(docs: DataFrame, mod: int, least: int, most: int) -> tuple[DataFrame, Corpus, int]:
+    """Counts of all training words (key, n), the `most` most frequent of at least `least`, and the count these reach."""
     counted = keep(_count(docs, mod, lambda h, ptr: (h, np.ones(len(h), bool))), "lm-words")
     total = counted.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n, distinct = total["n"] or 0, total["v"]
-    frequent = counted.where(F.col("n") >= _least(counted, entry_least, most)).toArrow()
+    cut = _least(counted, least, most)
+    frequent = counted.where(F.col("n") >= cut).toArrow()
     hashes = frequent["key"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    corpus = Corpus(n, distinct, hashes[order], frequent["n"].to_numpy()[order])
+    return counted, Corpus(total["n"] or 0, total["v"], hashes[order], frequent["n"].to_numpy()[order]), cut
+
+
+def train(docs: DataFrame, *, mod: int = 10, context_least: int = 64, entry_least: int = 4, most: int = 2_000_000, divergence: float = 0.002, depth: int = 3, discount: float = 0.5) -> tuple[Corpus, list[States]]:
+    """The most frequent part of the tree of the training texts of `docs` as local arrays, to look at; :func:`score` has no such bound and does not use it."""
+    spark = docs.sparkSession
+    _, corpus, _ = count_words(docs, mod, entry_least, most)
     tree: list[States] = []
     root = 10.0 ** corpus.root(corpus.count)
     # Candidates: a row of words, oldest first, and its key among the states of one word fewer.
@@ -238,100 +256,344 @@ def train(docs: DataFrame, *, mod: int = 10, context_least: int = 64, entry_leas
     return corpus, tree
 
 
-def score(docs: DataFrame, corpus: Corpus, tree: list[States], *, mod: int = 10, bucket_tokens: int = 2_000_000) -> DataFrame:
+def _pack(x: np.ndarray) -> bytes:
+    """Integers from 0 on as planes of their bytes, as many as the greatest needs."""
+    x = np.ascontiguousarray(x, "<u8")
+    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpack(raw: pa.Buffer, at: int, n: int) -> tuple[np.ndarray, int]:
+    width = int(np.frombuffer(raw, np.uint8, 1, at)[0])
+    out = np.zeros((n, 4 if width <= 4 else 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 1).reshape(width, n).T
+    return out.view("<u4" if width <= 4 else "<u8").ravel(), at + 1 + n * width
+
+
+def _ids(group: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on of pairs (group, x), in their order."""
+    if len(x) and int(x.max()) >> 32:
+        x = np.unique(x, return_inverse=True)[1].astype(np.uint32)
+    key = group.astype(np.uint64)
+    key <<= np.uint64(32)
+    np.bitwise_or(key, x, out=key)
+    order = np.argsort(key)
+    key = key[order]
+    ids = np.empty(len(key), np.uint32)
+    ids[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1], dtype=np.uint32)])[: len(key)]
+    return ids
+
+
+def grow(context: list[np.ndarray], w: np.ndarray, p: np.ndarray, train: np.ndarray, rule: Rule, start: int = 1) -> np.ndarray:
+    """Probabilities of tokens `w` (0: too rare to be a next word), by the subtree of the states from order `start` on.
+
+    context[k - 1] is the k-th word before each token (0: none); `p` its probability by lower orders. All tokens that share
+    their last `start` words of context must be here, the training ones among them marked.
+    """
+    p = p.copy()
+    live, group = np.arange(len(w), dtype=np.uint32), np.zeros(len(w), np.uint32)
+    for k, c in enumerate(context, 1):
+        good = c[live] != 0
+        live, group = live[good], group[good]
+        if not len(live):
+            break
+        group = _ids(group, c[live])
+        if k < start:
+            continue
+        n_of = np.bincount(group, train[live])
+        good = (n_of >= rule.state_least)[group]
+        live, group = live[good], group[good]
+        if not len(live):
+            break
+        pair = _ids(group, w[live])
+        size = int(pair.max()) + 1
+        state, word, parent = np.empty(size, np.int64), np.empty(size, w.dtype), np.empty(size)
+        state[pair], word[pair], parent[pair] = group, w[live], p[live]  # alike for all tokens of a pair
+        n = np.bincount(pair, train[live], minlength=size)
+        n[(n < rule.entry_least) | (word == 0)] = 0
+        share = np.maximum(n - rule.discount, 0) / np.maximum(n_of[state], 1)
+        left = np.maximum(1 - np.bincount(state, share, minlength=len(n_of)), 1e-12)
+        own = share + left[state] * parent
+        gain = np.bincount(state, n * np.log(own / parent), minlength=len(n_of)) + (n_of - np.bincount(state, n, minlength=len(n_of))) * np.log(left)
+        stay = (gain >= rule.divergence * n_of)[group]
+        live, group = live[stay], group[stay]
+        p[live] = own[pair[stay]]
+    return p
+
+
+def _read(bodies: list[pa.Buffer], depth: int, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """(row of each text, its number of tokens, then of each token: train, w, contexts, p or 0) of bodies of :func:`_body`; `wide`: hashes may stand among numbers."""
+    heads = [np.frombuffer(raw, "<i8", 4).tolist() for raw in bodies]
+    size = sum(n for _, _, n, _ in heads)
+    w, *context = (np.zeros(size, np.uint64 if wide else np.uint32) for _ in range(depth + 1))
+    train, p = np.zeros(size, bool), np.zeros(size if wide else 0)
+    rows, each_of, t = [], [], 0
+    for raw, (base, n_texts, n, given) in zip(bodies, heads, strict=True):
+        text, at = _unpack(raw, 32, n_texts)
+        each, at = _unpack(raw, at, n_texts)
+        rows.append(base + (text >> 1).astype(np.int64))
+        each_of.append(each.astype(np.int64))
+        train[t : t + n] = np.repeat(text & 1, each)
+        for x in (w, *context):
+            x[t : t + n], at = _unpack(raw, at, n)
+        if given:
+            p[t : t + n] = np.frombuffer(raw, "<f8", n, at)
+        t += n
+    return np.concatenate(rows), np.concatenate(each_of), train, w, context, p
+
+
+def _body(base: int, text: np.ndarray, train: np.ndarray, w: np.ndarray, context: list[np.ndarray], p: np.ndarray | None = None) -> bytes:
+    """Tokens in the order of their texts (numbers from `base` on; `train`: marks of the tokens)."""
+    own, first, each = np.unique(text, return_index=True, return_counts=True)
+    head = np.array([base, len(own), len(w), p is not None], "<i8").tobytes()
+    return head + _pack(own << 1 | train[first]) + _pack(each) + b"".join(map(_pack, [w, *context])) + (b"" if p is None else p.astype("<f8").tobytes())
+
+
+def _by_row(row: np.ndarray, x: np.ndarray) -> pa.Table:
+    """Sums of x over runs of equal rows."""
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+    return pa.table({"row": row[first], "score": np.add.reduceat(x, first) if len(row) else x})
+
+
+def score(docs: DataFrame, *, mod: int = 10, context_least: int = 64, entry_least: int = 4, most: int = 2_000_000, divergence: float = 0.002, depth: int = 3, discount: float = 0.5, bucket_tokens: int = 1_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text of `docs` (doc_id, text)."""
     spark = docs.sparkSession
+    rule = Rule(max(context_least, entry_least), entry_least, divergence, discount)
+    _, corpus, cut = count_words(docs, mod, entry_least, most)
+    rank = np.empty(len(corpus.word), np.uint32)
+    by = np.lexsort((corpus.word, -corpus.count))
+    rank[by] = np.arange(1, len(by) + 1)
+    falling = -corpus.count[by]
+    n_state = int(np.searchsorted(falling, -rule.state_least, side="right"))  # words up to this rank may be contexts
+    n_heavy = int(np.searchsorted(falling, -bucket_tokens))  # those up to this one have more tokens after them than a bucket takes
+    far_words, far_contexts = cut > entry_least, cut > rule.state_least
     n_buckets = max(8, -(-corpus.n // bucket_tokens))
-    shared = spark.sparkContext.broadcast((corpus, tree))
-    head = np.dtype([("row", "<i8"), ("doc", "<i8"), ("null", "?"), ("train", "?"), ("home", "?"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
+    by_rank = np.append(1.0, 10.0 ** corpus.root(corpus.count[by]))
+    shared, shared_root = spark.sparkContext.broadcast((corpus.word, rank)), spark.sparkContext.broadcast(by_rank)
+    corpus_n, distinct = corpus.n, corpus.distinct
+    head = np.dtype([("row", "<i8"), ("doc", "<i8"), ("null", "?"), ("train", "?"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8")])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, states = shared.value
-        root = c.root(c.count)
+    def texts(batches: Iterator[pa.RecordBatch]):
+        """Of each block: its first row, ids, held-out marks, pointer, tokens' hashes, words (0: no number), contexts, whether a token's word has no number."""
+        known, number = shared.value
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             ids = b.column(0).to_pylist()
             held = _held(ids, mod)
             for i, j, data, off in blocks(b.column(1), 4 << 20):
                 h, ptr = tokens(data, off)
-                word = _place(c.word, h)
-                doc = np.repeat(np.arange(j - i), np.diff(ptr))
-                rare = word < 0
-                p = np.where(rare, 1.0, 10.0 ** root[word] if len(root) else 1.0)
-                for s, at in zip(states, _chain(word, ptr, [s.key for s in states]), strict=True):
-                    some = np.flatnonzero(at >= 0)
-                    hit = _place(s.entry, at[some] << 32 | np.where(rare[some], RARE, word[some]))
-                    p[some] = np.where(hit >= 0, s.share[hit] if len(s.share) else 0, 0) + s.left[at[some]] * p[some]
-                table = np.zeros(j - i, head)
-                table["row"] = row + np.arange(j - i)
+                value, at = np.unique(h, return_inverse=True)
+                spot = _place(known, value)
+                far = spot < 0
+                w = np.zeros(len(value), np.uint64)
+                w[~far] = number[spot[~far]]
+                before = np.where(w <= n_state, w, np.uint64(0))
+                if far_contexts:
+                    before[far] = value[far] | TOP
+                w, far, before = w[at], far[at], before[at]
+                nth = np.arange(len(h)) - np.repeat(ptr[:-1], np.diff(ptr))
+                context, good = [], np.ones(len(h), bool)
+                for k in range(1, depth + 1):
+                    x = np.zeros(len(h), np.uint64)
+                    x[k:] = before[:-k]
+                    good &= (nth >= k) & (x != 0)
+                    x[~good] = 0
+                    context.append(x)
+                yield row, ids[i:j], held[i:j], ptr, h, w, context, far
                 row += j - i
-                table["doc"] = [0 if x is None else x for x in ids[i:j]]
-                table["null"] = [x is None for x in ids[i:j]]
-                table["train"] = ~held[i:j]
-                table["tokens"] = np.diff(ptr)
-                table["known"] = np.bincount(doc[~rare], minlength=j - i)
-                table["base"] = np.bincount(doc[~rare], root[word[~rare]], minlength=j - i)
-                table["score"] = np.bincount(doc, np.log10(p), minlength=j - i)
-                home = int(row) // 512 % n_buckets  # of all texts of the block
-                # Rare words: distinct in a text, dealt by hash.
-                value, owner = h[rare], doc[rare]
-                order = np.lexsort((owner, value))
-                value, owner = value[order], owner[order]
-                first = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])])) if len(value) else np.zeros(0, np.int64)
-                tf = np.diff(np.append(first, len(value))).astype(np.uint32)
-                value, owner = value[first], owner[first]
-                bucket = (value % np.uint64(n_buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-                bodies = []
-                full = np.union1d(np.flatnonzero(np.diff(cut)), [home])
-                for k in full.tolist():
-                    mine = order[cut[k] : cut[k + 1]]
-                    texts = np.arange(j - i) if k == home else np.unique(owner[mine])
-                    part = table[texts]
-                    part["home"] = k == home
-                    where = np.searchsorted(texts, owner[mine]).astype(np.uint32)
-                    bodies.append(np.array([len(texts), len(mine)], "<i8").tobytes() + part.tobytes() + value[mine].tobytes() + where.tobytes() + tf[mine].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(bodies, pa.binary())], ["bucket", "body"])
 
-    corpus_n, distinct = corpus.n, corpus.distinct
+    def bucket_of(c1: np.ndarray) -> np.ndarray:
+        return np.where((c1 > 0) & (c1 <= n_heavy), -1, (mix(c1) % np.uint64(n_buckets)).astype(np.int64))
+
+    def dealt(base: int, text, train, w, context, p=None) -> tuple[list[int], list[bytes]]:
+        """Bodies of tokens that have a context, by the bucket of its last word (-1: heavy)."""
+        bucket = bucket_of(context[0]) + 1
+        order = np.argsort(bucket.astype(np.uint16) if n_buckets < 1 << 16 else bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 2))
+        full = np.flatnonzero(np.diff(cuts)).tolist()
+        parts = [order[cuts[k] : cuts[k + 1]] for k in full]
+        return [k - 1 for k in full], [_body(base, text[o], train[o], w[o], [c[o] for c in context], None if p is None else p[o]) for o in parts]
+
+    def deal(heavy: bool):
+        """Tokens whose words have a number, or are too rare to be a next word, if heavy or not."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row, _, held, ptr, _, w, context, far in texts(batches):
+                good = context[0] != 0
+                good &= ((context[0] <= n_heavy) == heavy) & ~(far & far_words)
+                o = np.flatnonzero(good)
+                text = np.repeat(np.arange(len(held)), np.diff(ptr))[o]
+                buckets, bodies = dealt(row, text, ~held[text], w[o], [c[o] for c in context])
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(bodies, pa.binary())], ["bucket", "body"])
+
+        return docs.mapInArrow(run, "bucket int, body binary")
+
+    def deal_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts, and their words without a number by hash, with contexts if these words may be next words."""
+        root = np.log10(shared_root.value)
+        for row, ids, held, ptr, h, w, context, far in texts(batches):
+            n = len(ids)
+            doc = np.repeat(np.arange(n), np.diff(ptr))
+            table = np.zeros(n, head)
+            table["row"] = row + np.arange(n)
+            table["doc"] = [0 if x is None else x for x in ids]
+            table["null"] = [x is None for x in ids]
+            table["train"] = ~held
+            table["tokens"] = np.diff(ptr)
+            table["known"] = np.bincount(doc[~far], minlength=n)
+            table["base"] = np.bincount(doc[~far], root[w[~far].astype(np.int64)], minlength=n)
+            home = row // 512 % n_buckets  # of all texts of the block
+            o = np.flatnonzero(far)
+            bucket = (h[o] % np.uint64(n_buckets)).astype(np.int64)
+            sort = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[sort], np.arange(n_buckets + 1))
+            full = np.union1d(np.flatnonzero(np.diff(cuts)), [home]).tolist()
+            bodies = []
+            for k in full:
+                mine = o[sort[cuts[k] : cuts[k + 1]]]
+                own = table.tobytes() if k == home else b""
+                held_contexts = [x[mine] for x in context] if far_words else [np.zeros(0, np.uint64)] * depth
+                bodies.append(np.array([row, len(own), len(mine), len(held_contexts[0])], "<i8").tobytes() + own + h[mine].tobytes() + _pack(doc[mine] << 1 | ~held[doc[mine]]) + b"".join(map(_pack, held_contexts)))
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(bodies, pa.binary())], ["bucket", "body"])
+
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bucket", "body"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary()]
 
     def settle(group: pa.Table) -> pa.Table:
-        tables, values, wheres, tfs, base = [], [], [], [], 0
-        for chunk in group["body"].chunks:
-            for body in chunk:
-                raw = body.as_buffer()
-                n, m = np.frombuffer(raw, "<i8", 2)
-                at = 16 + n * head.itemsize
-                tables.append(np.frombuffer(raw, head, n, 16))
-                values.append(np.frombuffer(raw, "<u8", m, at))
-                wheres.append(np.frombuffer(raw, "<u4", m, at + 8 * m).astype(np.int64) + base)
-                tfs.append(np.frombuffer(raw, "<u4", m, at + 12 * m))
-                base += n
-        table, value, where, tf = np.concatenate(tables), np.concatenate(values), np.concatenate(wheres), np.concatenate(tfs).astype(np.int64)
-        order = np.argsort(value, kind="stable")
-        new = np.ones(len(order), bool)
-        new[1:] = value[order][1:] != value[order][:-1]
-        group_of = np.empty(len(order), np.int64)
-        group_of[order] = np.cumsum(new) - 1
-        count = np.bincount(group_of, tf * table["train"][where], minlength=1)[group_of] if len(order) else np.zeros(0)
-        log = np.log10((count + 0.1) / (corpus_n + 0.1 * (distinct + 1))) * tf
-        more = np.bincount(where, log, minlength=len(table))
-        known = np.bincount(where, tf * (count > 0), minlength=len(table)).astype(np.int64)
-        home = table["home"]
-        pick = lambda x: np.where(home, x, 0)
-        return pa.table({
-            "row": table["row"], "doc_id": pa.array(table["doc"], mask=table["null"]), "held_out": pa.array(~table["train"]), "n_tokens": pick(table["tokens"]),
-            "n_known": known + pick(table["known"]), "base_score": more + pick(table["base"]), "score": more + pick(table["score"]),
-        })
-
-    parts = docs.mapInArrow(deal, "bucket int, body binary").groupBy("bucket").applyInArrow(settle, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    total = parts.groupBy("row", "doc_id", "held_out").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+        """Sums of texts, and tokens with their words' probabilities for the buckets of contexts."""
+        tables, values, marks, bases, contexts = [], [], [], [], []
+        for body in (x.as_buffer() for chunk in group["body"].chunks for x in chunk):
+            base, size, m, n = np.frombuffer(body, "<i8", 4).tolist()
+            tables.append(np.frombuffer(body, head, size // head.itemsize, 32))
+            at = 32 + size
+            values.append(np.frombuffer(body, "<u8", m, at))
+            mark, at = _unpack(body, at + 8 * m, m)
+            marks.append(mark.astype(np.int64))
+            bases.append(base)
+            own = []
+            for _ in range(depth):
+                x, at = _unpack(body, at, n)
+                own.append(x.astype(np.uint64))
+            contexts.append(own)
+        value = np.concatenate(values)
+        train = (np.concatenate(marks) & 1).astype(bool)
+        where = np.concatenate([b + (m >> 1) for b, m in zip(bases, marks, strict=True)])
+        word = np.unique(value, return_inverse=True)[1]
+        count = np.bincount(word, train, minlength=1)[word] if len(word) else np.zeros(0)
+        p = (count + 0.1) / (corpus_n + 0.1 * (distinct + 1))
+        row, text = np.unique(where, return_inverse=True)
+        log = np.bincount(text, np.log10(p), minlength=len(row))
+        known = np.bincount(text, count > 0, minlength=len(row)).astype(np.int64)
+        table = np.concatenate(tables)
+        none = lambda k, t: pa.nulls(k, t)
+        out = [
+            pa.table([table["row"], pa.array(table["doc"], mask=table["null"]), ~table["train"], table["tokens"], table["known"], table["base"], table["base"], none(len(table), types[7]), none(len(table), types[8])], names),
+            pa.table([row, none(len(row), types[1]), none(len(row), types[2]), np.zeros(len(row), np.int64), known, log, log, none(len(row), types[7]), none(len(row), types[8])], names),
+        ]
+        if far_words:
+            buckets, bodies, at = [], [], 0
+            told = np.where(count >= entry_least, value | TOP, np.uint64(0))
+            p = np.where(count >= entry_least, p, 1.0)
+            for base, mark, own in zip(bases, marks, contexts, strict=True):
+                o = np.flatnonzero(own[0])
+                found = dealt(base, mark[o] >> 1, mark[o] & 1, told[at + o], [c[o] for c in own], p[at + o])
+                buckets += found[0]
+                bodies += found[1]
+                at += len(mark)
+            out.append(pa.table([*(none(len(bodies), t) for t in types[:7]), pa.array(buckets, pa.int32()), pa.array(bodies, pa.binary())], names))
+        return pa.concat_tables([t.cast(pa.schema(list(zip(names, types, strict=True)))) for t in out])
+
+    def descend(group: pa.Table) -> pa.Table:
+        row, each, train, w, context, p = _read([x.as_buffer() for chunk in group["body"].chunks for x in chunk], depth, far_words)
+        root, gain = shared_root.value, np.empty(len(w))
+        pieces = max(1, len(w) >> 18)  # the contexts of some last words at a time
+        part = ((context[0].astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(16)) % np.uint32(pieces)
+        for k in range(pieces):
+            o = np.flatnonzero(part == k)
+            first = started(root, w[o], p[o] if len(p) else p)
+            gain[o] = np.log10(grow([c[o] for c in context], w[o], first, train[o], rule) / first)
+        return pa.table({"row": row, "score": np.add.reduceat(gain, np.cumsum(each) - each)})
+
+    def started(root: np.ndarray, w: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Words' probabilities at the root: what came with them, or that of their numbers."""
+        return np.where(p > 0, p, root[np.where(p > 0, 0, w)]) if len(p) else root[w]
+
+    def unroll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = shared_root.value
+        for b in batches:
+            for body in b.column(1):
+                row, each, train, w, context, p = _read([body.as_buffer()], depth, far_words)
+                p = started(root, w, p)
+                columns = [np.repeat(row, each), train, p, p, *(c.astype(np.uint64).view(np.int64) for c in (w, *context))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["row", "train", "root", "p", "w", *HEAVY[:depth]])
+
+    found = docs.mapInArrow(deal_rare, "bucket int, body binary").groupBy("bucket").applyInArrow(settle, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bucket int, body binary")
+    if far_words:
+        found = keep(found, "lm-rare")
+    passed = found.where("row is null").select("bucket", "body")
+    light, heavy = deal(False), deal(True)
+    if far_words:
+        light, heavy = light.unionByName(passed.where("bucket >= 0")), heavy.unionByName(passed.where("bucket < 0"))
+    deltas = light.groupBy("bucket").applyInArrow(descend, "row long, score double")
+    if n_heavy:
+        columns = ", ".join(f"{c} long" for c in ["w", *HEAVY[:depth]])
+        deltas = deltas.unionByName(heavy_gains(heavy.mapInArrow(unroll, f"row long, train boolean, root double, p double, {columns}"), rule, depth, bucket_tokens))
+    sums = found.where("row is not null").drop("bucket", "body").unionByName(deltas, allowMissingColumns=True)
+    total = sums.groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "held_out")], *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return total.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def heavy_gains(rows: DataFrame, rule: Rule, depth: int, bucket_tokens: int) -> DataFrame:
+    """(row, score): what states add to the tokens of `rows`, whose last words have more tokens after them than a bucket takes.
+
+    Order by order, by joins; what lies below a context that fits a bucket is decided in one.
+    """
+
+    def below(start: int):
+        def run(group: pa.Table) -> pa.Table:
+            col = lambda c: group[c].to_numpy()
+            w, *context = (col(c).view(np.uint64) for c in ["w", *HEAVY[:depth]])
+            p = grow(context, w, col("p"), col("train"), rule, start)
+            by = np.argsort(col("row"))
+            return _by_row(col("row")[by], np.log10(p / col("root"))[by])
+
+        return run
+
+    done = []
+    rows = keep(rows, "lm-heavy")
+    for k in range(1, depth + 1):
+        at = HEAVY[:k]
+        counts = keep(rows.where("train").groupBy(*at, "w").agg(F.count("*").alias("n"), F.first("p").alias("parent")), "lm-heavy-counts")
+        all_ = counts.groupBy(*at).agg(F.sum("n").alias("all"))
+        entry = counts.where((F.col("n") >= rule.entry_least) & (F.col("w") != 0)).join(F.broadcast(all_), at).withColumn("share", F.greatest(F.col("n") - rule.discount, F.lit(0.0)) / F.col("all"))
+        left = all_.join(entry.groupBy(*at).agg(F.sum("share").alias("held"), F.sum("n").alias("told")), at, "left").select(*at, "all", F.coalesce("told", F.lit(0)).alias("told"), F.greatest(1 - F.coalesce("held", F.lit(0.0)), F.lit(1e-12)).alias("left"))
+        more = entry.join(F.broadcast(left.drop("all")), at).groupBy(*at).agg(F.sum(F.col("n") * F.log((F.col("share") + F.col("left") * F.col("parent")) / F.col("parent"))).alias("more"))
+        gain = F.coalesce("more", F.lit(0.0)) + (F.col("all") - F.col("told")) * F.log("left")
+        state = left.join(more, at, "left").select(*at, "left", ((F.col("all") >= rule.state_least) & (gain >= rule.divergence * F.col("all"))).alias("stay"))
+        known = rows.join(F.broadcast(state), at, "left").join(entry.select(*at, "w", "share"), [*at, "w"], "left")
+        stay = F.coalesce("stay", F.lit(False))
+        rows = known.withColumn("p", F.when(stay, F.coalesce("share", F.lit(0.0)) + F.col("left") * F.col("p")).otherwise(F.col("p"))).withColumn("more", stay).drop("left", "stay", "share")
+        rows = keep(rows, "lm-heavy")
+        goes_on = F.col("more") & (F.col(HEAVY[k]) != 0) if k < depth else F.lit(False)
+        done.append(rows.where(~goes_on).groupBy("row").agg(F.sum(F.log10(F.col("p") / F.col("root"))).alias("score")))
+        if k == depth:
+            break
+        rows, at = rows.where(goes_on), HEAVY[: k + 1]
+        big = keep(rows.groupBy(*at).agg(F.count("*").alias("n")).where(F.col("n") > bucket_tokens // 2).drop("n"), "lm-heavy-contexts")
+
+        rest = rows.join(F.broadcast(big), at, "left_anti")
+        n = max(8, rest.count() * 4 // bucket_tokens)
+        done.append(rest.drop("more").groupBy(F.pmod(F.hash(*at), F.lit(n))).applyInArrow(below(k + 1), "row long, score double"))
+        if big.isEmpty():
+            break
+        rows = rows.join(F.broadcast(big), at, "left_semi").drop("more")
+    found = done[0]
+    for d in done[1:]:
+        found = found.unionByName(d)
+    return found
+
+
 def lm_scores(docs: DataFrame, *, mod: int = 10, **options) -> DataFrame:
     tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    corpus, tree = train(docs, mod=mod, **options)
-    return score(docs, corpus, tree, mod=mod)
+    return score(docs, mod=mod, **options)

@@ -80,3 +80,23 @@ def test_the_tree_is_bounded_by_its_most_frequent(spark):
     corpus, tree = L.train(docs, most=5, context_least=10)
     assert len(corpus.word) <= 5 and tree and all(len(t.entry) <= 5 for t in tree)
     assert all(r["score"] < 0 for r in L.lm_scores(docs, most=5).collect())
+
+
+@pytest.mark.parametrize("options", [{"most": 12}, {"most": 12, "bucket_tokens": 150}, {"bucket_tokens": 60}])
+def test_no_bound_changes_a_score(spark, options):
+    """Few numbers for words, or contexts with more tokens after them than a bucket takes: the whole tree's scores all the same."""
+    rng = random.Random(9)
+    phrases = [[f"a{rng.randrange(30)}" for _ in range(6)] for _ in range(9)]
+    rows = []
+    for i in range(80):
+        w = []
+        for _ in range(8):
+            w += rng.choice(phrases) if rng.random() < 0.7 else ["a1", "a2", f"b{rng.randrange(60)}"]
+        rows.append((i, " ".join(w)))
+    rows += [(500, ""), (501, None), (None, "a1 a2 unseen"), (502, "a1 a2 b3 unseen")]
+    rule = {"context_least": 6, "entry_least": 3, "divergence": 0.01, "depth": 3}
+    want, states = plain(rows, **rule)
+    assert len(states) > 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in L.lm_scores(docs, **rule, **options).collect()}
+    assert set(got) == set(want) and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
