@@ -13,9 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor
-
-from rillstone.streaming.limits import keyed_state
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "stream string, n long, kind string, text string"
 
@@ -66,51 +64,41 @@ class Fold:
         return self._event("query", query) if query else self._event("error", "invalid_agent_action")
 
 
-class _Events(StatefulProcessor):
-    """A stream's pieces in the order of seq: those that came early wait in a map state, those that come again are left out."""
-
-    def init(self, handle) -> None:
-        self.state = handle.getValueState("fold", "next long, raw string, mode string, shown long, n long, ended boolean")
-        self.early = handle.getMapState("early", "seq long", "piece string, last boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        at, raw, mode, shown, n, ended = self.state.get() if self.state.exists() else (0, "", "", 0, 0, False)
-        if ended:
-            return
-        fold, out = Fold(raw, mode, shown, n), []
-        new = {}
-        for frame in rows:
-            for seq, piece, last in zip(frame["seq"].tolist(), frame["piece"].tolist(), frame["last"].tolist(), strict=True):
-                if seq >= at:
-                    new.setdefault(seq, (piece or "", bool(last)))
-        while not ended:
-            if at in new:
-                piece, last = new.pop(at)
-            elif self.early.containsKey((at,)):
-                piece, last = self.early.getValue((at,))
-                self.early.removeKey((at,))
-            else:
-                break
-            out += fold.add(piece, last)
-            at, ended = at + 1, last
-        for seq, value in new.items():
-            if not ended and not self.early.containsKey((seq,)):
-                self.early.updateValue((seq,), value)
-        if ended:
-            self.early.clear()
-        # What has ended needs no text any more, only the mark that later pieces are repeats.
-        self.state.update((at, "" if ended else fold.raw, fold.mode, fold.shown, fold.n, ended))
-        texts = lambda i: pd.Series([key[0] if i is None else e[i] for e in out], dtype=object)
-        yield pd.DataFrame({"stream": texts(None), "n": pd.Series([e[0] for e in out], dtype="int64"), "kind": texts(1), "text": texts(2)})
-
-    def close(self) -> None:
-        pass
+STATE = "next long, raw string, mode string, shown long, n long, ended boolean, early_seq array<long>, early_piece array<string>, early_last array<boolean>"
+
+
+def _arrived(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A stream's pieces in the order of seq: those that came early wait in the state, those that come again are left out."""
+    at, raw, mode, shown, n, ended, *early = state.get if state.exists else (0, "", "", 0, 0, False, [], [], [])
+    if ended:
+        return
+    fold, out = Fold(raw, mode, shown, n), []
+    waiting = {seq: (piece, last) for seq, piece, last in zip(*early, strict=True)}
+    for frame in rows:
+        for seq, piece, last in zip(frame["seq"].tolist(), frame["piece"].tolist(), frame["last"].tolist(), strict=True):
+            if seq >= at:
+                waiting.setdefault(seq, (piece or "", bool(last)))
+    while not ended and at in waiting:
+        piece, last = waiting.pop(at)
+        out += fold.add(piece, last)
+        at, ended = at + 1, last
+    # What has ended needs no text any more, only the mark that later pieces are repeats.
+    if ended:
+        waiting = {}
+    early = list(waiting), [p for p, _ in waiting.values()], [e for _, e in waiting.values()]
+    state.update((at, "" if ended else fold.raw, fold.mode, fold.shown, fold.n, ended, *early))
+    if not out:
+        return
+    texts = lambda i: pd.Series([key[0] if i is None else e[i] for e in out], dtype=object)
+    yield pd.DataFrame({"stream": texts(None), "n": pd.Series([e[0] for e in out], dtype="int64"), "kind": texts(1), "text": texts(2)})
 
 
 def streamed_events(pieces: DataFrame) -> DataFrame:
-    """Streaming `pieces` (stream string, seq long, piece string, last boolean) to events (stream, n, kind, text)."""
-    keyed_state(pieces.sparkSession)
-    return pieces.groupBy("stream").transformWithStateInPandas(_Events(), OUT, "Append", "None")
+    """Streaming `pieces` (stream string, seq long, piece string, last boolean) to events (stream, n, kind, text).
+
+    A stream's state goes to Python with its rows, so streams that are met together cost no call each.
+    """
+    return pieces.groupBy("stream").applyInPandasWithState(_arrived, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def events_of(pieces: DataFrame) -> DataFrame:

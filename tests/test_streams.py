@@ -139,6 +139,23 @@ def test_token_events_late_and_repeated(spark, tmp_path):
     assert told(R.in_slices(df, [F.col("slice") == k for k in range(4)], lambda s: E.streamed_events(s.drop("slice")), str(tmp_path))) == want
 
 
+def test_token_events_take_their_state_with_the_rows(spark, tmp_path):
+    """No call to a state server for each stream: any store will do, and the session's is left as it is."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    unset = spark.conf.get(name, None)
+    rows = [(str(i), seq, piece, seq == 1, 1 - seq) for i in range(50) for seq, piece in enumerate(["<answer>a", f"{i}</answer>"])]
+    df = spark.createDataFrame(rows, "stream string, seq long, piece string, last boolean, slice int")
+    try:
+        found = R.in_slices(df, [F.col("slice") == k for k in range(2)], lambda s: E.streamed_events(s.drop("slice")), str(tmp_path))
+        assert {r["stream"]: r["text"] for r in found.where("kind = 'done'").collect()} == {str(i): f"a{i}" for i in range(50)}
+        assert spark.conf.get(name, None) == unset
+    finally:
+        if before is not None:
+            spark.conf.set(name, before)
+
+
 class Death(Exception):
     pass
 
