@@ -168,10 +168,11 @@ def load(path: str) -> Pieces:
 KEPT[__name__] = load.cache_clear
 
 
-def encode_pieces(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col: str = "piece_ids", check: bool = True) -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col: str = "piece_ids", check: bool = True, keep_model: bool = True) -> DataFrame:
     """`docs` and, for each text, its piece ids, and whether they decode to the text again.
 
-    Map-only: no shuffle, memory bounded by an Arrow batch and the chunk cache.
+    Map-only: no shuffle, memory bounded by an Arrow batch and the chunk cache. Without `keep_model` a task frees the model
+    and its cache at its end: where Python workers outnumber tasks, waiting ones would each hold a copy.
     """
     tune(docs.sparkSession)
     names = [c for c in docs.columns]
@@ -189,6 +190,8 @@ def encode_pieces(docs: DataFrame, model_path: str, *, text_col: str = "text", i
                 ids, ptr = pieces.encode(texts)
                 good = [d == t.encode() for d, t in zip(pieces.decode(ids, ptr), texts, strict=True)] if check else [None] * len(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(ids, pa.int32())), pa.array(good, pa.bool_())], [*names, ids_col, "round_trip"])
+        if not keep_model:
+            load.cache_clear()
 
     schema = extended(docs.select(*names).schema, f"{ids_col} array<int>, round_trip boolean")
     return docs.select(*names).mapInArrow(released(run), schema)

@@ -98,3 +98,40 @@ def test_lean_functions_make_room_and_give_the_same():
     finally:
         del textkit.KEPT["other"], textkit.KEPT[__name__]
     assert textkit.released(total) is total
+
+
+def test_encoding_leaves_no_model_in_its_workers(spark):
+    import pyarrow as pa
+
+    from rillstone.llm import pieces
+    from rillstone.llm.queries import tokenizer
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pieces.load.cache_info().currsize] * b.num_rows, pa.int64())], ["n"])
+
+    path = tokenizer("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(40)], "doc_id long, text string").repartition(4)
+    left = lambda keep: {r["n"] for _ in [pieces.encode_pieces(docs, path, keep_model=keep).collect()] for r in spark.range(40).repartition(4).mapInArrow(held, "n long").collect()}
+    assert left(True) & {1}
+    for _ in range(8):  # workers come in turn: each that holds a model gets a task
+        found = left(False)
+    assert found == {0}
+
+
+def test_lean_functions_keep_no_tables_of_powers():
+    """They would stay at the size of the longest block in every worker, waiting ones too."""
+    import numpy as np
+
+    from rillstone.llm import textkit
+
+    def hashed(batches):
+        for b in batches:
+            yield textkit.span_hash(b, np.array([0]), np.array([len(b)])).tolist()
+
+    data = np.full(3 << 20, 97, np.uint8)
+    with textkit.lean():
+        run = textkit.released(hashed)
+    assert list(run([data])) == list(hashed([data]))
+    list(run([data, data[:5]]))
+    assert not textkit._POW
