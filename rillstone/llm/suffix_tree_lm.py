@@ -16,12 +16,14 @@ The least counts are numbers, not shares: a larger corpus has more words, contex
 words that reach them, and the tree grows with it; no word, context or next word is left out.
 Every state before a token ends with the word before it, so tokens are dealt by that word: a
 bucket has all tokens of its words, builds their subtrees from the training ones and scores
-all of them at once; the sums come back by text. A word with more tokens after it than
-`bucket_tokens` is decided order by order by joins until what lies below a context fits.
+all of them at once; the sums come back packed, for some thousands of texts at a time. A word with
+more than half of `bucket_tokens` tokens after it is heavy: tasks count what follows it, one group decides its
+state from the counts of its next words, and its tokens are dealt by the last two words into parts that get its next words'
+probabilities as a table. Heavy contexts of two and more words go the same way.
 Only numbers of the `most` most frequent words are broadcast, some twenty bytes each. Every
 text's other words go to buckets by hash, where they are counted; where these may be next words (the
 corpus has over `most` words of `entry_least`), their tokens go on from there to the buckets of contexts.
-`docs` is read three or four times, and must give the same partitions each time, as files do.
+`docs` is read three times, and once more for each number of words that heavy contexts have, and must give the same partitions each time, as files do.
 
 Defined results: null texts are empty texts, which are one end token; a null doc_id
 counts as the empty string in the fold rule; repeated rows are scored (and counted)
@@ -48,7 +50,9 @@ from .textkit import SPACED, blocks, mix, tune, words
 END = np.uint64(0x454E44)
 RARE = 0xFFFFFFFF
 TOP = np.uint64(1 << 63)  # marks a hash among numbers of words
-HEAVY = [f"c{k}" for k in range(1, 33)]  # columns of the words before a token, nearest first
+HOME = 12  # texts of equal row >> HOME get their sums together
+MASK = (1 << HOME) - 1
+UNIT = 2.0**-32  # of the sums that buckets give back: a text's sum of a bucket is rounded by 1.2e-10 at most
 
 
 class Corpus(NamedTuple):
@@ -323,6 +327,7 @@ def grow(context: list[np.ndarray], w: np.ndarray, p: np.ndarray, train: np.ndar
 
 def _read(bodies: list[pa.Buffer], depth: int, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
     """(row of each text, its number of tokens, then of each token: train, w, contexts, p or 0) of bodies of :func:`_body`; `wide`: hashes may stand among numbers."""
+    bodies = [pa.decompress(raw[8:], int(np.frombuffer(raw, "<i8", 1)[0]), codec="zstd") for raw in bodies]
     heads = [np.frombuffer(raw, "<i8", 4).tolist() for raw in bodies]
     size = sum(n for _, _, n, _ in heads)
     w, *context = (np.zeros(size, np.uint64 if wide else np.uint32) for _ in range(depth + 1))
@@ -331,7 +336,7 @@ def _read(bodies: list[pa.Buffer], depth: int, wide: bool) -> tuple[np.ndarray,
     for raw, (base, n_texts, n, given) in zip(bodies, heads, strict=True):
         text, at = _unpack(raw, 32, n_texts)
         each, at = _unpack(raw, at, n_texts)
-        rows.append(base + (text >> 1).astype(np.int64))
+        rows.append(base + np.cumsum(text >> 1, dtype=np.int64))
         each_of.append(each.astype(np.int64))
         train[t : t + n] = np.repeat(text & 1, each)
         for x in (w, *context):
@@ -346,16 +351,96 @@ def _body(base: int, text: np.ndarray, train: np.ndarray, w: np.ndarray, context
     """Tokens in the order of their texts (numbers from `base` on; `train`: marks of the tokens)."""
     own, first, each = np.unique(text, return_index=True, return_counts=True)
     head = np.array([base, len(own), len(w), p is not None], "<i8").tobytes()
-    return head + _pack(own << 1 | train[first]) + _pack(each) + b"".join(map(_pack, [w, *context])) + (b"" if p is None else p.astype("<f8").tobytes())
+    raw = head + _pack(np.diff(own, prepend=0) << 1 | train[first]) + _pack(each) + b"".join(map(_pack, [w, *context])) + (b"" if p is None else p.astype("<f8").tobytes())
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows of these columns begin."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _sums(unit: np.ndarray, x: np.ndarray, n: np.ndarray, p: np.ndarray | None = None) -> tuple:
+    """Distinct (unit, x), sorted, the sums of their n and their p."""
+    order = np.lexsort((x, unit)) if len(x) and int(x.max()) >> 32 else np.argsort(unit.astype(np.uint64) << np.uint64(32) | x.astype(np.uint64))
+    unit, x, n = unit[order], x[order], n[order]
+    first = _starts(unit, x)
+    return unit[first], x[first], np.add.reduceat(n, first) if len(n) else n, None if p is None else p[order][first]
+
+
+class Counts(NamedTuple):
+    """What follows heavy contexts: their next words (the training tokens' number, and probability at the root if it is known), and the heavy words before them."""
+
+    unit: np.ndarray
+    word: np.ndarray
+    n: np.ndarray
+    p: np.ndarray | None
+    before: tuple[np.ndarray, np.ndarray, np.ndarray]  # unit, word, number of all tokens
+
+    def body(self, words: np.ndarray, before: np.ndarray) -> bytes:
+        """These places of either list, of one unit."""
+        head = np.array([len(words), len(before), self.p is not None], "<i8").tobytes()
+        own = _pack(self.word[words]) + _pack(self.n[words]) + (b"" if self.p is None else self.p[words].astype("<f8").tobytes())
+        return head + own + _pack(self.before[1][before]) + _pack(self.before[2][before])
+
+    @staticmethod
+    def of(bodies: list[pa.Buffer]) -> "Counts":
+        """The sums of bodies of one unit."""
+        columns: list[list[np.ndarray]] = [[], [], [], [], []]
+        for raw in bodies:
+            n, m, given = np.frombuffer(raw, "<i8", 3).tolist()
+            at = 24
+            for k, size in ((0, n), (1, n), (2, n * given), (3, m), (4, m)):
+                if k == 2:
+                    x = np.frombuffer(raw, "<f8", size, at)
+                    at += 8 * size
+                else:
+                    x, at = _unpack(raw, at, size)
+                columns[k].append(x)
+        word, n, p, c, m = (np.concatenate(x) for x in columns)
+        zero = lambda x: np.zeros(len(x), np.int64)
+        return Counts(*_sums(zero(word), word, n.astype(np.int64), p if len(p) else None), _sums(zero(c), c, m.astype(np.int64))[:3])
+
+
+def _table(start: int, w: np.ndarray, p: np.ndarray) -> bytes:
+    """Probabilities of next words at a heavy context, and the order from which states are looked for below it."""
+    return np.array([-1, start, len(w), 0], "<i8").tobytes() + _pack(w) + p.astype("<f8").tobytes()
+
+
+def _table_of(raw: pa.Buffer) -> tuple[int, np.ndarray, np.ndarray]:
+    _, start, n, _ = np.frombuffer(raw, "<i8", 4).tolist()
+    w, at = _unpack(raw, 32, n)
+    return start, w, np.frombuffer(raw, np.uint8, 8 * n, at).view("<f8")
+
+
+class Heavy(NamedTuple):
+    """The heavy contexts of one number of words. A key is the place of the context without its first word << 32 | first word; of one word, the word."""
 
-
-def _by_row(row: np.ndarray, x: np.ndarray) -> pa.Table:
-    """Sums of x over runs of equal rows."""
-    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-    return pa.table({"row": row[first], "score": np.add.reduceat(x, first) if len(row) else x})
-
-
-def score(docs: DataFrame, *, mod: int = 10, context_least: int = 64, entry_least: int = 4, most: int = 2_000_000, divergence: float = 0.002, depth: int = 3, discount: float = 0.5, bucket_tokens: int = 1_000_000) -> DataFrame:
+    key: np.ndarray  # sorted
+    start: np.ndarray  # the order from which states are looked for below
+    first: np.ndarray  # the first bucket
+    parts: np.ndarray  # the number of buckets
+
+
+def deepest(context: list[np.ndarray], keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token, how many words the longest heavy context before it has, and that one's place."""
+    level, at = np.zeros(len(context[0]), np.int64), np.zeros(len(context[0]), np.int64)
+    live = np.arange(len(level))
+    for k, table in enumerate(keys):
+        c = context[k][live].astype(np.uint64)
+        good = (c > 0) & (c < TOP)
+        live, c = live[good], c[good].astype(np.int64)
+        spot = _place(table, at[live] << 32 | c)
+        live, spot = live[spot >= 0], spot[spot >= 0]
+        level[live], at[live] = k + 1, spot
+    return level, at
+
+
+def score(docs: DataFrame, *, mod: int = 10, context_least: int = 64, entry_least: int = 4, most: int = 2_000_000, divergence: float = 0.002, depth: int = 3, discount: float = 0.5, bucket_tokens: int = 1_500_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text of `docs` (doc_id, text)."""
     spark = docs.sparkSession
     rule = Rule(max(context_least, entry_least), entry_least, divergence, discount)
@@ -365,9 +450,10 @@ def score(docs: DataFrame, *, mod: int = 10, context_least: int = 64, entry_leas
     rank[by] = np.arange(1, len(by) + 1)
     falling = -corpus.count[by]
     n_state = int(np.searchsorted(falling, -rule.state_least, side="right"))  # words up to this rank may be contexts
-    n_heavy = int(np.searchsorted(falling, -bucket_tokens))  # those up to this one have more tokens after them than a bucket takes
+    limit = bucket_tokens // 2
+    n_heavy = int(np.searchsorted(falling[:n_state], -limit))  # words up to this one have more tokens after them than `limit`
     far_words, far_contexts = cut > entry_least, cut > rule.state_least
-    n_buckets = max(8, -(-corpus.n // bucket_tokens))
+    n_buckets = max(8, -(-int(corpus.n + falling[:n_heavy].sum()) // bucket_tokens))
     by_rank = np.append(1.0, 10.0 ** corpus.root(corpus.count[by]))
     shared, shared_root = spark.sparkContext.broadcast((corpus.word, rank)), spark.sparkContext.broadcast(by_rank)
     corpus_n, distinct = corpus.n, corpus.distinct
@@ -402,31 +488,124 @@ def score(docs: DataFrame, *, mod: int = 10, context_least: int = 64, entry_leas
                 yield row, ids[i:j], held[i:j], ptr, h, w, context, far
                 row += j - i
 
-    def bucket_of(c1: np.ndarray) -> np.ndarray:
-        return np.where((c1 > 0) & (c1 <= n_heavy), -1, (mix(c1) % np.uint64(n_buckets)).astype(np.int64))
-
-    def dealt(base: int, text, train, w, context, p=None) -> tuple[list[int], list[bytes]]:
-        """Bodies of tokens that have a context, by the bucket of its last word (-1: heavy)."""
-        bucket = bucket_of(context[0]) + 1
-        order = np.argsort(bucket.astype(np.uint16) if n_buckets < 1 << 16 else bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 2))
+    def dealt(base: int, bucket, n: int, text, train, w, context, p=None) -> tuple[list[int], list[bytes]]:
+        """Bodies of tokens by their buckets, which are below n; tokens of bucket -1 go nowhere."""
+        order = np.argsort((bucket + 1).astype(np.uint16) if n + 1 < 1 << 16 else bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(n + 1))
         full = np.flatnonzero(np.diff(cuts)).tolist()
         parts = [order[cuts[k] : cuts[k + 1]] for k in full]
-        return [k - 1 for k in full], [_body(base, text[o], train[o], w[o], [c[o] for c in context], None if p is None else p[o]) for o in parts]
+        return full, [_body(base, text[o], train[o], w[o], [c[o] for c in context], None if p is None else p[o]) for o in parts]
+
+    def light(c1: np.ndarray) -> np.ndarray:
+        """Buckets of last words; ranks in turn, so that each bucket has as many frequent words. In it a word's quotient (from 1 on) stands for it."""
+        return (c1 % np.uint64(n_buckets)).astype(np.int64)
+
+    def numbered(batches: Iterator[pa.RecordBatch]):
+        """Of each block, the tokens with a context: first row, texts, train, words, contexts, no probabilities. Words without a number that may be next words come another way."""
+        for row, _, held, ptr, _, w, context, far in texts(batches):
+            o = np.flatnonzero((context[0] != 0) & ~(far & far_words))
+            text = np.repeat(np.arange(len(held)), np.diff(ptr))[o]
+            yield row, text, ~held[text], w[o], [c[o] for c in context], None
+
+    def told_apart(batches: Iterator[pa.RecordBatch]):
+        """The same of bodies of :func:`settle`."""
+        for b in batches:
+            for body in b.column(0):
+                row, each, train, w, context, p = _read([body.as_buffer()], depth, True)
+                yield int(row[0]), np.repeat(row - row[0], each), train, w, context, p
+
+    def counted(source, keys: list[np.ndarray], slices: np.ndarray):
+        """(unit, slice, body): counts of what follows the heavy contexts of as many words as `keys` has lists."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, waiting = [], 0
+
+            def rows() -> pa.RecordBatch:
+                # A probability of 0 stands for one that the word's number tells.
+                join = lambda k: np.concatenate([x[k] for x in held])
+                x = Counts(*_sums(join(0), join(1), join(2), join(3) if far_words else None), _sums(join(4), join(5), join(6))[:3])
+                slot = (x.word.astype(np.uint64) % slices[x.unit].astype(np.uint64)).astype(np.int64)
+                order = np.lexsort((slot, x.unit))
+                first = _starts(x.unit[order], slot[order])
+                out = []
+                for o in np.split(order, first[1:]):
+                    unit, number = int(x.unit[o[0]]), int(slot[o[0]])
+                    a, b = np.searchsorted(x.before[0], [unit, unit + 1])
+                    own = np.arange(a, b) if not len(out) or out[-1][0] != unit else np.zeros(0, np.int64)
+                    out.append((unit, number, x.body(o, own)))
+                return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["unit", "slice", "body"])
+
+            for _, _, train, w, context, p in source(batches):
+                level, at = deepest(context, keys)
+                o = np.flatnonzero(level == len(keys))
+                if not len(o):
+                    continue
+                p = np.zeros(len(w)) if p is None else p
+                unit, word, n, root = _sums(at[o], w[o], train[o].astype(np.int64), p[o])
+                c = context[len(keys)][o] if len(keys) < depth else np.zeros(len(o), np.uint64)
+                near = np.flatnonzero((c > 0) & (c <= n_heavy))
+                held.append((unit, word, n, root, *_sums(at[o][near], c[near], np.ones(len(near), np.int64))[:3]))
+                waiting += len(unit)
+                if waiting > 2_000_000:
+                    yield rows()
+                    held.clear()
+                    waiting = 0
+            if held:
+                yield rows()
+
+        return run
+
+    def add(group: pa.Table) -> pa.Table:
+        x = Counts.of([x.as_buffer() for chunk in group["body"].chunks for x in chunk])
+        body = x.body(np.arange(len(x.word)), np.arange(len(x.before[1])))
+        return pa.table({"unit": group["unit"][:1], "above": pa.array([False]), "body": pa.array([body], pa.binary())})
+
+    def decide(k: int):
+        """Of one heavy context of k words: whether it is a state, the training tokens after it, its table, and the heavy words before it."""
+
+        def run(group: pa.Table) -> pa.Table:
+            bodies = [x.as_buffer() for chunk in group["body"].chunks for x in chunk]
+            above = group["above"].to_pylist()
+            x = Counts.of([b for b, up in zip(bodies, above, strict=True) if not up])
+            parent = started(shared_root.value, x.word, x.p if x.p is not None else np.zeros(0))
+            for b in (b for b, up in zip(bodies, above, strict=True) if up):
+                _, w, p = _table_of(b)
+                parent = p[np.searchsorted(w, x.word)]
+            n_of = int(x.n.sum())
+            n = np.where((x.n >= rule.entry_least) & (x.word != 0), x.n, 0)
+            share = np.maximum(n - rule.discount, 0) / max(n_of, 1)
+            left = max(1 - share.sum(), 1e-12)
+            own = share + left * parent
+            gain = (n * np.log(own / parent)).sum() + (n_of - n.sum()) * np.log(left)
+            stay = bool(n_of >= rule.state_least and gain >= rule.divergence * n_of)
+            heavy = x.before[2] > limit
+            table = _table(k + 1 if stay else depth + 1, x.word, own if stay else parent)
+            out = {"unit": group["unit"][:1], "stay": pa.array([stay]), "n": pa.array([n_of]), "body": pa.array([table], pa.binary())}
+            return pa.table(out | {name: pa.array([v[heavy].tolist()], pa.list_(pa.int64())) for name, v in (("before", x.before[1]), ("n_before", x.before[2]))})
+
+        return run
 
-    def deal(heavy: bool):
-        """Tokens whose words have a number, or are too rare to be a next word, if heavy or not."""
+    def deal(source, levels: list[Heavy], n: int):
+        """Tokens by the bucket of the last word before them, or the part of the longest heavy context before them."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for row, _, held, ptr, _, w, context, far in texts(batches):
-                good = context[0] != 0
-                good &= ((context[0] <= n_heavy) == heavy) & ~(far & far_words)
-                o = np.flatnonzero(good)
-                text = np.repeat(np.arange(len(held)), np.diff(ptr))[o]
-                buckets, bodies = dealt(row, text, ~held[text], w[o], [c[o] for c in context])
+            for row, text, train, w, context, p in source(batches):
+                c1 = context[0].astype(np.uint64)
+                bucket = light(c1)
+                level, at = deepest(context, [x.key for x in levels])
+                for k, x in enumerate(levels, 1):
+                    o = np.flatnonzero(level == k)
+                    spot, by = at[o], (row + text[o]).astype(np.uint64)
+                    if k < depth:
+                        c = context[k][o].astype(np.uint64)
+                        by = np.where((c > 0) & (x.start[spot] <= depth), c, by)
+                    parts = x.parts[spot]
+                    bucket[o] = np.where(parts > 0, x.first[spot] + (mix(by) % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64), -1)
+                c1 = np.where(level == 0, c1 // np.uint64(n_buckets) + np.uint64(1), c1)
+                buckets, bodies = dealt(row, bucket, n, text, train, w, [c1, *context[1:]], p)
                 yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(bodies, pa.binary())], ["bucket", "body"])
 
-        return docs.mapInArrow(run, "bucket int, body binary")
+        return run
 
     def deal_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts, and their words without a number by hash, with contexts if these words may be next words."""
@@ -456,11 +635,8 @@ def score(docs: DataFrame, *, mod: int = 10, context_least: int = 64, entry_leas
                 bodies.append(np.array([row, len(own), len(mine), len(held_contexts[0])], "<i8").tobytes() + own + h[mine].tobytes() + _pack(doc[mine] << 1 | ~held[doc[mine]]) + b"".join(map(_pack, held_contexts)))
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(bodies, pa.binary())], ["bucket", "body"])
 
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bucket", "body"]
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary()]
-
     def settle(group: pa.Table) -> pa.Table:
-        """Sums of texts, and tokens with their words' probabilities for the buckets of contexts."""
+        """Texts and sums for them, and tokens with their words' probabilities for the buckets of contexts (-1: heavy)."""
         tables, values, marks, bases, contexts = [], [], [], [], []
         for body in (x.as_buffer() for chunk in group["body"].chunks for x in chunk):
             base, size, m, n = np.frombuffer(body, "<i8", 4).tolist()
@@ -485,112 +661,145 @@ def score(docs: DataFrame, *, mod: int = 10, context_least: int = 64, entry_leas
         log = np.bincount(text, np.log10(p), minlength=len(row))
         known = np.bincount(text, count > 0, minlength=len(row)).astype(np.int64)
         table = np.concatenate(tables)
-        none = lambda k, t: pa.nulls(k, t)
-        out = [
-            pa.table([table["row"], pa.array(table["doc"], mask=table["null"]), ~table["train"], table["tokens"], table["known"], table["base"], table["base"], none(len(table), types[7]), none(len(table), types[8])], names),
-            pa.table([row, none(len(row), types[1]), none(len(row), types[2]), np.zeros(len(row), np.int64), known, log, log, none(len(row), types[7]), none(len(row), types[8])], names),
-        ]
+        homes, bodies = by_home(table["row"], lambda o: b"\0" + table[o].tobytes())
+        more = by_home(row, lambda o: b"\1" + len(o).to_bytes(8, "little") + _pack(row[o] & MASK) + _pack(known[o]) + log[o].astype("<f8").tobytes())
+        homes, bodies = homes + more[0], bodies + more[1]
+        out = [pa.table({"home": pa.array(homes, pa.int64()), "bucket": pa.nulls(len(homes), pa.int32()), "body": pa.array(bodies, pa.binary())})]
         if far_words:
             buckets, bodies, at = [], [], 0
             told = np.where(count >= entry_least, value | TOP, np.uint64(0))
             p = np.where(count >= entry_least, p, 1.0)
             for base, mark, own in zip(bases, marks, contexts, strict=True):
                 o = np.flatnonzero(own[0])
-                found = dealt(base, mark[o] >> 1, mark[o] & 1, told[at + o], [c[o] for c in own], p[at + o])
-                buckets += found[0]
+                c1 = own[0][o]
+                apart = np.where(c1 <= n_heavy, 0, light(c1) + 1)
+                c1 = np.where(apart > 0, c1 // np.uint64(n_buckets) + np.uint64(1), c1)
+                found = dealt(base, apart, n_buckets + 1, mark[o] >> 1, mark[o] & 1, told[at + o], [c1, *(c[o] for c in own[1:])], p[at + o])
+                buckets += [k - 1 for k in found[0]]
                 bodies += found[1]
                 at += len(mark)
-            out.append(pa.table([*(none(len(bodies), t) for t in types[:7]), pa.array(buckets, pa.int32()), pa.array(bodies, pa.binary())], names))
-        return pa.concat_tables([t.cast(pa.schema(list(zip(names, types, strict=True)))) for t in out])
+            out.append(pa.table({"home": pa.nulls(len(bodies), pa.int64()), "bucket": pa.array(buckets, pa.int32()), "body": pa.array(bodies, pa.binary())}))
+        return pa.concat_tables(out)
+
+    def by_home(row: np.ndarray, pack) -> tuple[list[int], list[bytes]]:
+        order = np.argsort(row, kind="stable")
+        home = row[order] >> HOME
+        first = _starts(home)
+        return home[first].tolist(), [pack(o) for o in np.split(order, first[1:])] if len(first) else []
 
     def descend(group: pa.Table) -> pa.Table:
-        row, each, train, w, context, p = _read([x.as_buffer() for chunk in group["body"].chunks for x in chunk], depth, far_words)
-        root, gain = shared_root.value, np.empty(len(w))
-        pieces = max(1, len(w) >> 18)  # the contexts of some last words at a time
-        part = ((context[0].astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(16)) % np.uint32(pieces)
+        bodies = [x.as_buffer() for chunk in group["body"].chunks for x in chunk]
+        tables = [x for x in bodies if np.frombuffer(x, "<i8", 1)[0] < 0]
+        bodies = [x for x in bodies if np.frombuffer(x, "<i8", 1)[0] >= 0]
+        if not bodies:
+            return pa.table({"home": pa.array([], pa.int64()), "body": pa.array([], pa.binary())})
+        row, each, train, w, context, p = _read(bodies, depth, far_words)
+        del bodies
+        start, known, at_known = _table_of(tables[0]) if tables else (1, None, None)
+        root, gain = shared_root.value, np.zeros(len(w))
+        pieces = max(1, len(w) >> 18)  # the contexts of some words at a time
+        part = (context[min(start, depth) - 1].astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(16)) % np.uint32(pieces)
         for k in range(pieces):
             o = np.flatnonzero(part == k)
             first = started(root, w[o], p[o] if len(p) else p)
-            gain[o] = np.log10(grow([c[o] for c in context], w[o], first, train[o], rule) / first)
-        return pa.table({"row": row, "score": np.add.reduceat(gain, np.cumsum(each) - each)})
+            begun = first if known is None else at_known[np.searchsorted(known, w[o])]
+            gain[o] = np.log10((grow([c[o] for c in context], w[o], begun, train[o], rule, start) if start <= depth else begun) / first)
+        gain = np.add.reduceat(gain, np.cumsum(each) - each)
+        some = np.flatnonzero(gain)
+        row, units = row[some], np.rint(gain[some] / UNIT).astype(np.int64)
+
+        def pack(o: np.ndarray) -> bytes:
+            low = int(units[o].min())
+            raw = _pack(np.diff(row[o] & MASK, prepend=0)) + _pack(units[o] - low)
+            return b"".join([b"\2", *(x.to_bytes(8, "little", signed=True) for x in (len(o), low, len(raw))), pa.compress(raw, codec="zstd", asbytes=True)])
+
+        homes, bodies = by_home(row, pack)
+        return pa.table({"home": pa.array(homes, pa.int64()), "body": pa.array(bodies, pa.binary())})
+
+    def total(group: pa.Table) -> pa.Table:
+        """The rows of the texts of a home."""
+        tables, known, log, units = [np.zeros(0, head)], *(np.zeros(1 << HOME, t) for t in (np.int64, np.float64, np.int64))
+        for raw in (x.as_buffer() for chunk in group["body"].chunks for x in chunk):
+            kind = raw[0:1].to_pybytes()
+            if kind == b"\0":
+                tables.append(np.frombuffer(raw, head, offset=1))
+                continue
+            n = int.from_bytes(raw[1:9].to_pybytes(), "little")
+            if kind == b"\1":
+                spot, at = _unpack(raw, 9, n)
+                x, at = _unpack(raw, at, n)
+                np.add.at(known, spot, x.astype(np.int64))
+                np.add.at(log, spot, np.frombuffer(raw, np.uint8, 8 * n, at).view("<f8"))
+            else:
+                low, size = np.frombuffer(raw, "<i8", 2, 9).tolist()
+                step, at = _unpack(body := pa.decompress(raw[25:], size, codec="zstd"), 0, n)
+                np.add.at(units, np.cumsum(step, dtype=np.int64), _unpack(body, at, n)[0].astype(np.int64) + low)
+        table = np.concatenate(tables)
+        spot = table["row"] & MASK
+        base = table["base"] + log[spot]
+        columns = [pa.array(table["doc"], mask=table["null"]), ~table["train"], table["tokens"], table["known"] + known[spot], np.full(len(table), corpus_n, np.int64), base, base + units[spot] * UNIT]
+        return pa.table([pa.array(c) for c in columns], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def started(root: np.ndarray, w: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Words' probabilities at the root: what came with them, or that of their numbers."""
         return np.where(p > 0, p, root[np.where(p > 0, 0, w)]) if len(p) else root[w]
 
-    def unroll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root = shared_root.value
-        for b in batches:
-            for body in b.column(1):
-                row, each, train, w, context, p = _read([body.as_buffer()], depth, far_words)
-                p = started(root, w, p)
-                columns = [np.repeat(row, each), train, p, p, *(c.astype(np.uint64).view(np.int64) for c in (w, *context))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["row", "train", "root", "p", "w", *HEAVY[:depth]])
-
-    found = docs.mapInArrow(deal_rare, "bucket int, body binary").groupBy("bucket").applyInArrow(settle, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bucket int, body binary")
+    found = docs.mapInArrow(deal_rare, "bucket int, body binary").groupBy("bucket").applyInArrow(settle, "home long, bucket int, body binary")
     if far_words:
         found = keep(found, "lm-rare")
-    passed = found.where("row is null").select("bucket", "body")
-    light, heavy = deal(False), deal(True)
+    passed = found.where("home is null")
+    late = passed.where("bucket < 0").select("body")
+
+    levels: list[Heavy] = []
+    placed = []  # (bucket, body) of the heavy contexts' tables
+    keys = np.setdiff1d(np.arange(1, n_heavy + 1), rank[corpus.word == END]).astype(np.int64)
+    expected = corpus.count[by][keys - 1]
+    n = n_buckets
+    tables = None
+    while len(keys):
+        k = len(levels) + 1
+        run = [[x.key for x in levels] + [keys], np.maximum(1, -(-expected // (4 * bucket_tokens))).astype(np.int64)]
+        counts = docs.mapInArrow(counted(numbered, *run), "unit int, slice int, body binary")
+        if far_words:
+            counts = counts.unionByName(late.mapInArrow(counted(told_apart, *run), "unit int, slice int, body binary"))
+        counts = counts.groupBy("unit", "slice").applyInArrow(add, "unit int, above boolean, body binary")
+        if tables is not None:  # what the context without its first word gives to each next word
+            own = spark.createDataFrame([(i, int(key >> 32)) for i, key in enumerate(keys.tolist())], "child int, unit int")
+            counts = counts.unionByName(tables.join(F.broadcast(own), "unit").select(F.col("child").alias("unit"), F.lit(True).alias("above"), "body"))
+        tables = keep(counts.groupBy("unit").applyInArrow(decide(k), "unit int, stay boolean, n long, body binary, before array<long>, n_before array<long>"), "lm-heavy")
+        size = len(keys)
+        start, parts = np.full(size, depth + 1), np.zeros(size, np.int64)
+        below, more = [], []
+        for r in tables.select("unit", "stay", "n", "before", "n_before").toLocalIterator():
+            u = r["unit"]
+            if not r["stay"] and k == 1:
+                continue  # its tokens keep what the root gives them
+            rest = r["n"]
+            if r["stay"]:
+                start[u] = k + 1
+                below += [u << 32 | c for c in r["before"]]
+                more += r["n_before"]
+                rest -= sum(r["n_before"])
+            parts[u] = max(1, -(-rest * 5 // (4 * bucket_tokens)))
+        first = n + np.cumsum(parts) - parts
+        n += int(parts.sum())
+        levels.append(Heavy(keys, start, first, parts))
+        buckets = [(u, int(first[u]) + i) for u in range(size) for i in range(int(parts[u]))]
+        if buckets:
+            placed.append(tables.join(F.broadcast(spark.createDataFrame(buckets, "unit int, bucket int")), "unit").select("bucket", "body"))
+        order = np.argsort(np.array(below, np.int64))
+        keys, expected = np.array(below, np.int64)[order], np.array(more, np.int64)[order]
+
+    bodies = docs.mapInArrow(deal(numbered, levels, n), "bucket int, body binary")
     if far_words:
-        light, heavy = light.unionByName(passed.where("bucket >= 0")), heavy.unionByName(passed.where("bucket < 0"))
-    deltas = light.groupBy("bucket").applyInArrow(descend, "row long, score double")
-    if n_heavy:
-        columns = ", ".join(f"{c} long" for c in ["w", *HEAVY[:depth]])
-        deltas = deltas.unionByName(heavy_gains(heavy.mapInArrow(unroll, f"row long, train boolean, root double, p double, {columns}"), rule, depth, bucket_tokens))
-    sums = found.where("row is not null").drop("bucket", "body").unionByName(deltas, allowMissingColumns=True)
-    total = sums.groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "held_out")], *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    return total.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.n).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def heavy_gains(rows: DataFrame, rule: Rule, depth: int, bucket_tokens: int) -> DataFrame:
-    """(row, score): what states add to the tokens of `rows`, whose last words have more tokens after them than a bucket takes.
-
-    Order by order, by joins; what lies below a context that fits a bucket is decided in one.
-    """
-
-    def below(start: int):
-        def run(group: pa.Table) -> pa.Table:
-            col = lambda c: group[c].to_numpy()
-            w, *context = (col(c).view(np.uint64) for c in ["w", *HEAVY[:depth]])
-            p = grow(context, w, col("p"), col("train"), rule, start)
-            by = np.argsort(col("row"))
-            return _by_row(col("row")[by], np.log10(p / col("root"))[by])
-
-        return run
-
-    done = []
-    rows = keep(rows, "lm-heavy")
-    for k in range(1, depth + 1):
-        at = HEAVY[:k]
-        counts = keep(rows.where("train").groupBy(*at, "w").agg(F.count("*").alias("n"), F.first("p").alias("parent")), "lm-heavy-counts")
-        all_ = counts.groupBy(*at).agg(F.sum("n").alias("all"))
-        entry = counts.where((F.col("n") >= rule.entry_least) & (F.col("w") != 0)).join(F.broadcast(all_), at).withColumn("share", F.greatest(F.col("n") - rule.discount, F.lit(0.0)) / F.col("all"))
-        left = all_.join(entry.groupBy(*at).agg(F.sum("share").alias("held"), F.sum("n").alias("told")), at, "left").select(*at, "all", F.coalesce("told", F.lit(0)).alias("told"), F.greatest(1 - F.coalesce("held", F.lit(0.0)), F.lit(1e-12)).alias("left"))
-        more = entry.join(F.broadcast(left.drop("all")), at).groupBy(*at).agg(F.sum(F.col("n") * F.log((F.col("share") + F.col("left") * F.col("parent")) / F.col("parent"))).alias("more"))
-        gain = F.coalesce("more", F.lit(0.0)) + (F.col("all") - F.col("told")) * F.log("left")
-        state = left.join(more, at, "left").select(*at, "left", ((F.col("all") >= rule.state_least) & (gain >= rule.divergence * F.col("all"))).alias("stay"))
-        known = rows.join(F.broadcast(state), at, "left").join(entry.select(*at, "w", "share"), [*at, "w"], "left")
-        stay = F.coalesce("stay", F.lit(False))
-        rows = known.withColumn("p", F.when(stay, F.coalesce("share", F.lit(0.0)) + F.col("left") * F.col("p")).otherwise(F.col("p"))).withColumn("more", stay).drop("left", "stay", "share")
-        rows = keep(rows, "lm-heavy")
-        goes_on = F.col("more") & (F.col(HEAVY[k]) != 0) if k < depth else F.lit(False)
-        done.append(rows.where(~goes_on).groupBy("row").agg(F.sum(F.log10(F.col("p") / F.col("root"))).alias("score")))
-        if k == depth:
-            break
-        rows, at = rows.where(goes_on), HEAVY[: k + 1]
-        big = keep(rows.groupBy(*at).agg(F.count("*").alias("n")).where(F.col("n") > bucket_tokens // 2).drop("n"), "lm-heavy-contexts")
-
-        rest = rows.join(F.broadcast(big), at, "left_anti")
-        n = max(8, rest.count() * 4 // bucket_tokens)
-        done.append(rest.drop("more").groupBy(F.pmod(F.hash(*at), F.lit(n))).applyInArrow(below(k + 1), "row long, score double"))
-        if big.isEmpty():
-            break
-        rows = rows.join(F.broadcast(big), at, "left_semi").drop("more")
-    found = done[0]
-    for d in done[1:]:
-        found = found.unionByName(d)
-    return found
+        bodies = bodies.unionByName(passed.where("bucket >= 0").select("bucket", "body"))
+        if levels:
+            bodies = bodies.unionByName(late.mapInArrow(deal(told_apart, levels, n), "bucket int, body binary"))
+    for t in placed:
+        bodies = bodies.unionByName(t)
+    gains = bodies.groupBy("bucket").applyInArrow(descend, "home long, body binary")
+    back = found.where("home is not null").select("home", "body").unionByName(gains)
+    return back.groupBy("home").applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def lm_scores(docs: DataFrame, *, mod: int = 10, **options) -> DataFrame:

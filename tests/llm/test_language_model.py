@@ -100,3 +100,22 @@ def test_no_bound_changes_a_score(spark, options):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["score"] for r in L.lm_scores(docs, **rule, **options).collect()}
     assert set(got) == set(want) and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+
+
+def test_no_row_a_token_or_text(spark, monkeypatch):
+    """Heavy contexts of one, two and three words are kept as one row each, and sums come back for many texts at a time."""
+    rows = [(i, "p a b c q e b f " * 5 + f"p a b z{i % 7} " * (i % 4) + f"e b q{i % 5}") for i in range(90)]
+    rule = {"context_least": 6, "entry_least": 3, "divergence": 0.01, "depth": 3}
+    want, _ = plain(rows, **rule)
+    kept, real = {}, L.keep
+
+    def keep(df, name):
+        out = real(df, name)
+        kept.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(L, "keep", keep)
+    scored = L.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), **rule, bucket_tokens=120)
+    got = {r["doc_id"]: r["score"] for r in scored.collect()}
+    assert set(got) == set(want) and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+    assert len(kept["lm-heavy"]) == 3 and sum(kept["lm-heavy"]) < 60
