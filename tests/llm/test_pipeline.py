@@ -143,3 +143,15 @@ def test_lines_of_one_template_go_in_the_pipeline(spark):
     docs = spark.createDataFrame([(k, f"text {k} number {k * k} of its kind {k + 7}\n" + line(k), "en", "s", 1) for k in range(60)], SCHEMA).repartition(3)
     kept = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, "").collect()}
     assert len(kept) == 60 and [k for k, t in kept.items() if "\n" in t] == [0]
+
+
+def test_no_text_is_shuffled_to_drop_copies(spark, folder):
+    """Documents that go are told where they lie, whatever the size of the tables."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for stage in ("line_dedup", "jaccard"):
+            plan = dict(corpus_pipeline.STAGES)[stage](spark, docs, folder)._jdf.queryExecution().executedPlan().toString()
+            assert "Join" not in plan and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
